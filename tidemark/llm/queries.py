@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, packing, quality_model, quality_rules, simhash, toxicity
+from tidemark.llm import license_scan, line_dedup, mixing, packing, quality_model, quality_rules, simhash, substring, topk, toxicity
 from tidemark.llm.common import table
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -26,6 +31,18 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -36,9 +53,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_packing, op3_simhash, op4_mixing, op5_quality, op9_quality_rules, op10_toxicity)
+    found = (op1_topk, op2_packing, op3_simhash, op4_mixing, op5_quality, op6_line_dedup, op7_substring_dedup, op8_license_scan, op9_quality_rules, op10_toxicity)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE_SQL, "op9_quality_rules": quality_rules.oracle_sql()}
+    return {"op1_topk": topk.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL, "op9_quality_rules": quality_rules.oracle_sql()}
