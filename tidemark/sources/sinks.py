@@ -1,0 +1,65 @@
+"""Writers with their checks. Stores are append-only: new files are added, old ones never rewritten."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.sources.readers import Split, split_on_reason
+
+
+class Rejected(ValueError):
+    """A batch that breaks a rule of its store."""
+
+
+def validated(rows: DataFrame, rules: dict[str, Column]) -> Split:
+    """Rows that break no rule, and the others with all the rules they break; nothing is filled in."""
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules.items()]))
+    marked = rows.withColumn("reasons", broken)
+    out = split_on_reason(marked.withColumn("reason", F.when(F.size("reasons") > 0, F.array_join("reasons", ";"))).drop("reasons"))
+    return out
+
+
+def clashes(existing: DataFrame, batch: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows of a batch whose key is taken, in the store or twice in the batch."""
+    twice = batch.groupBy(*key).count().where("count > 1").select(*key)
+    return batch.join(existing.select(*key).distinct().union(twice).distinct(), list(key), "left_semi")
+
+
+def orphans(batch: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    return batch.join(parents.select(key).distinct(), key, "left_anti")
+
+
+def append(spark: SparkSession, path: str, batch: DataFrame, key: Sequence[str], parents: DataFrame | None = None, parent_key: str | None = None) -> None:
+    """Adds a batch to a Parquet store, or raises if a key is taken or a parent is missing."""
+    existing = stored(spark, path, batch)
+    if clashes(existing, batch, key).limit(1).count():
+        raise Rejected(f"key {tuple(key)} is taken")
+    if parents is not None and orphans(batch, parents, parent_key).limit(1).count():
+        raise Rejected(f"no parent for {parent_key}")
+    batch.write.mode("append").parquet(path)
+
+
+def stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The store's rows, none if it doesn't exist yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return like.limit(0)
+    return spark.read.schema(like.schema).parquet(path)
+
+
+def ledger_digest(rows: DataFrame) -> DataFrame:
+    """Row count and an order-free digest of the content, to show that old rows are as they were."""
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])), F.lit(0)).alias("digest"))
+
+
+def write_csv(rows: DataFrame, path: str, columns: Sequence[str], order: Sequence[str]) -> None:
+    """Fixed columns in a fixed order, sorted, with a header."""
+    rows.select(*columns).orderBy(*order).write.mode("errorifexists").csv(path, header=True)
+
+
+def overwrite_ruleset(rows: DataFrame, path: str) -> None:
+    """Signals replaced per ruleset, other rulesets untouched."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ruleset").parquet(path)
