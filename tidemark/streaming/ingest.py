@@ -10,11 +10,13 @@ from tidemark.sources.sinks import stored
 
 
 def new_vintages(store: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows of a batch (series_id, obs_date, value, known_at) whose value differs from the last stored vintage, and in turn from each other."""
+    """Rows of a batch (series_id, obs_date, value, known_at) known after the last stored vintage whose value differs from it, and in turn from each other."""
     from tidemark.operators.market import append_if_changed
 
     last = store.groupBy("series_id", "obs_date").agg(F.max_by("value", "known_at").alias("value"), F.max("known_at").alias("known_at"))
-    both = last.withColumn("new", F.lit(False)).unionByName(batch.select("series_id", "obs_date", "value", "known_at").withColumn("new", F.lit(True)))
+    stored_at = last.select("series_id", "obs_date", F.col("known_at").alias("stored_at"))
+    later = batch.join(stored_at, ["series_id", "obs_date"], "left").where("stored_at is null or known_at > stored_at")
+    both = last.withColumn("new", F.lit(False)).unionByName(later.select("series_id", "obs_date", "value", "known_at").withColumn("new", F.lit(True)))
     return append_if_changed(both).where("new").drop("new")
 
 
