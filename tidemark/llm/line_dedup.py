@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.common import checkpointed, fresh, repeated_groups, row_key
 
@@ -89,9 +90,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     runs = repeated_runs(docs, window).select(F.col("key_id").alias(kid), F.col("key_hash").alias(khash), F.col("starts").alias(starts))
     keyed = docs.select("*", *(c.alias(a) for c, a in zip(row_key(), (kid, khash))))
     joined = keyed.join(runs, [kid, khash], "left").select(*docs.columns, starts)
-    schema = docs.schema
-    for name in (total, gone):
-        schema = schema.add(name, "long")
+    schema = StructType([*docs.schema.fields, StructField(total, LongType()), StructField(gone, LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
