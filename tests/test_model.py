@@ -18,7 +18,7 @@ def book(spark, n=40):
 
 def test_simulation_is_unbiased_and_reproducible(spark):
     a = simulation.simulate(book(spark), paths=6000, rho=0.15, seed=1).toPandas()
-    b = simulation.simulate(book(spark).repartition(7), paths=6000, rho=0.15, seed=1, slices=5).toPandas()
+    b = simulation.simulate(book(spark).repartition(7), paths=6000, rho=0.15, seed=1).toPandas()
     assert len(a) == 6000 and a.breaks.mean() == pytest.approx(4.0, rel=0.05)
     a, b = a.sort_values("path").reset_index(drop=True), b.sort_values("path").reset_index(drop=True)
     assert (a.breaks == b.breaks).all() and np.allclose(a.pnl, b.pnl)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -12,49 +11,43 @@ from pyspark.sql import functions as F
 
 from tidemark.config import SIMULATION_PATHS, SIMULATION_RHO
 
-#: Paths that are drawn together.
-BLOCK = 2_000
+#: Paths that are drawn together, and positions that meet them at once.
+BLOCK, CHUNK = 2_000, 256
 
 
-def factor(seed: int, block: int, n: int) -> np.ndarray:
-    """The common factor of a block's paths, the same wherever it is drawn."""
-    return np.random.Generator(np.random.Philox(key=seed, counter=[0, 0, block, 1])).standard_normal(n)
-
-
-def own_noise(seed: int, block: int, deal: int, n: int) -> np.ndarray:
-    return np.random.Generator(np.random.Philox(key=seed, counter=[0, deal % 2**63, block, 2])).standard_normal(n)
+def draws(seed: int, block: int, part: int) -> np.random.Generator:
+    """A stream of its own for each block of paths and each slice of positions; -1 is the common factor's."""
+    return np.random.Generator(np.random.Philox(key=seed, counter=[0, 0, block, part + 1]))
 
 
 def simulate(positions: DataFrame, paths: int = SIMULATION_PATHS, rho: float = SIMULATION_RHO, seed: int = 1, slices: int = 32) -> DataFrame:
     """``path, pnl, breaks`` of each path for positions (deal_id, p_break, downside_notional, upside_notional).
 
     A position breaks where sqrt(rho) * factor + sqrt(1 - rho) * own noise is below its quantile. Positions are dealt to
-    ``slices``, each slice meets each block of paths in a task of its own and gives partial sums per path, which one
-    aggregation adds up. Draws depend on seed, block and deal alone, so partitions don't change the result (beyond
-    the order of the sums).
+    ``slices`` by a hash of their id; each slice meets each block of paths in a group of its own and gives partial sums
+    per path, which one aggregation adds up. Draws depend on seed, block and slice alone, so partitions don't change
+    the result (beyond the order of the sums). A group holds its slice's positions and CHUNK x BLOCK draws; larger
+    books take more slices.
     """
     blocks = positions.sparkSession.range(-(-paths // BLOCK)).select(F.col("id").alias("block"))
     dealt = positions.select("deal_id", "p_break", "downside_notional", "upside_notional").withColumn("slice", F.pmod(F.xxhash64("deal_id"), F.lit(slices)))
-    work = dealt.join(F.broadcast(blocks)).repartition(slices, "slice", "block")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pnl: dict[int, np.ndarray] = {}
-        hits: dict[int, np.ndarray] = {}
-        common: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, rows in batch.groupby("block"):
-                n = min(BLOCK, paths - block * BLOCK)
-                if block not in common:
-                    common[block], pnl[block], hits[block] = np.sqrt(rho) * factor(seed, block, n), np.zeros(n), np.zeros(n, np.int64)
-                for deal, p, down, up in zip(rows.deal_id, rows.p_break, rows.downside_notional, rows.upside_notional):
-                    bar = NormalDist().inv_cdf(min(max(p, 1e-9), 1 - 1e-9))
-                    broken = common[block] + np.sqrt(1 - rho) * own_noise(seed, block, int(deal), n) < bar
-                    pnl[block] += np.where(broken, -down, up)
-                    hits[block] += broken
-        for block, values in pnl.items():
-            yield pd.DataFrame({"path": block * BLOCK + np.arange(len(values)), "pnl": values, "breaks": hits[block]})
 
-    parts = work.mapInPandas(run, "path long, pnl double, breaks long")
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        part, block = int(key[0]), int(key[1])
+        n = min(BLOCK, paths - block * BLOCK)
+        common = np.sqrt(rho) * draws(seed, block, -1).standard_normal(n, dtype=np.float32)
+        noise, pnl, hits = draws(seed, block, part), np.zeros(n), np.zeros(n, np.int64)
+        rows = rows.sort_values("deal_id")
+        bars = np.array([NormalDist().inv_cdf(min(max(p, 1e-9), 1 - 1e-9)) for p in rows.p_break])
+        for at in range(0, len(rows), CHUNK):
+            here = rows.iloc[at : at + CHUNK]
+            own = noise.standard_normal((len(here), n), dtype=np.float32)
+            broken = common + np.float32(np.sqrt(1 - rho)) * own < bars[at : at + CHUNK, None]
+            pnl += here.upside_notional.sum() - (here.downside_notional + here.upside_notional).to_numpy() @ broken
+            hits += broken.sum(axis=0)
+        return pd.DataFrame({"path": block * BLOCK + np.arange(n), "pnl": pnl, "breaks": hits})
+
+    parts = dealt.join(F.broadcast(blocks)).groupBy("slice", "block").applyInPandas(run, "path long, pnl double, breaks long")
     return parts.groupBy("path").agg(F.sum("pnl").alias("pnl"), F.sum("breaks").alias("breaks"))
 
 
