@@ -78,10 +78,11 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
-def repeated_groups(df: DataFrame, by: list[str]) -> DataFrame:
+def repeated_groups(df: DataFrame, by: list[str], stands_for: str | None = None) -> DataFrame:
     """Rows of ``df`` whose ``by`` columns (longs, no nulls) another row shares.
 
-    One shuffle, a sort and a pass that holds one row back, so a group of any size streams through.
+    One shuffle, a sort and a pass that holds one row back, so a group of any size streams through. The column
+    ``stands_for`` tells how many rows a row stands for; other numbers than 1 pass by themselves.
     """
     names = df.columns
 
@@ -98,6 +99,8 @@ def repeated_groups(df: DataFrame, by: list[str]) -> DataFrame:
             after = np.append(same, False)  # its successor is like it
             before = np.insert(same, 0, False)
             keep = after | before
+            if stands_for:
+                keep |= rows.column(stands_for).to_numpy() != 1
             last_given = bool(keep[-1]) if rows.num_rows > 1 else given
             if held is not None and given:
                 keep[0] = False

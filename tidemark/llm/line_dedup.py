@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import checkpointed, fresh, repeated_groups, row_key
+from tidemark.llm.common import checkpointed, fresh, row_key
 
 #: Lines of the shortest run that is deleted, which is also the winnowing window.
 WINDOW = 2
@@ -64,11 +64,12 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             if columns[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=[k.split()[0] for k in kinds.split(", ")])
 
-    keyed = docs.select(F.col("doc_id").isNotNull().cast("int").alias("known"), *row_key(), "text").mapInArrow(run, kinds)
-    twice = checkpointed(repeated_groups(keyed, ["print", "whole"]))
+    rows = docs.select(F.col("doc_id").isNotNull().cast("int").alias("known"), *row_key(), "text")
+    keyed = checkpointed(rows.mapInArrow(run, kinds))
     place = F.struct("null_last", "key_id", "key_hash", "start")
-    first = twice.groupBy("print", "whole").agg(F.min(place).alias("first"))
-    later = twice.join(first, ["print", "whole"]).where(place > F.col("first"))
+    # summed up before the shuffle; a run that very many documents hold is split by the engine's skew join
+    first = keyed.groupBy("print", "whole").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = keyed.join(first, ["print", "whole"]).where(place > F.col("first"))
     return later.groupBy("key_id", "key_hash").agg(F.sort_array(F.collect_set("start")).alias("starts"))
 
 

@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": topk.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL, "op9_quality_rules": quality_rules.oracle_sql()}
+    return {"op1_topk": topk.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL, "op7_substring_dedup": substring.ORACLE_SQL, "op9_quality_rules": quality_rules.oracle_sql()}

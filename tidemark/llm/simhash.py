@@ -99,13 +99,17 @@ def near_links(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
 
     if n <= DIRECT:
         join_pairs(np.arange(n))
-    else:
-        for _, values in variants(fps, [s for s in segments(max_bits)]):
-            order = np.argsort(values, kind="stable")
-            cut = np.flatnonzero(np.diff(values[order])) + 1
-            for idx in np.split(order, cut):
-                if len(idx) > 1 and len({find(i) for i in idx.tolist()}) > 1:
-                    join_pairs(idx)
+    else:  # deal them out by variants of the bits in which they differ at all
+        varying = [b for b in range(BITS) if int(np.bitwise_or.reduce(fps ^ fps[0])) >> b & 1]
+        parts = max(1, min((max_bits + 2) // 2, len(varying)))
+        for own in np.array_split(np.array(varying, np.uint64), parts):
+            mask = np.bitwise_or.reduce(np.uint64(1) << own)
+            for bit in own:
+                values = fps & mask & ~(np.uint64(1) << bit)
+                order = np.argsort(values, kind="stable")
+                for idx in np.split(order, np.flatnonzero(np.diff(values[order])) + 1):
+                    if len(idx) > 1 and len({find(i) for i in idx.tolist()}) > 1:
+                        join_pairs(idx)
     roots = np.array([find(i) for i in range(n)])
     linked = np.flatnonzero(roots != np.arange(n))
     return fps[linked], fps[roots[linked]]

@@ -10,7 +10,9 @@ known, and the heaviest of them is its anchor: windows with equal words have equ
 Spark groups anchors by name. Windows that share an anchor occurrence are one row, with a hash of all the words they
 cover; where all rows of a name agree on that hash the windows are verified repeats at once. Where they
 differ (the ends of repeats, and chance), the windows are compared one by one by a hash of their words. Windows
-whose words determine no symbol are named by themselves. Groups stream through sorted partitions; no pairs are made.
+whose words determine no symbol are named by themselves. Rows that are alike within a task are verified there and
+stand for one before anything is shuffled, so a passage that many documents hold doesn't fill one partition. Groups
+stream through sorted partitions; no pairs are made.
 
 Defined cases: a null or empty text has no words; a text below ``window`` words has no window; rows that repeat id
 and text count as places of their own, so their windows are repeats; ids may repeat; an empty table gives an empty
@@ -36,7 +38,7 @@ WINDOW, ROUNDS = 35, 6
 #: Words that are rewritten together, words whose hashes a task remembers, rows of one name that it holds at most.
 BATCH_WORDS, REMEMBERED, HELD = 250_000, 400_000, 100_000
 
-CHUNK = "name long, span long, key_id long, key_hash long, lo int, cnt int"
+CHUNK = "name long, span long, key_id long, key_hash long, lo int, cnt int, n int"
 FOUND = "kind int, name long, key_id long, key_hash long, lo int, cnt int"
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -155,6 +157,22 @@ def chunk_rows(hashes: np.ndarray, lengths: np.ndarray, window: int, rounds: int
     return name, spans.hash(first, first + count + window - 1), doc[first], first - offset[doc[first]], count
 
 
+def combined(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows with a count ``n``: of rows alike in the first two columns one goes on with n = 2, and all of them are given
+    out as verified, n = 0, under names of their own that spread them over the partitions."""
+    order = np.lexsort((columns[1], columns[0]))
+    rows = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+    size = np.bincount(np.cumsum(new) - 1)
+    alike = np.repeat(size >= 2, size)
+    heads = [c[new] for c in rows]
+    spread = mix(rows[3][alike].view(np.uint64) + rows[4][alike].astype(np.uint64)).view(np.int64)
+    verified = [spread, *(c[alike] for c in rows[1:])]
+    n = np.concatenate([np.minimum(size, 2), np.zeros(int(alike.sum()), np.int64)]).astype(np.int32)
+    return [*(np.concatenate(pair) for pair in zip(heads, verified)), n]
+
+
 def group_found(rows: np.ndarray, seen: np.ndarray, mixed: bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """For whole groups of rows sorted by (name, span): what is found, and each (name, span)'s first row and size."""
     new = np.ones(rows.shape[1], bool)
@@ -183,8 +201,13 @@ def compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     held, seen, mixed = np.zeros((6, 0), np.int64), np.zeros(0, np.int64), False
     for batch in batches:
-        held = np.concatenate([held, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(6)])], axis=1)
-        seen = np.concatenate([seen, np.ones(batch.num_rows, np.int64)])
+        rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(7)])
+        done = rows[:6, rows[6] == 0]
+        yield from out([np.vstack([np.zeros((1, done.shape[1]), np.int64), done[[0, 2, 3, 4, 5]]])])
+        rows = rows[:, rows[6] > 0]
+        held, seen = np.concatenate([held, rows[:6]], axis=1), np.concatenate([seen, rows[6]])
+        if not held.shape[1]:
+            continue
         cut = int(np.flatnonzero(held[0] != held[0, -1])[-1]) + 1 if (held[0] != held[0, -1]).any() else 0
         if cut:
             yield from out(group_found(held[:, :cut], seen[:cut], mixed)[0])
@@ -234,7 +257,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
             name, span, doc, lo, cnt = chunk_rows(np.concatenate(hashed), np.array([len(h) for h in hashed]), window, rounds)
             if len(name):
                 own = np.array(keys, np.int64)[doc]
-                columns = [name.view(np.int64), span.view(np.int64), own[:, 0], own[:, 1], lo.astype(np.int32), cnt.astype(np.int32)]
+                columns = combined([name.view(np.int64), span.view(np.int64), own[:, 0], own[:, 1], lo.astype(np.int32), cnt.astype(np.int32)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=[c.split()[0] for c in CHUNK.split(", ")])
             keys.clear()
             hashed.clear()
@@ -259,19 +282,25 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, unpress = WordHashes(), zstandard.ZstdDecompressor()
         for batch in batches:
-            for row in batch.to_pylist():
+            parts: list[list[np.ndarray]] = []
+            held = 0
+            for i, row in enumerate(batch.to_pylist()):
                 spans = Spans(cache.of(unpress.decompress(row["z"]).split()))
                 lo = np.array([r["lo"] for r in row["ranges"]], np.int64)
                 cnt = np.array([r["cnt"] for r in row["ranges"]], np.int64)
                 start = np.repeat(lo, cnt) + np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt)
                 name = np.repeat(np.array([r["name"] for r in row["ranges"]], np.int64), cnt)
                 key = [np.full(len(start), row[k], np.int64) for k in ("key_id", "key_hash")]
-                columns = [name, spans.hash(start, start + window).view(np.int64), *key, start.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["name", "words", "key_id", "key_hash", "lo"])
+                parts.append([name, spans.hash(start, start + window).view(np.int64), *key, start.astype(np.int32)])
+                held += len(start)
+                if held >= BATCH_WORDS or i == batch.num_rows - 1:
+                    columns = combined([np.concatenate(c) for c in zip(*parts)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["name", "words", "key_id", "key_hash", "lo", "n"])
+                    parts, held = [], 0
 
     open_ranges = found.where("kind = 1").groupBy("key_id", "key_hash").agg(F.collect_set(F.struct("name", "lo", "cnt")).alias("ranges"))
     one_each = travelling(docs).join(open_ranges, ["key_id", "key_hash"]).select("key_id", "key_hash", "z", "ranges")
-    compared = repeated_groups(one_each.mapInArrow(windows, "name long, words long, key_id long, key_hash long, lo int"), ["name", "words"])
+    compared = repeated_groups(one_each.mapInArrow(windows, "name long, words long, key_id long, key_hash long, lo int, n int"), ["name", "words"], "n")
     verified = found.where("kind = 0").select("key_id", "key_hash", "lo", "cnt")
     return verified.union(compared.select("key_id", "key_hash", "lo", F.lit(1).alias("cnt")))
 
@@ -301,3 +330,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
 
     joined = travelling(docs).join(ranges, ["key_id", "key_hash"], "left").select("doc_id", "z", "ranges")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+
+
+#: The query's columns in DuckDB.
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS c FROM win) WHERE c > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS p FROM rep),
+words AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT words.rid, count(*) AS n, string_agg(word, ' ' ORDER BY words.p) AS t FROM words ANTI JOIN gone ON words.rid = gone.rid AND words.p = gone.p GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""
