@@ -155,7 +155,11 @@ def test_packing_is_a_round_trip(spark):
     rows += [(10_001, None), (10_002, ""), (10_003, "I'll say: don't <|endoftext|> x's’ ÉCOLE é ΣΑΣ İs ²³ ½ \x1c\x85 　 _a_b 3.14%% (q)'re")]
     pieces = packing.pack_documents(docs(spark, rows, 2)).collect()
     n, tokens = check_packing(pieces, rows, 2048)
-    assert n <= -(-tokens // 2048) + 4
+    filled = {}
+    for p in pieces:
+        filled[p["sequence_id"]] = filled.get(p["sequence_id"], 0) + p["length"]
+    assert all(x & (x - 1) == 0 for x in filled.values())  # no sequence needs padding
+    assert sum(x < 2048 for x in filled.values()) <= 2 * 11 and n == len(filled)
 
 
 def test_place_balances_cost():
@@ -167,7 +171,10 @@ def test_place_balances_cost():
     assert sum(per.values()) == lengths.sum() and max(per.values()) <= 2048 and len(per) == 2
     assert Counter(seq for item, seq, _, _ in at if lengths[item] >= 900) == {0: 2, 1: 2}
     cut = packing.place(np.array([1500, 1500, 1000]), 2048)
-    assert sum(n for *_, n in cut) == 4000 and len({s for _, s, _, _ in cut}) == 2
+    sums = Counter()
+    for _, seq, _, n in cut:
+        sums[seq] += n
+    assert sorted(sums.values()) == [32, 128, 256, 512, 1024, 2048]  # full, the rest in powers of two
 
 
 # ---- SimHash

@@ -2,11 +2,11 @@
 
 Each task tokenises its documents and packs them in groups of bounded size, so no document, token or plan leaves
 its task. A document longer than a sequence gives full sequences of its own; what is left of it, and every
-shorter document, is an item. In a group, the items' tokens fix the number of sequences. Items go, longest first,
+shorter document, is an item. In a group, the items' tokens fix the sequences: as many full ones as they fill, and
+for the rest shorter ones, each a power of two, which the format doesn't pad. Items go, longest first,
 to the sequence with the lowest estimated cost, ``linear * tokens + quadratic * tokens**2`` summed over its pieces
 (attention within a piece), among those with room for the whole item. If none has, the item is cut over the
-sequences with most room. So all sequences of a group but the last are full, or nearly: padding is below one
-sequence per group.
+sequences with most room. So every sequence is filled to its end and none is padded.
 
 Defined cases: a null or empty text is a document of one token, the end mark; repeated rows are packed one by
 one; an empty table gives no pieces; very long documents are cut.
@@ -85,9 +85,13 @@ class WordIds(dict):
 
 
 def place(lengths: np.ndarray, room: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int]]:
-    """(item, sequence, start in the item, tokens) for items of at most ``room`` tokens each."""
-    n = -(-int(lengths.sum()) // room)
-    left, cost, out = np.full(n, room, np.int64), np.zeros(n), []
+    """(item, sequence, start in the item, tokens) for items of at most ``room`` tokens each.
+
+    The sequences hold ``room`` tokens each, and the last ones the powers of two that make up the rest.
+    """
+    n, rest = divmod(int(lengths.sum()), room)
+    left = np.array([room] * n + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1], np.int64)
+    cost, out = np.zeros(len(left)), []
 
     def put(item: int, seq: int, start: int, tokens: int) -> None:
         left[seq] -= tokens
