@@ -47,7 +47,12 @@ def status(marked: DataFrame) -> DataFrame:
         F.count_if(supports & F.col("claim_type").isin("attributed_statement", "scheduled", "occurred")).alias("attributable"), F.count_if(F.col("retracted") & trusted_kind).alias("withdrawn"),
         F.max(F.when(supports & occurred, F.col("valid_at"))).alias("valid_at"),
     )
-    ladder = (
+    return agg.select("event_id", "cutoff", "n_records", "publishers", "valid_at", ladder().alias("status"))
+
+
+def ladder() -> Column:
+    """The first rule that fits a cluster's counts."""
+    return (
         F.when((F.col("withdrawn") > 0) & (F.col("support") == 0), "RETRACTED")
         .when((F.col("primary_against") > 0) | ((F.col("against") > 0) & (F.col("primary_for") == 0)), "DISPUTED")
         .when(F.col("primary_for") > 0, "VERIFIED_PRIMARY")
@@ -55,29 +60,60 @@ def status(marked: DataFrame) -> DataFrame:
         .when(F.col("attributable") > 0, "ATTRIBUTED_CLAIM")
         .otherwise("UNCONFIRMED")
     )
-    return agg.select("event_id", "cutoff", "n_records", "publishers", "valid_at", ladder.alias("status"))
+
+
+def changes(records: DataFrame) -> DataFrame:
+    """By how much each count of a cluster changes at each time at which something about it became known.
+
+    A record counts from its known time until the first revision of it is known. A publisher counts while any of its
+    records does: its running number of records, and a change where that leaves or reaches zero.
+    """
+    known = records.where("known_at is not null")
+    revised = known.where("revises is not null").groupBy("event_id", F.col("revises").alias("evidence_id")).agg(
+        F.min("known_at").alias("until"), F.min(F.when(F.col("revision_kind") == "retraction", F.col("known_at"))).alias("retracted_at")
+    )
+    rows = known.join(revised, ["event_id", "evidence_id"], "left")
+    trusted_kind, occurred = ~F.col("source_type").isin(*UNTRUSTED), F.col("claim_type") == "occurred"
+    trusted = trusted_kind & F.col("retrieved") & (F.coalesce("revision_kind", F.lit("")) != "retraction") & (F.col("until").isNull() | (F.col("until") > F.col("known_at")))
+    supports, contradicts, primary = trusted & (F.col("stance") == "supports"), trusted & (F.col("stance") == "contradicts"), F.col("source_type") == "primary_official"
+    flags = {
+        "support": supports, "against": contradicts, "primary_for": supports & primary & occurred, "primary_against": contradicts & primary,
+        "attributable": supports & F.col("claim_type").isin("attributed_statement", "scheduled", "occurred"), "secondary": supports & (F.col("source_type") == "reputable_secondary") & occurred,
+    }
+    rows = rows.select("event_id", "publisher", "known_at", "until", "retracted_at", trusted_kind.alias("trusted_kind"), *[F.coalesce(x, F.lit(False)).cast("long").alias(c) for c, x in flags.items()])
+
+    def step(at: Column, sign: int, withdrawn: Column) -> Column:
+        return F.struct(at.alias("cutoff"), *[(F.col(c) * sign).alias(c) for c in flags], withdrawn.cast("long").alias("withdrawn"))
+
+    none, nothing = F.lit(0), {c: F.lit(0).cast("long").alias(c) for c in (*flags, "withdrawn")}
+    withdrawal = F.struct(F.greatest("known_at", "retracted_at").alias("cutoff"), *[nothing[c] for c in flags], F.col("trusted_kind").cast("long").alias("withdrawn"))
+    steps = F.array(step(F.col("known_at"), 1, none), F.when(F.col("until").isNotNull(), step(F.col("until"), -1, none)), F.when(F.col("retracted_at").isNotNull(), withdrawal))
+    moved = rows.select("event_id", "publisher", F.explode(F.array_compact(steps)).alias("s")).select("event_id", "publisher", "s.*")
+    per = moved.where("secondary <> 0 and publisher is not null").groupBy("event_id", "publisher", "cutoff").agg(F.sum("secondary").alias("d"))
+    now = F.sum("d").over(Window.partitionBy("event_id", "publisher").orderBy("cutoff"))
+    voices = per.withColumn("n", now).select("event_id", "cutoff", ((F.col("n") > 0).cast("long") - (F.col("n") - F.col("d") > 0).cast("long")).alias("publishers"))
+    return moved.drop("publisher", "secondary").unionByName(voices, allowMissingColumns=True)
 
 
 def status_history(records: DataFrame) -> DataFrame:
     """Changes of each cluster's status over the times at which something about it became known.
 
-    Records meet the cut points of their own cluster only, so the work is bounded by cluster size.
+    Counts are running sums of their changes, so a cluster costs one sort of its times, however many records it has.
     """
-    points = records.where("known_at is not null").select("event_id", F.col("known_at").alias("cutoff")).distinct()
-    known = records.join(points, "event_id").where("known_at <= cutoff")
+    counts = ("support", "against", "primary_for", "primary_against", "attributable", "withdrawn", "publishers")
     w = Window.partitionBy("event_id").orderBy("cutoff")
-    rows = status(mark_revised(known)).withColumn("before", F.lag("status").over(w))
+    steps = changes(records).groupBy("event_id", "cutoff").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts])
+    rows = steps.withColumns({c: F.sum(c).over(w) for c in counts}).withColumn("status", ladder()).withColumn("before", F.lag("status").over(w))
     return rows.where(F.col("before").isNull() | (F.col("before") != F.col("status"))).select("event_id", F.col("cutoff").alias("as_of_utc"), "status")
 
 
 def admissible_since(history: DataFrame, cutoff: Column) -> DataFrame:
-    """Clusters admissible at the cut-off, and since when without a break."""
-    seen = history.where(F.col("as_of_utc") <= cutoff)
-    fine = F.col("status").isin(*ADMISSIBLE)
-    last_bad = F.max(F.when(~fine, F.col("as_of_utc")))
-    rows = seen.groupBy("event_id").agg(last_bad.alias("bad"), F.collect_list(F.struct("as_of_utc", fine.alias("fine"))).alias("h"))
-    after = F.array_min(F.transform(F.filter("h", lambda x: x["fine"] & (F.col("bad").isNull() | (x["as_of_utc"] > F.col("bad")))), lambda x: x["as_of_utc"]))
-    return rows.select("event_id", after.alias("admissible_since")).where("admissible_since is not null")
+    """Clusters admissible at the cut-off, and since when without a break: the last time they became so."""
+    w = Window.partitionBy("event_id").orderBy("as_of_utc")
+    seen = history.where(F.col("as_of_utc") <= cutoff).withColumn("fine", F.col("status").isin(*ADMISSIBLE))
+    rows = seen.withColumn("starts", F.col("fine") & ~F.coalesce(F.lag("fine").over(w), F.lit(False)))
+    last = rows.groupBy("event_id").agg(F.max_by("fine", "as_of_utc").alias("fine"), F.max(F.when(F.col("starts"), F.col("as_of_utc"))).alias("admissible_since"))
+    return last.where("fine").select("event_id", "admissible_since")
 
 
 def candidates(states: DataFrame, since: DataFrame) -> DataFrame:
