@@ -45,18 +45,20 @@ def latest_vintage(vintages: DataFrame, cutoff: Column, keys: Sequence[str], kno
     return vintages.where(F.col(known) <= cutoff).withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
 
 
-def as_of_join(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, values: Sequence[str], tie: str) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, values: Sequence[str], tie: str, rank: Sequence[str] | None = None) -> DataFrame:
     """Each left row with the values of the last right row of its key at or before its time.
 
-    Both sides go through one shuffle as a union, and a window carries the last right row forward, so a key's rows
-    are sorted once and no pairs are made.
+    ``right_at`` is when a right row can be used first; ``rank`` names the columns that tell which of the usable ones
+    is the last, where that isn't the order in which they became usable. Both sides go through one shuffle as a
+    union, and a window carries the last right row forward, so a key's rows are sorted once and no pairs are made.
     """
-    r = right.select(F.col(key), F.col(right_at).alias("t"), F.lit(0).alias("side"), F.col(tie).alias("tie"), F.struct(*values).alias("found"), F.lit(None).cast(left.select(F.struct("*").alias("x")).schema["x"].dataType).alias("row"))
-    kind = r.schema["found"].dataType
-    lft = left.select(F.col(key), F.col(at).alias("t"), F.lit(1).alias("side"), F.lit(None).cast(r.schema["tie"].dataType).alias("tie"), F.lit(None).cast(kind).alias("found"), F.struct("*").alias("row"))
-    w = Window.partitionBy(key).orderBy("t", "side", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    carried = r.unionByName(lft).withColumn("found", F.last("found", ignorenulls=True).over(w)).where("side = 1")
-    return carried.select("row.*", *[F.col("found")[v].alias(v) for v in values])
+    row_type = left.select(F.struct("*").alias("x")).schema["x"].dataType
+    order = F.struct(*[F.col(x).alias(f"o{i}") for i, x in enumerate(rank or (right_at, tie))])
+    r = right.select(F.col(key), F.col(right_at).alias("t"), F.lit(0).alias("side"), F.struct(order.alias("order"), F.struct(*values).alias("v")).alias("found"), F.lit(None).cast(row_type).alias("row"))
+    lft = left.select(F.col(key), F.col(at).alias("t"), F.lit(1).alias("side"), F.lit(None).cast(r.schema["found"].dataType).alias("found"), F.struct("*").alias("row"))
+    w = Window.partitionBy(key).orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    carried = r.unionByName(lft).withColumn("found", F.max("found").over(w)).where("side = 1")
+    return carried.select("row.*", *[F.col("found")["v"][v].alias(v) for v in values])
 
 
 def first_resolution(events: DataFrame, cutoff: Column) -> DataFrame:
@@ -92,11 +94,13 @@ def lifecycle_violations(events: DataFrame) -> DataFrame:
 
 
 def print_series(observations: DataFrame, cutoff: Column, vol_window: int = 5, key: str = "deal_id") -> DataFrame:
-    """Visible target prints with the offer known at each: spread, its change against the last spread, rolling volatility."""
+    """Visible target prints with the offer known by each: spread, its change against the last spread, rolling volatility."""
     seen = visible(observations, cutoff, "observed_at")
     prints = seen.where("target_price is not null").select(key, "seq", "observed_at", "known_at", "target_price")
-    offers = seen.where("offer_price is not null").select(key, F.col("observed_at").alias("offer_at"), F.col("seq").alias("offer_seq"), "offer_price")
-    rows = as_of_join(prints, offers, key, "observed_at", "offer_at", ["offer_price"], "offer_seq")
+    offers = seen.where("offer_price is not null").select(
+        key, F.greatest("observed_at", "known_at").alias("usable_at"), F.col("observed_at").alias("offer_at"), F.col("known_at").alias("offer_known_at"), F.col("seq").alias("offer_seq"), "offer_price"
+    )
+    rows = as_of_join(prints, offers, key, "observed_at", "usable_at", ["offer_price"], "offer_seq", rank=["offer_at", "offer_known_at", "offer_seq"])
     w = Window.partitionBy(key).orderBy("observed_at", "seq")
     spread = F.try_divide(F.col("offer_price") - F.col("target_price"), F.col("target_price"))
     rows = rows.withColumn("spread", spread)
@@ -106,4 +110,43 @@ def print_series(observations: DataFrame, cutoff: Column, vol_window: int = 5, k
     return rows.withColumn("delta_vol", F.when(F.count("delta").over(recent) >= least, F.stddev_samp("delta").over(recent)))
 
 
+
+def spread_panel(observations: DataFrame, events: DataFrame, cutoff: Column, vol_window: int = 5, least_prints: int = 3) -> DataFrame:
+    """Per deal of ``events`` its spread features at its last visible print, its label at the cut-off, and what becomes of it.
+
+    Features use only what was known by the feature time; a deal without a print takes its announcement's. A deal is
+    eligible, censored or excluded with a reason; rules apply in the order they stand in.
+    """
+    last = F.max(F.when(F.col("target_price").isNotNull(), F.col("observed_at"))).over(Window.partitionBy("deal_id"))
+    seen = visible(observations, cutoff, "observed_at").withColumn("print_at", last)
+    own = seen.where((F.col("observed_at") <= F.col("print_at")) & (F.col("known_at") <= F.col("print_at"))).drop("print_at")
+    newest = F.max_by(F.struct("spread", "delta", "delta_vol"), F.struct("observed_at", "seq")).alias("x")
+    features = print_series(own, cutoff, vol_window).groupBy("deal_id").agg(F.count("*").alias("n_prints"), F.count("delta").alias("n_delta"), newest)
+    times = seen.groupBy("deal_id").agg(F.first("print_at", ignorenulls=True).alias("print_at"))
+    rows = events.select("deal_id").distinct()
+    for more in (times, feature_dates(events, cutoff), features, first_resolution(events, cutoff)):
+        rows = rows.join(more, "deal_id", "left")
+    at, n = F.coalesce("print_at", "feature_at"), F.coalesce("n_prints", F.lit(0))
+    reason = (
+        F.when(at.isNull(), "no_known_announcement")
+        .when(at > cutoff, "feature_after_cutoff")
+        .when(n < least_prints, "insufficient_price_history")
+        .when(F.col("label").isNull(), "censored")
+        .when(at >= F.col("resolved_at"), "feature_not_before_resolution")
+    )
+    kind = F.when(reason.isNull(), "eligible").when(reason == "censored", "censored").otherwise("excluded")
+    return rows.select("deal_id", at.alias("feature_at"), n.alias("n_prints"), F.coalesce("n_delta", F.lit(0)).alias("n_delta"), "x.spread", "x.delta", "x.delta_vol", "label", kind.alias("disposition"), F.when(reason != "censored", reason).alias("reason"))
+
+
+def panel_diagnostic(panel: DataFrame, least_of_class: int = 2) -> DataFrame:
+    """Sizes of a panel and why it can't be used, if so: feature times at resolutions come before small classes."""
+    fine = F.col("disposition") == "eligible"
+    sizes = panel.agg(
+        F.count_if(fine).alias("n"), F.count_if(fine & (F.col("label") == 1)).alias("n_pos"), F.count_if(fine & (F.col("label") == 0)).alias("n_neg"), F.count_if(F.col("disposition") == "censored").alias("n_censored"),
+        F.count_if(F.col("reason") == "insufficient_price_history").alias("n_thin"), F.count_if(F.col("reason") == "feature_not_before_resolution").alias("n_collision"),
+    )
+    why = F.when(F.col("n_collision") > 0, "FEATURE_TIME_RESOLUTION_TIMESTAMP_COLLISION").when(F.least("n_pos", "n_neg") < least_of_class, "CLASS_BALANCE_BELOW_MIN_CLASS_N")
+    return sizes.withColumns({"block_reason": why, "valid": why.isNull()})
+
+
 STALE_PRINT = {"target_price": MAX_PRINT_AGE_DAYS}

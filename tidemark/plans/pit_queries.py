@@ -113,8 +113,8 @@ def lifecycle_order_violations(spark: SparkSession, d: str) -> DataFrame:
     with_views("observations", "SELECT 1").removesuffix("\nSELECT 1")
     + f""",
 seen AS (SELECT * FROM observations WHERE observed_at <= TIMESTAMP '{T}' AND known_at <= TIMESTAMP '{T}'),
-p AS (SELECT t.deal_id, t.seq, t.observed_at, any_value(t.target_price) AS target_price, arg_max(o.offer_price, (o.observed_at, o.seq)) AS offer_price
-  FROM seen t LEFT JOIN seen o ON o.deal_id = t.deal_id AND o.offer_price IS NOT NULL AND o.observed_at <= t.observed_at WHERE t.target_price IS NOT NULL GROUP BY 1, 2, 3),
+p AS (SELECT t.deal_id, t.seq, t.observed_at, any_value(t.target_price) AS target_price, arg_max(o.offer_price, (o.observed_at, o.known_at, o.seq)) AS offer_price
+  FROM seen t LEFT JOIN seen o ON o.deal_id = t.deal_id AND o.offer_price IS NOT NULL AND o.observed_at <= t.observed_at AND o.known_at <= t.observed_at WHERE t.target_price IS NOT NULL GROUP BY 1, 2, 3),
 s AS (SELECT *, (offer_price - target_price) / nullif(target_price, 0) AS spread FROM p),
 e AS (SELECT *, spread - last_value(spread IGNORE NULLS) OVER (PARTITION BY deal_id ORDER BY observed_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS delta FROM s)
 SELECT deal_id, seq, round(spread, 6) AS spread, round(delta, 6) AS delta, round(CASE WHEN count(delta) OVER r >= 3 THEN stddev_samp(delta) OVER r END, 5) AS delta_vol
@@ -125,6 +125,37 @@ def spread_delta_vol(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("deal_id", "seq", F.round("spread", 6).alias("spread"), F.round("delta", 6).alias("delta"), F.round("delta_vol", 5).alias("delta_vol"))
 
 
+_PANEL = with_views("observations lifecycle", "SELECT 1").removesuffix("\nSELECT 1") + f""",
+{_SEEN},{_LABEL},
+ann AS (SELECT deal_id, arg_min(greatest(event_at, known_at), (event_at, seq)) AS announced_at FROM seen WHERE event_type = 'announcement' GROUP BY 1),
+prints AS (SELECT *, max(observed_at) OVER (PARTITION BY deal_id) AS print_at FROM observations WHERE target_price IS NOT NULL AND observed_at <= TIMESTAMP '{T}' AND known_at <= TIMESTAMP '{T}'),
+own AS (SELECT t.deal_id, t.seq, t.observed_at, any_value(t.target_price) AS target_price, arg_max(o.offer_price, (o.observed_at, o.known_at, o.seq)) AS offer_price
+  FROM prints t LEFT JOIN observations o ON o.deal_id = t.deal_id AND o.offer_price IS NOT NULL AND o.observed_at <= t.observed_at AND o.known_at <= t.observed_at WHERE t.known_at <= t.print_at GROUP BY 1, 2, 3),
+sp AS (SELECT *, (offer_price - target_price) / nullif(target_price, 0) AS spread FROM own),
+de AS (SELECT *, spread - last_value(spread IGNORE NULLS) OVER (PARTITION BY deal_id ORDER BY observed_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS delta FROM sp),
+vo AS (SELECT *, CASE WHEN count(delta) OVER r >= 3 THEN stddev_samp(delta) OVER r END AS vol FROM de WINDOW r AS (PARTITION BY deal_id ORDER BY observed_at, seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+ft AS (SELECT deal_id, count(*) AS n_prints, count(delta) AS n_delta, arg_max(struct_pack(s := spread, d := delta, v := vol), (observed_at, seq)) AS x FROM vo GROUP BY 1),
+al AS (SELECT u.deal_id, coalesce(print_at, announced_at) AS feature_at, coalesce(n_prints, 0) AS n_prints, coalesce(n_delta, 0) AS n_delta, x.s AS spread, x.d AS delta, x.v AS delta_vol, label, resolved_at
+  FROM (SELECT DISTINCT deal_id FROM lifecycle) u LEFT JOIN (SELECT DISTINCT deal_id, print_at FROM prints) USING (deal_id) LEFT JOIN ann USING (deal_id) LEFT JOIN ft USING (deal_id) LEFT JOIN lab USING (deal_id)),
+rs AS (SELECT *, CASE WHEN feature_at IS NULL THEN 'no_known_announcement' WHEN feature_at > TIMESTAMP '{T}' THEN 'feature_after_cutoff' WHEN n_prints < 3 THEN 'insufficient_price_history' WHEN label IS NULL THEN 'censored'
+  WHEN feature_at >= resolved_at THEN 'feature_not_before_resolution' END AS why FROM al),
+panel AS (SELECT * EXCLUDE (why), CASE WHEN why IS NULL THEN 'eligible' WHEN why = 'censored' THEN 'censored' ELSE 'excluded' END AS disposition, nullif(why, 'censored') AS reason FROM rs)
+"""
+
+
+@query(_PANEL + "SELECT deal_id, feature_at, n_prints, n_delta, round(spread, 6) AS spread, round(delta, 6) AS delta, round(delta_vol, 5) AS delta_vol, label, disposition, reason FROM panel")
+def spread_stress_panel(spark: SparkSession, d: str) -> DataFrame:
+    panel = pit.spread_panel(c.observations(spark, d), c.lifecycle(spark, d), at())
+    return panel.withColumns({x: F.round(x, n) for x, n in (("spread", 6), ("delta", 6), ("delta_vol", 5))})
+
+
+@query(_PANEL + """SELECT n, n_pos, n_neg, n_censored, n_thin, n_collision, CASE WHEN n_collision > 0 THEN 'FEATURE_TIME_RESOLUTION_TIMESTAMP_COLLISION' WHEN least(n_pos, n_neg) < 2 THEN 'CLASS_BALANCE_BELOW_MIN_CLASS_N' END AS block_reason, n_collision = 0 AND least(n_pos, n_neg) >= 2 AS valid
+FROM (SELECT count(*) FILTER (disposition = 'eligible') AS n, count(*) FILTER (disposition = 'eligible' AND label = 1) AS n_pos, count(*) FILTER (disposition = 'eligible' AND label = 0) AS n_neg, count(*) FILTER (disposition = 'censored') AS n_censored,
+  count(*) FILTER (reason = 'insufficient_price_history') AS n_thin, count(*) FILTER (reason = 'feature_not_before_resolution') AS n_collision FROM panel)""")
+def panel_diagnostic(spark: SparkSession, d: str) -> DataFrame:
+    return pit.panel_diagnostic(pit.spread_panel(c.observations(spark, d), c.lifecycle(spark, d), at()))
+
+
 @query(
     with_views(
         "lifecycle",
