@@ -57,6 +57,10 @@ NAME_FILLER = (
     "the inc incorporated corp corporation co company companies ltd limited plc llc lp l p sa s a nv n v ag se holdings "
     "holding group trust class cl common stock shares share ordinary new com de del delaware and"
 ).split()
+#: Words that a company's code skips.
+TOKEN_FILLER = (
+    "INC INCORPORATED CORP CORPORATION COMPANY CO LTD PLC THE AND OF GROUP HOLDINGS HOLDING LLC LP N A CLASS COMMON STOCK AFFILIATE AFFILIATES"
+).split()
 #: Tolerances (absolute, relative) of the price reconciliation rules.
 RECONCILE_RULES = {"price_reconcile_v1": (1e-4, 1e-6), "price_reconcile_v2": (0.01, 1e-4)}
 #: Session offsets of the snapshot policies.

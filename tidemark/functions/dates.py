@@ -68,3 +68,19 @@ def stamp(text: Column) -> Column:
     hi = F.when(timed == "", F.lit("23:59:59")).otherwise(F.concat(timed, F.when(seconds == "", ":59").otherwise(seconds)))
     at = lambda day, time: F.try_to_timestamp(F.concat(day, F.lit("T"), time)).cast("timestamp_ntz")
     return F.struct(text.alias("value"), precision.alias("precision"), at(first, lo).alias("earliest"), at(last, hi).alias("latest"))
+
+
+def time_point(text: Column) -> Column:
+    """A stamp's precision and the last UTC moment it can mean; a time of day without a zone is refused (precision ``refused``).
+
+    Tokens for a missing value and null are null. A bare date is the end of its day.
+    """
+    plain = F.trim(text)
+    missing = plain.isNull() | F.lower(plain).isin("", "n/d", "nd", "unknown", "none", "null")
+    day = plain.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    zoned = F.regexp_replace(plain, " ", "T").rlike(r"T.*(Z|[+-]\d{2}:\d{2})$")
+    end = F.try_to_timestamp(F.concat(plain, F.lit("T23:59:59.999999Z")))
+    moment = F.when(day, end).when(zoned, F.try_to_timestamp(plain))
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment.cast("timestamp_ntz"))
+    precision = F.when(missing, None).when(moment.isNull(), "refused").when(day, "day").otherwise("second")
+    return F.struct(precision.alias("precision"), F.when(~missing, utc).alias("latest_utc"))

@@ -35,3 +35,14 @@ def price_agreement(a: Column, b: Column, absolute: float, relative: float) -> C
 
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
+
+
+def logit(p: Column) -> Column:
+    """ln(p / (1 - p)) of a probability kept off 0 and 1 by 1e-9."""
+    q = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), p))
+    return F.ln(q / (1 - q))
+
+
+def log_value(x: Column) -> Column:
+    """ln of a positive amount; null otherwise."""
+    return F.when(x > 0, F.ln(x))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.config import NAME_FILLER
+from tidemark.config import NAME_FILLER, TOKEN_FILLER
 
 
 def html_strip(html: Column) -> Column:
@@ -53,3 +53,19 @@ def short_hash(*parts: Column, n: int = 12) -> Column:
 def missing_to_null(text: Column) -> Column:
     """A number, or null for the tokens that stand for a missing value; other text raises under strict reading."""
     return F.when(F.trim(text).isin(".", ""), None).otherwise(text.try_cast("double"))
+
+
+def redacted(text: Column) -> Column:
+    """Without the values of api keys in it."""
+    return F.regexp_replace(text, r"(?i)(api_key=)[^&\s]+", "$1***")
+
+
+def ticker_token(name: Column) -> Column:
+    """A short upper-case code for a company name: its first telling word, or all of them if that is short; UNK if none."""
+    words = F.filter(F.split(F.upper(F.regexp_replace(name, "[^A-Za-z0-9 ]+", " ")), " +"), lambda w: (w != "") & ~w.isin(TOKEN_FILLER))
+    token = F.when(F.length(F.element_at(words, 1)) >= 3, F.element_at(words, 1)).otherwise(F.array_join(words, ""))
+    return F.when(F.size(words) > 0, F.substring(token, 1, 6)).otherwise("UNK")
+
+
+def deal_code(target: Column, acquirer: Column, year: Column) -> Column:
+    return F.concat(F.lit("DEAL-"), ticker_token(target), F.lit("-"), ticker_token(acquirer), F.lit("-"), year.cast("string"))
