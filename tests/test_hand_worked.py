@@ -190,3 +190,13 @@ def test_ambiguous_identity_stops_the_chain(spark):
     rows = spark.createDataFrame([("x", 1, "t", "NO_HISTORY"), ("x", 2, "y", "ok"), ("z", 1, "t", "IDENTITY_AMBIGUOUS"), ("z", 2, "y", "ok")], "deal_id string, place int, provider string, status string")
     got = {r["deal_id"]: (r["chosen_place"], r["result"]) for r in prices.fallback_choice(rows).collect()}
     assert got == {"x": (2, "OK"), "z": (None, "IDENTITY_AMBIGUOUS")}
+
+
+def test_time_points_and_codes(spark):
+    cells = [None, " ", "N/D", "2026-02-30", "2026-02-28", "2026-02-28T10:00:00", "2026-02-28 10:00:00+02:00", "soon"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(cells)], "i int, t string")
+    got = [tuple(r["p"]) for r in rows.orderBy("i").select(dates.time_point(F.col("t")).alias("p")).collect()]
+    assert [g[0] for g in got] == [None, None, None, "refused", "day", "refused", "second", "refused"]
+    assert got[4][1] == datetime(2026, 2, 28, 23, 59, 59, 999999) and got[6][1] == datetime(2026, 2, 28, 8)
+    names = spark.createDataFrame([("The Big Company, Inc.",), ("A B",), ("3M Co",), ("Co",)], "n string")
+    assert [r[0] for r in names.select(text.ticker_token(F.col("n"))).collect()] == ["BIG", "B", "3M", "UNK"]

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import spark_rows
-from tidemark.operators import model, simulation
+from tidemark.operators import model, review, simulation
 
 
 def book(spark, n=40):
@@ -62,3 +62,17 @@ def test_fingerprint_sees_content_not_order(spark):
     one = spark_rows(model.fingerprint(rows, cols))
     assert one == spark_rows(model.fingerprint(rows.repartition(5), cols))
     assert one != spark_rows(model.fingerprint(rows.withColumn("label", F.when(F.col("deal_id") == 7, 1 - F.col("label")).otherwise(F.col("label"))), cols))
+
+
+@pytest.mark.parametrize(("n", "method"), [(400, "isotonic"), (60, "platt"), (8, "none")])
+def test_calibration(spark, n, method):
+    """Scores twice too high come down to the rate of breaks; missing ones stay missing."""
+    sample = spark.range(n).selectExpr("(id % 10) / 10.0D as p_break", "cast(id div 10 % 20 < id % 10 as int) as label")
+    rows = spark.createDataFrame([(1, 0.2), (2, 0.8), (3, None)], "deal_id long, p_break double")
+    got = {r["deal_id"]: r for r in review.calibrated(sample, rows).collect()}
+    assert {r["method"] for r in got.values()} == {method} and got[3]["p_calibrated"] is None
+    assert got[1]["p_calibrated"] <= got[2]["p_calibrated"]
+    if method == "none":
+        assert got[2]["p_calibrated"] == 0.8
+    if method == "isotonic":
+        assert got[2]["p_calibrated"] == pytest.approx(0.4, abs=0.1)

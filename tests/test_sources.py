@@ -115,3 +115,24 @@ def test_daily_closes_of_a_stream(spark, tmp_path):
     q = ingest.daily_closes(ingest.read_stream(spark, source, kind)).writeStream.outputMode("append").format("memory").queryName("closes").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
     assert [(r["obs_date"], r["close"], r["n"]) for r in spark.sql("select * from closes").collect()] == [(date(2026, 1, 1), 2.0, 2)]
+
+
+def test_price_manifest_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("d", "m", date(2026, 1, 5), 2.0, datetime(2026, 1, 6)), ("d", "m", date(2026, 1, 2), 1.0, datetime(2026, 1, 3))], "deal_id string, source string, session_date date, price double, known_at timestamp_ntz")
+    sinks.write_price_manifest(rows, str(tmp_path / "m"))
+    got = readers.price_manifest(spark, str(tmp_path / "m" / "*.json")).orderBy("line")
+    assert [(r["line"], r["session_date"], r["price"], r["known_at"]) for r in got.collect()] == [(0, date(2026, 1, 2), 1.0, datetime(2026, 1, 3)), (1, date(2026, 1, 5), 2.0, datetime(2026, 1, 6))]
+
+
+def test_brief_items_are_untrusted(spark, tmp_path):
+    path = put(tmp_path / "b.json", {"url": "https://x.example/b", "published_at": "2026-01-02T00:00:00", "items": [{"statement": "s", "claim_type": "occurred"}, {"statement": "t", "claim_type": "prediction"}]})
+    got = readers.brief_items(spark, path).orderBy("source_url").collect()
+    assert [r["source_url"] for r in got] == ["https://x.example/b#item-0", "https://x.example/b#item-1"] and {r["source_type"] for r in got} == {"ai_brief"}
+
+
+def test_tampered_evidence_is_refused(spark, tmp_path):
+    content = dict.fromkeys(readers.EVIDENCE_PARTS, "x")
+    own = spark.range(1).select(readers.short_hash(*[F.lit("x")] * len(content), n=16)).first()[0]
+    path = put(tmp_path / "e.jsonl", "\n".join([json.dumps(content | {"evidence_id": own}), json.dumps(content | {"evidence_id": own, "stance": "y"})]))
+    got = readers.evidence_ledger(spark, path)
+    assert got.accepted.count() == 1 and got.rejected.first()["stance"] == "y"

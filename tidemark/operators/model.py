@@ -51,6 +51,14 @@ def predict(rows: DataFrame, fitted) -> DataFrame:
     return out.select(*rows.columns, "p_model")
 
 
+def coefficients(spark, fitted) -> DataFrame:
+    """Weight and odds ratio of each standardised column; an association, not a cause."""
+    learnt, model = fitted
+    names = [f"{p}_{f}" for p in ("z", "na") for f in learnt]
+    rows = spark.createDataFrame([(n, float(b)) for n, b in zip(names, model.coefficients)], "feature string, weight double")
+    return rows.withColumn("odds_ratio", F.exp("weight"))
+
+
 def walk_forward(rows: DataFrame, features: Sequence[str], cutoffs: Sequence[str]) -> DataFrame:
     """Scores of each window (cutoff, next cutoff] by a model of what was resolved by its cutoff.
 

@@ -1,4 +1,4 @@
-"""Filings, identities and stamps under review: which filing supports which event, which comes first, what a text stamp means; calibration."""
+"""Filings, identities and evidence under review: reading order, windows, authorities, ledger rules; calibration and report charts."""
 
 from __future__ import annotations
 
@@ -16,36 +16,20 @@ from tidemark.config import MIN_SAMPLE_N
 from tidemark.functions.finance import logit, sigmoid
 from tidemark.functions.text import url_host
 
-#: Filings that support an event (event, forms, items of which one is needed, forms that do without).
-FILING_RULES = (
-    ("announcement", ("8-K", "8-K/A"), ("1.01",), ("425",)),
-    ("closed", ("8-K", "8-K/A"), ("2.01",), ("25-NSE", "15-12B", "15-12G")),
-    ("terminated", ("8-K", "8-K/A"), ("1.02",), ()),
-    ("withdrawn", ("8-K", "8-K/A"), ("1.02", "8.01"), ("RW",)),
-)
 #: Forms that a reviewer reads after the current reports.
 PROXY_FORMS = ("DEFM14A", "PREM14A", "S-4", "S-4/A", "SC TO-T", "SC 13E-3", "SC 13E3")
 LOOKBACK_DAYS = 365
 
 
-def _items(items: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(items, F.lit("")), ","), F.trim), lambda x: x != "")
-
-
-def supported_events(filings: DataFrame) -> DataFrame:
-    """One row per filing (form, items) and event that it supports; the rules are a literal, so nothing is joined."""
-    got = _items(F.col("items"))
-    fits = [
-        F.when((F.col("form").isin(*forms) & F.arrays_overlap(got, F.array(*map(F.lit, items)))) | F.col("form").isin(*others), F.lit(event))
-        for event, forms, items, others in FILING_RULES
-    ]
-    return filings.withColumn("event", F.explode(F.array_compact(F.array(*fits))))
+def item_list(items: Column) -> Column:
+    """The items of a filing as an array."""
+    return F.filter(F.transform(F.split(F.coalesce(items, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def preferred_filings(filings: DataFrame, key: str = "deal_id") -> DataFrame:
     """Reading order of a deal's filings: agreements in current reports, other current reports, proxies, the rest; then date and accession."""
     current = F.col("form").isin("8-K", "8-K/A")
-    rank = F.when(current & F.array_contains(_items(F.col("items")), "1.01"), 0).when(current, 1).when(F.col("form").isin(*PROXY_FORMS), 2).otherwise(3)
+    rank = F.when(current & F.array_contains(item_list(F.col("items")), "1.01"), 0).when(current, 1).when(F.col("form").isin(*PROXY_FORMS), 2).otherwise(3)
     w = Window.partitionBy(key).orderBy(rank, F.coalesce("filed", F.lit("0001-01-01").cast("date")), F.coalesce("accession", F.lit("")))
     return filings.withColumn("place", F.row_number().over(w))
 
@@ -82,6 +66,33 @@ def authorities(pages: DataFrame, registry: DataFrame) -> DataFrame:
     return pages.select("page_id", "url").join(best, "page_id", "left")
 
 
+def ledger_violations(records: DataFrame) -> DataFrame:
+    """Every rule of the ledger that each record (evidence_id, event_id, source_url, stance, statement, publisher, revises) breaks.
+
+    Ids are unique, and so are event, source, stance and what is revised together; a statement belongs to one cluster;
+    a revision names a record of its own cluster and publisher. Counts are aggregated before they are joined, so a
+    popular key is no group in one task.
+    """
+    same = ["event_id", "source_url", "stance", "revised"]
+    rows = records.withColumn("revised", F.coalesce(F.col("revises").cast("string"), F.lit("")))
+    ids = rows.groupBy("evidence_id").agg(F.count("*").alias("n_id"))
+    keys = rows.groupBy(*same).agg(F.count("*").alias("n_key"))
+    homes = rows.where("statement is not null").groupBy("statement").agg((F.min("event_id") != F.max("event_id")).alias("spread_out"))
+    targets = rows.groupBy(F.col("evidence_id").alias("revises")).agg(F.min("event_id").alias("their_event"), F.min("publisher").alias("their_publisher"))
+    rows = rows.join(ids, "evidence_id").join(keys, same).join(homes, "statement", "left").join(targets, "revises", "left")
+    revision = F.col("revises").isNotNull()
+    rules = {
+        "duplicate_id": F.col("n_id") > 1,
+        "duplicate_evidence": F.col("n_key") > 1,
+        "statement_in_two_clusters": F.col("spread_out"),
+        "unknown_revision_target": revision & F.col("their_event").isNull(),
+        "revision_of_other_cluster": revision & (F.col("their_event") != F.col("event_id")),
+        "revision_of_other_publisher": revision & (F.col("their_publisher") != F.col("publisher")),
+    }
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]))
+    return rows.select("evidence_id", F.array_join(broken, ";").alias("violations")).where("violations <> ''")
+
+
 def calibrated(sample: DataFrame, rows: DataFrame, score: str = "p_break") -> DataFrame:
     """``rows`` with ``p_calibrated`` and ``method``, learnt on an earlier ``sample`` with ``label``.
 

@@ -10,6 +10,7 @@ from tidemark.operators import review as r
 from tidemark.plans import carriers as c
 from tidemark.plans.carriers import with_views
 from tidemark.plans.registry import query
+from tidemark.sources import readers
 
 _FORM = "case l_partkey % 7 when 0 then '8-K' when 1 then '8-K/A' when 2 then '425' when 3 then '25-NSE' when 4 then 'RW' when 5 then 'S-4' else '10-Q' end"
 _ITEM = "case l_suppkey % 5 when 0 then '1.01' when 1 then '2.01, 9.01' when 2 then '1.02' when 3 then '8.01,9.01' end"
@@ -26,9 +27,9 @@ def _rule(event: str, forms: tuple, items: tuple, others: tuple) -> str:
     return f"SELECT accession, '{event}' AS event FROM filings WHERE (form IN {forms} AND ({some}))" + (f" OR form IN ({', '.join(repr(x) for x in others)})" if others else "")
 
 
-@query(f"WITH {_FILINGS}\n" + " UNION ALL ".join(_rule(*x) for x in r.FILING_RULES))
+@query(f"WITH {_FILINGS}\n" + " UNION ALL ".join(_rule(*x) for x in readers.EVENT_RULES))
 def filing_event_match(spark: SparkSession, d: str) -> DataFrame:
-    return r.supported_events(_filings(spark, d)).select("accession", "event")
+    return readers.filing_events(_filings(spark, d).withColumn("items", r.item_list(F.col("items")))).select("accession", "event")
 
 
 @query(f"""WITH {_FILINGS}
@@ -136,3 +137,16 @@ _CHARTS = (("claim_type", "year"), ("source_type",), ("publisher", "stance"))
     f"SELECT '{' x '.join(x)}' AS chart, {' || chr(32) || chr(124) || chr(32) || '.join(f'CAST({k} AS VARCHAR)' for k in x)} AS bucket, count(*) AS n FROM e GROUP BY {', '.join(x)}" for x in _CHARTS))
 def report_charts(spark: SparkSession, d: str) -> DataFrame:
     return r.report_charts(c.evidence(spark, d).withColumn("year", F.year("valid_at")), _CHARTS)
+
+
+@query(with_views("evidence", "SELECT 1").removesuffix("\nSELECT 1") + """,
+r AS (SELECT evidence_id, event_id, stance, publisher, revises, source_type || '/' || publisher || '/' || (evidence_id % 50) AS source_url, 'statement ' || (evidence_id % 700) AS statement FROM evidence),
+m AS (SELECT a.*, count(*) OVER (PARTITION BY a.evidence_id) AS n_id, count(*) OVER (PARTITION BY a.event_id, source_url, a.stance, a.revises) AS n_key,
+  min(a.event_id) OVER (PARTITION BY statement) <> max(a.event_id) OVER (PARTITION BY statement) AS two, t.event_id AS te, t.publisher AS tp FROM r a LEFT JOIN evidence t ON t.evidence_id = a.revises)
+SELECT evidence_id, violations FROM (SELECT evidence_id, array_to_string(list_filter([CASE WHEN n_id > 1 THEN 'duplicate_id' END, CASE WHEN n_key > 1 THEN 'duplicate_evidence' END, CASE WHEN two THEN 'statement_in_two_clusters' END,
+  CASE WHEN revises IS NOT NULL AND te IS NULL THEN 'unknown_revision_target' END, CASE WHEN te <> event_id THEN 'revision_of_other_cluster' END, CASE WHEN tp <> publisher THEN 'revision_of_other_publisher' END], lambda x: x IS NOT NULL), ';') AS violations FROM m) WHERE violations <> ''""")
+def ledger_rules(spark: SparkSession, d: str) -> DataFrame:
+    records = c.evidence(spark, d).selectExpr(
+        "evidence_id", "event_id", "stance", "publisher", "revises", "concat(source_type, '/', publisher, '/', evidence_id % 50) as source_url", "concat('statement ', evidence_id % 700) as statement"
+    )
+    return r.ledger_violations(records)

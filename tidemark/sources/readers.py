@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import missing_to_null
+from tidemark.functions.text import missing_to_null, short_hash
 
 
 class Split(NamedTuple):
@@ -39,7 +39,7 @@ def filings(spark: SparkSession, path: str) -> DataFrame:
     kind = "cik string, filings struct<recent:struct<accessionNumber:array<string>,form:array<string>,filingDate:array<string>,items:array<string>>>"
     recent = spark.read.option("multiLine", True).schema(kind).json(path).select("cik", "filings.recent.*")
     rows = recent.select("cik", F.explode(F.arrays_zip("accessionNumber", "form", "filingDate", "items")).alias("f"))
-    return rows.select("cik", F.col("f.accessionNumber").alias("accession"), "f.form", F.to_date("f.filingDate").alias("filing_date"), F.split("f.items", ",").alias("items"))
+    return rows.select("cik", F.col("f.accessionNumber").alias("accession"), "f.form", F.to_date("f.filingDate").alias("filing_date"), F.transform(F.split("f.items", ","), lambda x: F.trim(x)).alias("items"))
 
 
 #: Which filings show an event (event, forms that need an item, items, forms that suffice).
@@ -116,6 +116,31 @@ def candidate_queue(hits: DataFrame, known: DataFrame) -> DataFrame:
     return fresh.withColumn("rank", F.row_number().over(Window.orderBy("filed", "accession")))
 
 
+def price_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Reviewed price manifests (deal_id, source, prints) -> one row per print."""
+    kind = "deal_id string, source string, prints array<struct<session_date:string,price:double,known_at:string>>"
+    rows = spark.read.option("multiLine", True).schema(kind).json(path).select("deal_id", "source", F.posexplode("prints").alias("line", "p"))
+    return rows.select("deal_id", "source", "line", F.to_date("p.session_date").alias("session_date"), "p.price", F.try_to_timestamp("p.known_at").cast("timestamp_ntz").alias("known_at"))
+
+
+def brief_items(spark: SparkSession, path: str) -> DataFrame:
+    """Items of generated briefs as untrusted records; each one's url points at its item."""
+    kind = "url string, published_at string, items array<struct<statement:string,claim_type:string>>"
+    rows = spark.read.option("multiLine", True).schema(kind).json(path).select("url", "published_at", F.posexplode("items").alias("i", "x"))
+    url = F.concat("url", F.lit("#item-"), F.col("i").cast("string"))
+    return rows.select(url.alias("source_url"), F.lit("ai_brief").alias("source_type"), F.lit(False).alias("retrieved"), "x.statement", "x.claim_type", F.try_to_timestamp("published_at").cast("timestamp_ntz").alias("known_at"))
+
+
+EVIDENCE_PARTS = ("event_id", "source_url", "stance", "statement", "publisher", "revises")
+
+
+def evidence_ledger(spark: SparkSession, path: str) -> Split:
+    """Stored evidence as JSON lines; a record whose id isn't the hash of its content was tampered with."""
+    rows = spark.read.schema("evidence_id string, " + ", ".join(f"{x} string" for x in EVIDENCE_PARTS)).json(path)
+    own = short_hash(*[F.col(x) for x in EVIDENCE_PARTS], n=16)
+    return split_on_reason(rows.withColumn("reason", F.when(F.coalesce(F.col("evidence_id") != own, F.lit(True)), "id_is_not_the_hash_of_its_content")))
+
+
 class Unconfigured(RuntimeError):
     """A provider without credentials refuses; it never invents rows."""
 

@@ -60,6 +60,13 @@ def write_csv(rows: DataFrame, path: str, columns: Sequence[str], order: Sequenc
     rows.select(*columns).orderBy(*order).write.mode("errorifexists").csv(path, header=True)
 
 
+def write_price_manifest(prints: DataFrame, path: str) -> None:
+    """One JSON line per deal and source with its prints (session_date, price, known_at) in order and their hash; grows with the days of a deal."""
+    entries = F.array_sort(F.collect_list(F.struct(F.col("session_date").cast("string").alias("session_date"), "price", F.date_format("known_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("known_at"))))
+    rows = prints.groupBy("deal_id", "source").agg(entries.alias("prints"))
+    rows.withColumn("sha256", F.sha2(F.to_json("prints"), 256)).write.mode("errorifexists").json(path)
+
+
 def overwrite_ruleset(rows: DataFrame, path: str) -> None:
     """Signals replaced per ruleset, other rulesets untouched."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ruleset").parquet(path)
