@@ -17,9 +17,9 @@ FEATURES = ("pct_spread", "annualized_spread", "premium_to_unaffected", "log_dea
 
 @query()
 def monte_carlo(spark: SparkSession, d: str) -> DataFrame:
-    """Risk report of the open book over 10,000 paths; a simulation has no SQL, its statistics are tested."""
+    """Risk report of the open book over the reference's 100,000 paths; a simulation has no SQL, its statistics are tested."""
     book = c.positions(spark, d).withColumn("upside_notional", F.col("downside_notional") * 0.25)
-    return simulation.risk_report(simulation.simulate(book, paths=10_000))
+    return simulation.risk_report(simulation.simulate(book, paths=100_000))
 
 
 @query(with_views("positions", """SELECT level, round(mean_pnl, 6) AS mean_pnl, round(std_pnl, 4) AS std_pnl, round(greatest(0.0::DOUBLE, -q), 6) AS value_at_risk, round(greatest(0.0::DOUBLE, -(SELECT avg(pnl) FROM p WHERE pnl <= q)), 6) AS expected_shortfall FROM (
