@@ -8,9 +8,11 @@ Features are hashed. Spark counts, over a bounded sample of labelled documents (
 the id), in how many of either class each feature occurs; the ``FEATURES`` that tell the classes apart best are
 kept, and only those of the sample reach the driver for the fit.
 
-Defined cases: a null or empty text has one empty sentence and gets its score; without labels of both classes every
-score is the smoothed base rate; repeated rows score alike; an id with several labels counts with the highest; no
-column but the text is an input; long texts are taken whole.
+Defined cases: a null or empty text has one empty sentence and gets its score; without labelled documents of both
+classes (labels may match no document) every score is the smoothed base rate; repeated rows score alike; of features
+that tell the classes apart alike the one of the smaller hash is kept; of equally bad sentences the first is the worst;
+an id with several labels counts with the highest; null labels are not learnt from; no column but the text is an input,
+whatever the names of others; long texts are scored whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, crc_bucket, texts
+from tidemark.llm.common import arrow_map, checkpointed, crc_bucket, texts
 
 #: Labelled rows that a fit takes at most, and features that it keeps at most.
 TRAIN_ROWS, FEATURES = 12_000, 3_000
+#: Features of sentences that the sample holds at most. Documents are taken in order of a hash of their id; one that
+#: doesn't fit any more is left out of the sample as a whole.
+TRAIN_ENTRIES = 6_000_000
 #: A feature must occur in so many documents of the sample.
 LEAST_DOCS = 4
 BUCKETS = 1 << 24
@@ -59,6 +64,8 @@ class SentenceModel(NamedTuple):
 
     bias: float
     weights: dict[int, float]
+    #: The score of every document, if there was nothing to learn from.
+    base: float | None = None
 
     def scorer(self) -> WordWeights:
         return WordWeights(self)
@@ -78,6 +85,10 @@ class WordWeights(dict):
 
     def sentence_scores(self, text: str) -> np.ndarray:
         """The score of each sentence. A word counts once in a sentence."""
+        if self.model.base is not None:  # all of the document's score in its first sentence
+            p = np.zeros(len(sentences(text)))
+            p[0] = self.model.base
+            return p
         z = np.array([sum(map(self.__getitem__, set(LETTERS.findall(s.lower())))) for s in sentences(text)])
         return 1 / (1 + np.exp(-np.clip(z + self.model.bias, -35, 35)))
 
@@ -128,42 +139,46 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, keep: int
         positive = np.bincount(at, np.repeat([0, 1], [len(found[0]), len(found[1])]), len(kind)).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.bincount(at, minlength=len(kind)) - positive), pa.array(positive)], names=["f", "n0", "n1"])
 
-    totals = sample.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") > 0)).first()
-    prior = float(np.log((totals[1] + 1) / (totals[0] + 1)))
+    totals = chosen.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") > 0)).first()
     if not totals[0] or not totals[1]:
-        return SentenceModel(prior, {})
+        return SentenceModel(0.0, {}, (totals[1] + 1) / (totals[0] + totals[1] + 2))
     counted = arrow_map(chosen, count, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= LEAST_DOCS)
     share = F.col("n1") / totals[1] - F.col("n0") / totals[0]
     telling = share * share / (F.col("n0") + F.col("n1") + 2)
     place = {r["f"]: i for i, r in enumerate(counted.orderBy(telling.desc(), "f").limit(keep).select("f").collect())}
 
     def entries(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Per document: its sentences with a kept feature as (sentence, feature) pairs, and how many have none."""
-        out = []
+        """Per document: the numbers of its sentences and of the kept features in them, pair by pair."""
+        columns: tuple[list, list, list] = ([], [], [])
         for text in texts(batch):
-            pairs, plain = [], 0
+            sentence, feature, n = [], [], 0
             for s in sentences(text):
-                got = {place[f] for w in set(LETTERS.findall(s.lower())) for f in word_features(w) if f in place}
-                if got:
-                    pairs.append(sorted(got))
-                else:
-                    plain += 1
-            out.append((pairs, plain))
-        kinds = (pa.list_(pa.list_(pa.int32())), pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("y"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=["doc_id", "y", "pairs", "plain"]
-        )
-
-    seen = arrow_map(chosen, entries, "doc_id long, y double, pairs array<array<int>>, plain long").groupBy("doc_id").agg(F.min(F.struct("y", "pairs", "plain")).alias("r"))
-    got = sorted(seen.collect(), key=lambda r: r["doc_id"])
-    bag, sentence, feature = [], [], []
-    for d, (_, r) in enumerate(got):
-        for pairs in [*r["pairs"], *[[]] * r["plain"]]:
-            sentence += [len(bag)] * len(pairs)
-            feature += pairs
-            bag.append(d)
-    y = np.array([r["r"]["y"] for r in got], float)
-    bias, weights = fit(np.array(bag, np.int64), y, np.array(sentence, np.int64), np.array(feature, np.int64), len(place))
+                got = sorted({place[f] for w in set(LETTERS.findall(s.lower())) for f in word_features(w) if f in place})
+                sentence += [n] * len(got)
+                feature += got
+                n += 1
+            for c, x in zip(columns, (sentence, feature, n)):
+                c.append(x)
+        kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *map(pa.array, columns, kinds)], names=["doc_id", "y", "sentence", "feature", "n"])
+
+    each = arrow_map(chosen, entries, "doc_id long, y double, sentence array<int>, feature array<int>, n int")
+    weighed = each.withColumn("weight", F.size("feature").cast("long") + F.col("n"))
+    seen = checkpointed(weighed.groupBy("doc_id").agg(F.min(F.struct("weight", "y", "sentence", "feature", "n")).alias("r")).select("doc_id", F.xxhash64("doc_id").alias("place"), "r.*"))
+    taken, total = [], 0
+    for r in seen.select("doc_id", "weight").orderBy("place", "doc_id").collect():  # TRAIN_ROWS at most
+        if total + r["weight"] <= TRAIN_ENTRIES:
+            taken.append(r["doc_id"])
+            total += r["weight"]
+    got = seen.join(seen.sparkSession.createDataFrame([(i,) for i in taken], "doc_id long"), "doc_id")
+    rows = got.select("doc_id", "y", "sentence", "feature", "n").toArrow().combine_chunks().sort_by("doc_id")
+    y, n = rows["y"].to_numpy(), rows["n"].to_numpy()
+    if not len(y) or y.min() > 0 or y.max() == 0:
+        return SentenceModel(0.0, {}, (totals[1] + 1) / (totals[0] + totals[1] + 2))
+    before = np.cumsum(n) - n
+    lengths = np.concatenate([c.value_lengths().to_numpy() for c in rows["feature"].chunks])
+    flat = lambda name: np.concatenate([c.flatten().to_numpy() for c in rows[name].chunks])
+    bias, weights = fit(np.repeat(np.arange(len(y)), n), y, flat("sentence") + np.repeat(before, lengths), flat("feature"), len(place))
     return SentenceModel(bias, {f: float(weights[i]) for f, i in place.items()})
 
 
