@@ -1,15 +1,17 @@
 """Exact top-k search: tiled matrix products, partial selection per tile, tree merging of top lists.
 
-Vectors are packed into blocks: query tiles and candidate shards. Tiles and shards are laid out on a grid of cells,
-each of which gets a bounded number of either, multiplies every tile by every shard, and keeps the best k of
-each query across its shards. The cells' lists of a tile are then merged, ``FAN_IN`` at a time, until one is left.
+Vectors are packed into blocks: candidate shards, and from the shards' query rows, query tiles. A row's place in the
+shards is its identity. Blocks are numbered without gaps and dealt in turn to a grid of cells, so that a cell gets
+``CELL_TILES`` tiles and ``CELL_SHARDS`` shards at most. It multiplies every tile by every shard and keeps the best k
+of each query across its shards. The cells' lists of a tile are then merged, ``FAN_IN`` at a time, until one is left.
 No pair of vectors is ever a row.
 
 Components are floor(64 * x). Defined cases: a vector that is null, or holds a null or non-finite component, takes
-no part; vectors of different lengths don't meet; a candidate with the query's own id is the query's own row, so
-repeated ids never find each other, and each repeated query row gets its own list; ties go to the smaller vec_id,
-then to any of the equal rows; a null vec_id takes no part; an empty table gives an empty result. Scores beyond a
-long are held at its ends.
+no part; a null vec_id takes no part; vectors of different lengths don't meet, and empty ones score 0; only the
+query's own row is no candidate of it, so rows that repeat an id find each other, and each repeated query row gets its
+own list; ties go to the smaller vec_id, then to any of the equal rows; an empty table gives an empty result; other
+columns than vec_id and embedding are not looked at, whatever their names; a vector of any length is one row, and a
+block holds at most ``BLOCK_BYTES`` of components or one vector. Scores beyond a long are held at its ends.
 """
 
 from __future__ import annotations
@@ -27,47 +29,97 @@ from tidemark.llm.common import checkpointed
 
 #: Vectors in a query tile and in a candidate shard; tiles and shards in a cell; lists merged at once.
 TILE, SHARD, CELL_TILES, CELL_SHARDS, FAN_IN = 512, 2048, 4, 8, 8
+#: Bytes of components in a block, unless one vector alone has more.
+BLOCK_BYTES = 1 << 25
 
-BLOCK = "block long, dim int, n int, ids binary, vectors binary"
+#: ``part`` is the task that made a block, ``at`` its number there; ``rows`` are the identities of its vectors.
+BLOCK = "part long, at long, dim int, n int, ids binary, rows binary, asks binary, vectors binary"
 LISTS = "tile long, dim int, part long, n int, query_ids binary, ids binary, scores binary"
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """``vec_id, v`` with v = floor(64 * x) as doubles, for vectors without null or non-finite components."""
+def usable(vectors: DataFrame, is_query: Column) -> DataFrame:
+    """``vec_id, asks, v`` with v = floor(64 * x) as doubles, for vectors without null or non-finite components."""
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    quantised = F.transform("embedding", lambda x: F.rint(F.floor(x.cast("double") * 64).cast("double")))
-    return vectors.select(F.col("vec_id").cast("long"), "embedding").where("vec_id is not null and embedding is not null").where(good).select("vec_id", quantised.alias("v"))
 
+    def floor(x: Column) -> Column:  # beyond 2^53 a double is whole, and may not fit into a long
+        scaled = x.cast("double") * 64
+        return F.when(F.abs(scaled) < 2.0**53, F.floor(scaled).cast("double")).otherwise(scaled)
 
-def blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """Blocks of at most ``size`` vectors of equal length; ids and vectors as raw little-endian numbers."""
+    known = vectors.select(F.col("vec_id").cast("long"), F.coalesce(is_query, F.lit(False)).alias("asks"), "embedding")
+    return known.where("vec_id is not null and embedding is not null").where(good).select("vec_id", "asks", F.transform("embedding", floor).alias("v"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        held: dict[int, tuple[list, list]] = {}
 
-        def out(dim: int) -> pa.RecordBatch:
-            nonlocal number
-            ids, rows = held.pop(dim)
-            number += 1
-            values = [[number - 1], [dim], [len(ids)], [np.array(ids, "<i8").tobytes()], [np.concatenate(rows).astype("<f8").tobytes()]]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(values, kinds)], names=["block", "dim", "n", "ids", "vectors"])
+class Blocks:
+    """Gathers vectors of equal length into blocks of at most ``size``."""
+
+    names = [c.split()[0] for c in BLOCK.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+
+    def __init__(self, size: int):
+        self.size, self.part, self.made = size, TaskContext.get().partitionId(), 0
+        self.held: dict[int, list[tuple]] = {}
+
+    def add(self, key: int, row: int | None, asks: bool, vector: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held = self.held.setdefault(len(vector), [])
+        held.append((key, row, asks, vector))
+        if len(held) >= self.size or len(held) * len(vector) * 8 >= BLOCK_BYTES:
+            yield self.out(len(vector))
+
+    def out(self, dim: int) -> pa.RecordBatch:
+        ids, rows, asks, vectors = zip(*self.held.pop(dim))
+        own = (self.part << 43) + (self.made << 11) + np.arange(len(ids)) if rows[0] is None else np.array(rows)
+        values = [self.part, self.made, dim, len(ids), np.array(ids, "<i8").tobytes(), own.astype("<i8").tobytes(), np.array(asks, bool).tobytes(), np.concatenate(vectors).astype("<f8").tobytes()]
+        self.made += 1
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, self.kinds)], names=self.names)
 
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        for dim in [*self.held]:
+            yield self.out(dim)
+
+
+def shard(ready: DataFrame, size: int) -> DataFrame:
+    """The vectors in blocks, each with an identity of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(min(size, 1 << 11))
         for batch in batches:
             lists = batch.column("v")
             offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            for i, key in enumerate(batch.column("vec_id").to_pylist()):
-                row = flat[offsets[i] : offsets[i + 1]]
-                ids, rows = held.setdefault(len(row), ([], []))
-                ids.append(key)
-                rows.append(row)
-                if len(ids) == size:
-                    yield out(len(row))
-        for dim in [*held]:
-            yield out(dim)
+            for i, (key, asks) in enumerate(zip(batch.column("vec_id").to_pylist(), batch.column("asks").to_pylist())):
+                yield from blocks.add(key, None, asks, flat[offsets[i] : offsets[i + 1]])
+        yield from blocks.rest()
+
+    return ready.mapInArrow(run, BLOCK)
 
-    return vectors.mapInArrow(run, BLOCK)
+
+def tile(shards: DataFrame, size: int) -> DataFrame:
+    """The query rows of the shards in blocks, with the identities that they have there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(size)
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, rows, asks = (np.frombuffer(r[c], t) for c, t in (("ids", "<i8"), ("rows", "<i8"), ("asks", bool)))
+                vectors = np.frombuffer(r["vectors"], "<f8").reshape(r["n"], r["dim"])
+                for i in np.flatnonzero(asks):
+                    yield from blocks.add(int(ids[i]), int(rows[i]), True, vectors[i])
+        yield from blocks.rest()
+
+    return shards.mapInArrow(run, BLOCK)
+
+
+def numbered(blocks: DataFrame) -> tuple[DataFrame, int]:
+    """``blocks`` with ``block``, a number from 0 without gaps, and how many there are.
+
+    One count for each task that made blocks passes the driver, nothing of the vectors.
+    """
+    counts = sorted((r["part"], r["n"]) for r in blocks.groupBy("part").agg(F.count("*").alias("n")).collect())
+    before, total = [], 0
+    for part, n in counts:
+        before.append((part, total))
+        total += n
+    starts = blocks.sparkSession.createDataFrame(before, "part long, before long")
+    return blocks.join(starts, "part").withColumn("block", F.col("before") + F.col("at")).drop("part", "at", "before", "asks"), total
 
 
 def products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -118,12 +170,11 @@ def unpacked(ids: bytes, scores: bytes, n: int) -> tuple[np.ndarray, np.ndarray,
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best candidates of every query row."""
-    ready = usable(vectors)
-    shards = checkpointed(blocks(ready, SHARD))
-    tiles = checkpointed(blocks(ready.where(is_query), TILE))
-    n_shards, n_tiles = shards.count(), tiles.count()
+    made = checkpointed(shard(usable(vectors, is_query), SHARD))
+    shards, n_shards = numbered(made)
+    tiles, n_tiles = numbered(checkpointed(tile(made, TILE)))
     rows, cols = max(1, -(-n_tiles // CELL_TILES)), max(1, -(-n_shards // CELL_SHARDS))
-    dealt = lambda n: F.pmod(F.xxhash64("block"), F.lit(n))
+    dealt = lambda n: (F.col("block") % n).cast("int")
     tiles_at = tiles.withColumn("row", dealt(rows)).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
     shards_at = shards.withColumn("col", dealt(cols)).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
 
@@ -131,12 +182,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         out = []
         for tile in left.itertuples():
             q = np.frombuffer(tile.vectors, "<f8").reshape(tile.n, tile.dim)
-            q_ids = np.frombuffer(tile.ids, "<i8")
+            q_rows = np.frombuffer(tile.rows, "<i8")
             kept = None
             for shard in right[right.dim == tile.dim].itertuples():
                 c_ids = np.frombuffer(shard.ids, "<i8")
                 s = products(q, np.frombuffer(shard.vectors, "<f8").reshape(shard.n, shard.dim))
-                here = best(s, c_ids, q_ids[:, None] != c_ids[None, :], k)
+                here = best(s, c_ids, q_rows[:, None] != np.frombuffer(shard.rows, "<i8")[None, :], k)
                 kept = here if kept is None else merged([kept, here], k)
             if kept is not None:
                 out.append((tile.block, tile.dim, int(key[1]), tile.n, tile.ids, *packed(*kept)))
@@ -174,11 +225,11 @@ def merged(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tu
 #: The query's rows in DuckDB.
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.rid <> c.rid AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
