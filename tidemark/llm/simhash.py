@@ -6,9 +6,16 @@ bit at most, so both share a variant of that segment with one position wild. Eve
 under all such variants; rows with equal variants meet in a sorted stream, are verified on all 64 bits, and give
 spanning links of what they form, never all pairs. Components over the links are Spark rounds (graph.components).
 
+Segments that very many fingerprints share are counted first. What stands under a variant of such a segment is put
+under the variants of the other bits as well, so that a group of one variant is dealt out by Spark over the groups of
+all pairs of variants. A linked pair still shares one: as its segment differs by a bit at most, the other bits, cut
+again, have a part that differs by a bit at most.
+
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero and links like any other;
-fewer words than a shingle: the whole sequence is the one shingle; repeated rows share a fingerprint, so a class;
-a null doc_id takes part, but names a class only if nothing else is in it; an empty table gives an empty result.
+fewer words than a shingle: the whole sequence is the one shingle; a text of any length is read whole in one row of a
+task; a bit that exactly half of the shingles have is 0; repeated rows share a fingerprint, so a class; a null doc_id
+takes part, but names a class only if nothing else is in it; an empty table gives an empty result; other columns than
+doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +34,9 @@ from tidemark.llm.graph import components
 BITS = 64
 #: Members of one variant that are compared pair by pair; more are dealt out by the variants of the other bits first.
 DIRECT = 512
+#: Fingerprints that share a segment before its variants are dealt out by the other bits: so many, or this part of all,
+#: whichever is more; of such segments there are at most ``segments x HOT_PART``, so they may be known to every task.
+HOT, HOT_PART = 65_536, 100_000
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -67,13 +77,26 @@ def segments(max_bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def variants(fps: np.ndarray, cuts: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(variant number, its value) for each fingerprint under each one-wildcard variant of each segment."""
+def variants(fps: np.ndarray, cuts: list[tuple[int, int]], hot: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(variant number, its value, variant number and value of the other bits, which fingerprints) for each fingerprint
+    under each one-wildcard variant of each segment; the other bits count only where the segment, or that with the
+    wildcard bit flipped, is ``hot``."""
     number = 0
-    for first, width in cuts:
+    for (first, width), often in zip(cuts, hot):
         part = (fps >> np.uint64(first)) & np.uint64((1 << width) - 1)
+        others = [b for b in range(BITS) if not first <= b < first + width]
+        rest = [np.array(own, np.uint64) for own in np.array_split(others, len(cuts)) if len(own)]
         for bit in range(width):
-            yield np.full(len(fps), number, np.int64), (part & ~np.uint64(1 << bit)).view(np.int64)
+            value = (part & ~np.uint64(1 << bit)).view(np.int64)
+            split = np.isin(part, often) | np.isin(part ^ np.uint64(1 << bit), often) if len(often) and rest else np.zeros(len(fps), bool)
+            at = np.flatnonzero(~split)
+            yield np.full(len(at), number), value[at], np.full(len(at), -1), np.zeros(len(at), np.int64), at
+            at, second = np.flatnonzero(split), 0
+            for own in rest if len(at) else []:
+                mask = np.bitwise_or.reduce(np.uint64(1) << own)
+                for b in own:
+                    yield np.full(len(at), number), value[at], np.full(len(at), second), (fps[at] & mask & ~(np.uint64(1) << b)).view(np.int64), at
+                    second += 1
             number += 1
 
 
@@ -115,36 +138,50 @@ def near_links(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return fps[linked], fps[roots[linked]]
 
 
+def hot_segments(distinct: DataFrame, cuts: list[tuple[int, int]]) -> list[np.ndarray]:
+    """For each segment the values that very many fingerprints have, at most ``HOT_PART`` of them."""
+    if len(cuts) == 1:  # distinct fingerprints share none
+        return [np.zeros(0, np.uint64)]
+    part = lambda first, width: F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    each = distinct.select(F.posexplode(F.array(*(part(*c) for c in cuts))).alias("segment", "value"))
+    least = max(HOT, distinct.count() // HOT_PART)
+    found = each.groupBy("segment", "value").agg(F.count("*").alias("n")).where(F.col("n") > least).collect()
+    return [np.array(sorted(r["value"] for r in found if r["segment"] == i), np.uint64) for i in range(len(cuts))]
+
+
 def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
     """``fp`` (long, distinct) -> ``a, b``: links that connect exactly what fingerprints within ``max_bits`` bits connect."""
     cuts = segments(max_bits)
+    hot = hot_segments(distinct, cuts)
+    by = ["variant", "value", "second", "other"]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
-            for number, value in variants(fps, cuts):
-                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(value), pa.array(fps.view(np.int64))], names=["variant", "value", "fp"])
+            for number, value, second, other, at in variants(fps, cuts, hot):
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), pa.array(value), pa.array(second.astype(np.int32)), pa.array(other), pa.array(fps[at].view(np.int64))], names=[*by, "fp"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((3, 0), np.int64)
+        held = np.zeros((5, 0), np.int64)
         for batch in batches:
-            held = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(3)])], axis=1)
-            last = np.flatnonzero((held[:2, :-1] != held[:2, 1:]).any(axis=0))
+            held = np.concatenate([held, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(5)])], axis=1)
+            last = np.flatnonzero((held[:4, :-1] != held[:4, 1:]).any(axis=0))
             if len(last):  # all but the last group are complete
                 yield from links_of(held[:, : last[-1] + 1])
                 held = held[:, last[-1] + 1 :]
         yield from links_of(held)
 
     def links_of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        same = (rows[:2, :-1] == rows[:2, 1:]).all(axis=0)
+        same = (rows[:4, :-1] == rows[:4, 1:]).all(axis=0)
         edge = np.diff(np.concatenate([[0], same.astype(np.int8), [0]]))
-        found = [near_links(rows[2, a : b + 1].view(np.uint64), max_bits) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
+        found = [near_links(rows[4, a : b + 1].view(np.uint64), max_bits) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
         if found and (a := np.concatenate([x for x, _ in found])).size:
             b = np.concatenate([y for _, y in found])
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    indexed = distinct.mapInArrow(index, "variant long, value long, fp long")
-    return indexed.repartition("variant", "value").sortWithinPartitions("variant", "value").mapInArrow(join, "a long, b long").distinct()
+    indexed = distinct.mapInArrow(index, "variant int, value long, second int, other long, fp long")
+    return indexed.repartition(*by).sortWithinPartitions(*by).mapInArrow(join, "a long, b long").distinct()
 
 
 def classes(fps: DataFrame, max_bits: int = 3) -> DataFrame:
