@@ -7,16 +7,19 @@ interior of equal substrings gets equal symbols everywhere, and only one symbol
 fall to its neighbour in a round. For each window of ``window`` words the symbols that its words alone determine are
 known, and the heaviest of them is its anchor: windows with equal words have equal anchors.
 
-Spark groups anchors by name. Windows that share an anchor occurrence are one row, with a hash of all the words they
-cover; where all rows of a name agree on that hash the windows are verified repeats at once. Where they
-differ (the ends of repeats, and chance), the windows are compared one by one by a hash of their words. Windows
-whose words determine no symbol are named by themselves. Rows that are alike within a task are verified there and
-stand for one before anything is shuffled, so a passage that many documents hold doesn't fill one partition. Groups
-stream through sorted partitions; no pairs are made.
-
-Defined cases: a null or empty text has no words; a text below ``window`` words has no window; rows that repeat id
-and text count as places of their own, so their windows are repeats; ids may repeat; an empty table gives an empty
-result.
+As a name is a hash of its content, all tasks agree on it without asking each other: the rounds run within the task
+that holds a text, and the first exchange is that of the anchors. Spark groups anchors by name. Windows that share an
+anchor occurrence are one row, with a hash of all the words they cover; where all rows of a name agree on that hash
+the windows are verified repeats at once. Where they differ (the ends of repeats, and chance), the windows are compared
+one by one by a hash of their words. Windows whose words determine no symbol are named by a second hash of their words.
+So what counts as equal agrees in two hashes of 64 bits, the name's and the words'. Rows that are alike within a task
+are verified there and stand for one before anything is shuffled, so a passage that many documents hold doesn't fill one
+partition. Groups stream through sorted partitions; no pairs are made.
+
+Defined cases: a null or empty text has no words; a text below ``window`` words has no window; a text of any length is
+rewritten whole in one row of a task; rows that repeat id and text count as places of their own, so their windows are
+repeats; ids may repeat; of equally heavy symbols the one of the greater hash is the anchor, then the leftmost; an empty
+table gives an empty result; other columns than doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ BATCH_WORDS, REMEMBERED, HELD = 250_000, 400_000, 100_000
 CHUNK = "name long, span long, key_id long, key_hash long, lo int, cnt int, n int"
 FOUND = "kind int, name long, key_id long, key_hash long, lo int, cnt int"
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -142,7 +145,8 @@ def chunk_rows(hashes: np.ndarray, lengths: np.ndarray, window: int, rounds: int
     spans = Spans(hashes)
     name, place, some = anchors(hashes, doc, start, window, rounds)
     own = spans.hash(start, start + window)
-    name = np.where(some, name, mix(own ^ BASE))
+    if not some.all():  # named by a second hash of their words
+        name = np.where(some, name, Spans(mix(hashes ^ SECOND)).hash(start, start + window))
     opens = np.ones(len(start), bool)
     opens[1:] = (place[1:] != place[:-1]) | ~some[1:] | ~some[:-1] | (start[1:] != start[:-1] + 1)
     row = np.cumsum(opens) - 1
