@@ -63,5 +63,12 @@ TOKEN_FILLER = (
 ).split()
 #: Tolerances (absolute, relative) of the price reconciliation rules.
 RECONCILE_RULES = {"price_reconcile_v1": (1e-4, 1e-6), "price_reconcile_v2": (0.01, 1e-4)}
-#: Session offsets of the snapshot policies.
-SNAPSHOT_POLICIES = {"session_5": 5, "session_10": 10, "session_20": 20}
+#: Snapshot policies, counted in sessions or in calendar days after the announcement.
+SNAPSHOT_POLICIES = {
+    "ann_tplus_5_session": ("sessions", (5,)),
+    "ann_tplus_10_session": ("sessions", (10,)),
+    "ann_tplus_20_session": ("sessions", (20,)),
+    "weekly_grid_5_60": ("sessions", (5, 10, 15, 20, 25, 30, 40, 60)),
+    "calendar_7_14_30": ("days", (7, 14, 30)),
+    "active_deal_weekly_panel": ("sessions", (5, 10, 15, 20, 25, 30, 40, 60)),
+}

@@ -25,3 +25,116 @@ def terms(text: Column) -> Column:
     numbers = lambda p: F.transform(F.regexp_extract_all(text, F.lit(p)), lambda x: x.cast("double"))
     ticker = F.nullif(F.regexp_extract(text, LISTED, 1), F.lit(""))
     return F.struct(most_frequent(numbers(CASH_PER_SHARE), True).alias("cash"), most_frequent(numbers(EXCHANGE_RATIO), False).alias("ratio"), ticker.alias("ticker"), F.regexp_like(text, F.lit(UNSUPPORTED)).alias("unsupported"))
+
+
+#: How announcements state a price in cash.
+CASH_PATTERNS = (
+    r"(?i)\$\s*([0-9]+(?:\.[0-9]+)?)\s+in\s+(?:an\s+)?(?:all[- ])?cash\s+per\s+share",
+    r"(?i)\$\s*([0-9]+(?:\.[0-9]+)?)\s+per\s+share\s+in\s+(?:an\s+)?(?:all[- ])?cash",
+    r"(?i)(?:all[- ])?cash\s+transaction[^.]{0,40}\$\s*([0-9]+(?:\.[0-9]+)?)\s+per\s+share",
+    r"(?i)acquire[sd]?[^.]{0,60}for\s+\$\s*([0-9]+(?:\.[0-9]+)?)\s+per\s+share",
+    r"(?i)cash\s+consideration\s+of\s+\$\s*([0-9]+(?:\.[0-9]+)?)\s+per\s+share",
+    r"(?i)per\s+share\s+merger\s+consideration\s+(?:of\s+)?\$\s*([0-9]+(?:\.[0-9]+)?)",
+    r"(?i)merger\s+consideration\s+of\s+\$\s*([0-9]+(?:\.[0-9]+)?)\s+per\s+share",
+    r"(?i)\$\s*([0-9]+(?:\.[0-9]+)?)\s+per\s+share",
+)
+#: How they state an exchange ratio.
+RATIO_PATTERNS = (
+    r"(?i)exchange\s+ratio\s+(?:of\s+)?([0-9]+(?:\.[0-9]+)?)",
+    r"(?i)([0-9]+(?:\.[0-9]+)?)\s+shares?\s+of\s+[^.]{0,40}?common\s+stock\s+for\s+each",
+    r"(?i)([0-9]+(?:\.[0-9]+)?)\s+of\s+a\s+share\s+of",
+)
+#: Who buys, and for how much, said from the target's side (name, price).
+TARGET_SIDE_CASH = (
+    r"(?i)(?:to be|will be)\s+acquired\s+by\s+((?:an?\s+affiliate\s+of\s+)?[A-Z][A-Za-z0-9&.,' \-]{1,70}?)\s+for\s+\$\s*([0-9]+(?:\.[0-9]+)?)\s+per\s+share(?:\s+in\s+cash)?",
+    r"(?i)acquired\s+by\s+((?:an?\s+affiliate\s+of\s+)?[A-Z][A-Za-z0-9&.,' \-]{1,70}?)\s+for\s+(?:approximately\s+)?\$\s*([0-9]+(?:\.[0-9]+)?)\s+per\s+share(?:\s+in\s+(?:an\s+)?(?:all[- ])?cash)?",
+    r"(?i)affiliates?\s+of\s+([A-Z][A-Za-z0-9&.,' \-]{1,50}?)\s+(?:\([^)]*\)\s*)?(?:under which|pursuant to which)?[^.]{0,80}?\$\s*([0-9]+(?:\.[0-9]+)?)\s+per\s+share",
+    r"(?i)\b((?:The\s+)?Permira(?:\s+Funds)?|Canada Pension Plan Investment Board|Blackstone|KKR|Carlyle|Thoma Bravo|Vista Equity|Silver Lake|Apollo|Bain Capital|TPG|Warburg Pincus|Hellman\s*&\s*Friedman)\b[^.]{0,160}?\$\s*([0-9]+(?:\.[0-9]+)?)\s+per\s+share",
+)
+#: Who buys, in order of preference; the first is the target's side again.
+ACQUIRED_BY = r"(?i)(?:to be|will be)\s+acquired\s+by\s+((?:an?\s+affiliate\s+of\s+)?[A-Z][A-Za-z0-9&.,' \-]{1,70}?)(?:\s*\(|\s+for\s+|\s+in\s+a|\s*,)"
+ACQUIRER_PATTERNS = (
+    r"(?i)((?:An?\s+affiliate\s+of\s+)?[A-Z][A-Za-z0-9&.,' \-]{2,70}?)\s*\((?:NYSE|NASDAQ|Nasdaq)[^)]*\)[^.]{0,120}?will acquire",
+    r"(?i)will be acquired by\s+((?:an?\s+affiliate\s+of\s+)?[A-Z][A-Za-z0-9&.,' \-]{2,70}?)(?:\s*\(|,|\.)",
+    r"(?i)(?:acquired by|acquisition by|to be acquired by)\s+((?:an?\s+affiliate\s+of\s+)?[A-Z][A-Za-z0-9&.,' \-]{2,70}?)(?:\s*\(|,|\.)",
+    r"(?i)([A-Z][A-Za-z0-9&.,' \-]{2,70}?)\s+would acquire",
+    r"(?i)([A-Z][A-Za-z0-9&.,' \-]{2,70}?)\s+\((?:NYSE|NASDAQ|Nasdaq)[^)]*\)[^.]{0,80}?(?:to acquire|will acquire|has agreed to acquire)",
+)
+#: Mechanics that no fixed price or ratio represents.
+MECHANICS = (
+    r"(?i)(?:elect(?:ion)?\s+to\s+receive|holder(?:s)?\s+may\s+elect|proration\s+(?:factor|provisions|mechanics)|volume[- ]weighted\s+average\s+price|\bVWAP\b|"
+    r"contingent\s+value\s+right|\bCVRs?\b|floating\s+exchange\s+ratio|collar\s+(?:mechanism|structure))"
+)
+CASH_WORDS, STOCK_WORDS = r"(?i)\b(?:all[- ]cash|in cash|cash consideration|cash transaction)\b", r"(?i)\b(?:exchange ratio|shares of [^.]{0,40}common stock for each)\b"
+#: Letters of a document in which terms are looked for.
+HEAD = 20_000
+
+
+def first_group(text: Column, pattern: str, group: int = 1) -> Column:
+    """A group of the first match, null if there is none."""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+
+def trimmed(name: Column, around: str = " ,.;") -> Column:
+    return F.regexp_replace(F.regexp_replace(name, r"\s+", " "), f"^[{around}]+|[{around}]+$", "")
+
+
+#: Names that stand for a role, not a company.
+ROLES = ("purchaser", "buyer", "parent", "merger sub", "acquisition", "affiliate", "affiliates", "company", "the company", "a wholly-owned subsidiary", "wholly-owned subsidiary")
+
+
+def acquirer_name(raw: Column) -> Column:
+    """A buyer's name without what press releases glue to it; null if no name of 3 to 80 letters remains."""
+    name = trimmed(raw)
+    for pattern, put in (
+        (r"\S+@\S+", " "), (r"(?i)^\s*e-?mail\s*:\s*", ""), (r"(?i)^.*?\bled by\s+(.+)$", "$1"), (r"(?i)^(?:and|or)\s+", ""), (r"(?i)^(?:an?\s+)?affiliate\s+of\s+", ""),
+        (r"(?i)\s+for\s+\$\s*[0-9].*$", ""), (r"\s*\([^)]*\)\s*$", ""), (r"(?i)^.*?\bfunds?\s+advised\s+by\s+(.+)$", "$1"), (r"(?i)\s+(?:will|to|for approximately|pursuant|has agreed|,?\s*which|in\s+20\d{2})\b.*$", ""),
+    ):
+        name = trimmed(F.regexp_replace(name, pattern, put))
+    usable = F.length(name).between(3, 80) & ~F.lower(name).isin(*ROLES)
+    return F.when(usable, F.nullif(F.trim(F.regexp_replace(name, r"(?i)\s+AFFILIATE\s*$", "")), F.lit("")))
+
+
+def deal_terms(text: Column) -> Column:
+    """consideration_type, offer_price, exchange_ratio, acquirer and, where the terms can't be represented, why.
+
+    A price said from the target's side decides; else prices and ratios are gathered by all patterns and the most
+    frequent one counts (of equally frequent ones the higher price, the lower ratio), if few enough are named.
+    """
+    head = F.substring(text, 1, HEAD)
+    sides = [(acquirer_name(first_group(head, p, 1)), first_group(head, p, 2).try_cast("double")) for p in TARGET_SIDE_CASH]
+    direct = F.coalesce(*[F.when(name.isNotNull() & price.between(0.5, 5000.0), F.struct(name.alias("name"), price.alias("price"))) for name, price in sides])
+    numbers = lambda patterns: F.concat(*[F.transform(F.regexp_extract_all(head, F.lit(p)), lambda x: x.cast("double")) for p in patterns])
+    cash = F.transform(F.filter(numbers(CASH_PATTERNS), lambda v: v.between(0.5, 5000.0)), lambda v: F.round(v, 4))
+    ratio = F.transform(F.filter(numbers(RATIO_PATTERNS), lambda v: (v > 0) & (v < 50)), lambda v: F.round(v, 6))
+    named = [F.when(F.length(n).between(3, 80) & ~F.lower(n).contains("stockholder"), n) for n in (trimmed(first_group(head, p), " ,.") for p in ACQUIRER_PATTERNS)]
+    return F.struct(
+        F.regexp_like(head, F.lit(MECHANICS)).alias("unsupported"), direct.alias("direct"), cash.alias("cash"), ratio.alias("ratio"), F.coalesce(*named, acquirer_name(first_group(head, ACQUIRED_BY))).alias("acquirer"),
+        (F.regexp_like(head, F.lit(CASH_WORDS)) | ((F.size(cash) > 0) & F.regexp_like(head, F.lit(r"(?i)\bcash\b")))).alias("says_cash"), F.regexp_like(head, F.lit(STOCK_WORDS)).alias("says_stock"),
+    )
+
+
+def decided_terms(found: Column) -> Column:
+    """What ``deal_terms`` found as one deal's terms; ``found`` is a column of its result."""
+    cash, ratio, says_cash, says_stock = found["cash"], found["ratio"], found["says_cash"], found["says_stock"]
+    n_cash, n_ratio = F.size(F.array_distinct(cash)), F.size(F.array_distinct(ratio))
+    price, rate = most_frequent(cash, True), most_frequent(ratio, False)
+    mixed, all_cash = (n_cash > 0) & (n_ratio > 0) & says_cash & says_stock, (n_cash > 0) & says_cash & ~says_stock
+    stock = (n_ratio > 0) & ~says_cash & (says_stock | (n_cash == 0))
+    direct = found["direct"].isNotNull()
+    reason = (
+        F.when(found["unsupported"], "unsupported_mechanics")
+        .when(direct, None)
+        .when(mixed, F.when((n_cash > 3) | (n_ratio > 3), "ambiguous_mixed_terms"))
+        .when(all_cash, F.when(n_cash > 4, "too_many_cash_prices"))
+        .when(stock, F.when(n_cash > 0, "ambiguous_cash_and_ratio").when(n_ratio > 3, "ambiguous_ratios"))
+        .otherwise("not_mapped")
+    )
+    kind = F.when(reason.isNull(), F.when(direct, "cash").when(mixed, "mixed").when(all_cash, "cash").otherwise("stock"))
+    return F.struct(
+        kind.alias("consideration_type"),
+        F.when(direct & kind.isNotNull(), found["direct"]["price"]).when(kind.isin("cash", "mixed"), price).alias("offer_price"),
+        F.when(kind == "mixed", rate).when(kind == "stock", F.array_min(ratio)).alias("exchange_ratio"),
+        F.when(~found["unsupported"], F.when(direct, found["direct"]["name"]).otherwise(found["acquirer"])).alias("acquirer"),
+        reason.alias("reason"),
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.text import names_agree, short_hash
+from tidemark.operators.ordering import small
 
 
 def bias_audit(rows: DataFrame, dimensions: Sequence[str], covered: Column) -> DataFrame:
@@ -22,7 +23,7 @@ def bias_audit(rows: DataFrame, dimensions: Sequence[str], covered: Column) -> D
 def counts_over_vocabulary(rows: DataFrame, by: str, vocabulary: Sequence[str], column: str) -> DataFrame:
     """Counts per ``by`` and word of the vocabulary, zero where there is none."""
     words = rows.sparkSession.createDataFrame([(w,) for w in vocabulary], f"{column} string")
-    grid = rows.select(by).distinct().crossJoin(F.broadcast(words))
+    grid = rows.select(by).distinct().crossJoin(small(words))
     return grid.join(rows.groupBy(by, column).agg(F.count("*").alias("n")), [by, column], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -124,7 +125,7 @@ def compare_models(rows: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFr
 
 def plan_windows(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Sizes of the training and test sets of each window (cutoff, window_end]."""
-    marked = rows.join(F.broadcast(cutoffs), F.col("announce_date") <= F.col("window_end"))
+    marked = rows.join(small(cutoffs), F.col("announce_date") <= F.col("window_end"))
     train = F.col("resolution_date") <= F.col("cutoff")
     test = (F.col("announce_date") > F.col("cutoff")) & (F.col("announce_date") <= F.col("window_end"))
     return marked.groupBy("cutoff", "window_end").agg(F.count_if(train).alias("n_train"), F.count_if(train & (F.col("label") == 1)).alias("n_train_broken"), F.count_if(test).alias("n_test"))
@@ -137,7 +138,7 @@ def outside_cohort(training: DataFrame, cohort: DataFrame, key: str) -> DataFram
 
 def session_valid(days: DataFrame, calendar: DataFrame) -> DataFrame:
     """Weekends never; else what the calendar says, and open where it has no row."""
-    known = F.broadcast(calendar.select("obs_date", "is_trading"))
+    known = small(calendar.select("obs_date", "is_trading"))
     return days.join(known, "obs_date", "left").withColumn("valid", (F.weekday("obs_date") < 5) & F.coalesce("is_trading", F.lit(True)))
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.ordering import small
+from tidemark.storage import checkpointed
+
 #: Sources that never verify anything, and statuses that research may use.
 UNTRUSTED = ("ai_brief", "social_post", "other")
 ADMISSIBLE = ("VERIFIED_PRIMARY", "CORROBORATED_SECONDARY")
@@ -23,7 +26,7 @@ def effective(records: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
     A record without a known time is never knowable.
     """
-    known = records.join(F.broadcast(cutoffs), F.col("known_at") <= F.col("cutoff"))
+    known = records.join(small(cutoffs), F.col("known_at") <= F.col("cutoff"))
     return mark_revised(known)
 
 
@@ -128,15 +131,21 @@ def candidates(states: DataFrame, since: DataFrame) -> DataFrame:
     return rows.select("event_id", "cutoff", "status", "valid_at", "admissible_since", F.coalesce(reason, F.lit("admitted")).alias("decision"))
 
 
-def revision_chain(records: DataFrame, depth: int = 16) -> DataFrame:
-    """The original that each record goes back to through its revisions, and how many steps that takes."""
-    links = records.select(F.col("evidence_id").alias("child"), F.col("revises").alias("parent"))
-    rows = records.select("evidence_id", F.coalesce("revises", "evidence_id").alias("root"), F.when(F.col("revises").isNull(), 0).otherwise(1).alias("steps"))
-    for _ in range(depth):
-        rows = rows.join(links, F.col("root") == F.col("child"), "left").select("evidence_id", F.coalesce("parent", "root").alias("root"), (F.col("steps") + F.when(F.col("parent").isNotNull(), 1).otherwise(0)).alias("steps"))
-        if rows.join(links, F.col("root") == F.col("child")).where("parent is not null").limit(1).count() == 0:
-            break
-    return rows
+def revision_chain(records: DataFrame) -> DataFrame:
+    """The original that each record goes back to through its revisions, and how many steps that takes. Ids are unique.
+
+    Each round every record takes over where the record it points at points, so a chain of n takes log2(n) rounds, which
+    are checkpointed. Revisions that form a cycle raise.
+    """
+    rows = checkpointed(records.select("evidence_id", F.coalesce("revises", "evidence_id").alias("root"), F.when(F.col("revises").isNull(), 0).otherwise(1).alias("steps")))
+    most = rows.count()
+    for reach in range(most.bit_length() + 2):
+        onward = rows.where("steps > 0").select(F.col("evidence_id").alias("root"), F.col("root").alias("further"), F.col("steps").alias("more"))
+        joined = checkpointed(rows.join(onward, "root", "left"))
+        if not joined.where("more is not null").limit(1).count():
+            return rows
+        rows = joined.select("evidence_id", F.coalesce("further", "root").alias("root"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+    raise ValueError("revisions form a cycle")
 
 
 def exposure_windows(links: DataFrame, deals: DataFrame, grace_days: int = 30) -> DataFrame:

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.config import BUY_THRESHOLD, MA_WINDOW, MIN_SAMPLE_N, SELL_THRESHOLD, SWEEP_BUY, SWEEP_SELL, SWEEP_WINDOWS
+from tidemark.operators.ordering import below_so_far, small
 
 
 def calendar_gated(prices: DataFrame, calendar: DataFrame) -> DataFrame:
     """Prints on sessions only; a print on any other day is dropped, never moved."""
-    return prices.join(F.broadcast(calendar.where("is_trading").select("obs_date")), "obs_date")
+    return prices.join(small(calendar.where("is_trading").select("obs_date")), "obs_date")
 
 
 def calendar_anchored(prices: DataFrame, calendar: DataFrame) -> DataFrame:
     """Every session of every series; no print leaves a null close. Days and series are dimensions, so the grid is small."""
-    grid = prices.select("series_id").distinct().crossJoin(F.broadcast(calendar.where("is_trading").select("obs_date")))
+    grid = prices.select("series_id").distinct().crossJoin(small(calendar.where("is_trading").select("obs_date")))
     return grid.join(prices, ["series_id", "obs_date"], "left")
 
 
@@ -92,7 +93,7 @@ def sweep(series: DataFrame, windows: Sequence[int] = SWEEP_WINDOWS, buys: Seque
         *[F.avg(F.when(F.col("signal") == s, F.when(F.col("fwd") > 0, 1.0).otherwise(0.0))).alias(f"hit_{s}") for s in ("BUY", "SELL")],
     )
     sides = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(f"n_{s}").alias("n"), F.col(f"mean_{s}").alias("mean_fwd"), F.col(f"hit_{s}").alias("hit_rate")) for s in ("BUY", "SELL")]))
-    out = cells.select("series_id", "window", "buy", "sell", sides.alias("x")).select("series_id", "window", "buy", "sell", "x.*").join(F.broadcast(base_of), "series_id")
+    out = cells.select("series_id", "window", "buy", "sell", sides.alias("x")).select("series_id", "window", "buy", "sell", "x.*").join(small(base_of), "series_id")
     return out.withColumns({"edge": F.col("mean_fwd") - F.col("baseline"), "thin": F.col("n") < min_n})
 
 
@@ -115,14 +116,14 @@ def entry_signal(z: Column, band: float) -> Column:
 
 
 def expanding_percentile(df: DataFrame, value: str) -> DataFrame:
-    """Share of a series' values up to now that are at or below this one; null on a gap.
+    """Share of a series' values up to now that are at or below this one; null on a gap. A series has one row a day.
 
-    Counted by a join of the series with its own past, so no row carries a history.
+    Counted by blocks of time and of value, so no row meets its past one by one and no task holds a series.
     """
-    now = df.where(F.col(value).isNotNull()).select("series_id", "obs_date", F.col(value).alias("v"))
-    past = now.select("series_id", F.col("obs_date").alias("d0"), F.col("v").alias("v0"))
-    seen = now.join(past, "series_id").where("d0 <= obs_date").groupBy("series_id", "obs_date")
-    return df.join(seen.agg((F.count_if(F.col("v0") <= F.col("v")) / F.count("*")).alias("pctile")), ["series_id", "obs_date"], "left")
+    known = df.where(F.col(value).isNotNull()).select("series_id", "obs_date", F.col(value).alias("v"))
+    seen = below_so_far(known, "series_id", "obs_date", "v")
+    share = seen.select("series_id", "obs_date", ((F.col("n_below") + 1) / (F.col("n_before") + 1)).alias("pctile"))
+    return df.join(share, ["series_id", "obs_date"], "left")
 
 
 def coverage(prices: DataFrame, calendar: DataFrame) -> DataFrame:

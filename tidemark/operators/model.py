@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import MIN_CLASS_N, MIN_SAMPLE_N
+from tidemark.operators.ordering import small
 
 
 class InsufficientData(ValueError):
@@ -81,10 +84,11 @@ def row_digests(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One digest of all rows, whatever their order: digests are sorted and hashed per prefix, then the prefixes' hashes."""
-    per = row_digests(rows, columns).groupBy(F.substring("digest", 1, 3).alias("prefix")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ""), 256).alias("part"), F.count("*").alias("n"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("prefix", "part"))), lambda x: x["part"]), "")
-    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.sha2(joined, 256).alias("fingerprint"))
+    """One digest of all rows, whatever their order: the digests' four lanes of 60 bits are added up, and the sums and the
+    number of rows are hashed. It holds a few numbers, however many rows there are."""
+    lanes = [F.conv(F.substring("digest", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
+    sums = row_digests(rows, columns).agg(F.count("*").alias("n_rows"), *[F.coalesce(F.sum(x), F.lit(0).cast("decimal(38,0)")).cast("string").alias(f"s{i}") for i, x in enumerate(lanes)])
+    return sums.select("n_rows", F.sha2(F.concat_ws("|", F.col("n_rows").cast("string"), *[f"s{i}" for i in range(4)]), 256).alias("fingerprint"))
 
 
 def prediction_as_of(predictions: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -92,8 +96,31 @@ def prediction_as_of(predictions: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
     Rows trained after their own as_of leak and never count.
     """
-    ok = predictions.where("training_cutoff <= as_of").join(F.broadcast(cutoffs), F.col("as_of") <= F.col("cutoff"))
+    ok = predictions.where("training_cutoff <= as_of").join(small(cutoffs), F.col("as_of") <= F.col("cutoff"))
     at = ok.groupBy("deal_id", "cutoff", "as_of").agg(F.count_distinct("model_run_id").alias("runs"), F.min(F.struct("model_run_id", "p_break")).alias("x"))
     last = at.groupBy("deal_id", "cutoff").agg(F.max_by(F.struct("as_of", "runs", "x"), "as_of").alias("r"))
     clear = F.col("r.runs") == 1
     return last.select("deal_id", "cutoff", F.col("r.as_of").alias("as_of"), F.when(clear, "ok").otherwise("ambiguous").alias("state"), F.when(clear, F.col("r.x.p_break")).alias("p_break"))
+
+
+def covariance_matrix(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``a, b, cov`` for every pair of columns (doubles), over rows without a null among them.
+
+    Two passes: the means, then products of centred columns, a matrix of partial sums for each task.
+    """
+    full = rows.select(*columns).dropna()
+    means = full.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    centre = np.array([means[c] if means[c] is not None else 0.0 for c in columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((len(columns), len(columns))), 0
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy() for c in columns], axis=1) - centre
+            total += x.T @ x
+            n += len(x)
+        i, j = np.divmod(np.arange(total.size), len(columns))
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel()), pa.array(np.full(total.size, n))], names=["i", "j", "s", "n"])
+
+    sums = full.mapInArrow(run, "i long, j long, s double, n long").groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    name = lambda c: F.element_at(F.array(*map(F.lit, columns)), (F.col(c) + 1).cast("int"))
+    return sums.select(name("i").alias("a"), name("j").alias("b"), F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)).alias("cov"))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tidemark.config import MAX_PRINT_AGE_DAYS, RESOLUTION_EVENTS
 from tidemark.functions.dates import age_days
+from tidemark.operators.ordering import small
 
 
 def visible(facts: DataFrame, cutoff: Column, valid: str, known: str = "known_at") -> DataFrame:
@@ -19,23 +20,22 @@ def visible(facts: DataFrame, cutoff: Column, valid: str, known: str = "known_at
 
 def visible_at(facts: DataFrame, cutoffs: DataFrame, valid: str, known: str = "known_at") -> DataFrame:
     """The facts that count at each of a few cut-offs (column ``cutoff``); the cut-offs are a small broadcast table."""
-    return facts.join(F.broadcast(cutoffs), (F.col(valid) <= F.col("cutoff")) & (F.col(known) <= F.col("cutoff")))
+    return facts.join(small(cutoffs), (F.col(valid) <= F.col("cutoff")) & (F.col(known) <= F.col("cutoff")))
 
 
-def state_as_of(facts: DataFrame, cutoffs: DataFrame, fields: Sequence[str], order: Sequence[str], valid: str, key: str = "deal_id", stale: dict[str, float] | None = None) -> DataFrame:
-    """Per key and cut-off, each field's last non-null value by ``order``, with when it was observed.
+def state_as_of(facts: DataFrame, cutoffs: DataFrame, fields: Sequence[str], order: Sequence[str], valid: str, key: str = "deal_id", stale: dict[str, float] | None = None, provenance: Sequence[str] = ()) -> DataFrame:
+    """Per key and cut-off, each field's last non-null value by ``order``, with when it was observed and the columns of
+    ``provenance`` of the row it comes from (as ``<field>_<column>``).
 
     ``stale`` gives the days after which a field's value no longer counts. One aggregation serves all fields.
     """
     rows = visible_at(facts, cutoffs, valid)
-    last = [F.max_by(F.struct(F.col(f).alias("v"), F.col(valid).alias("at")), F.when(F.col(f).isNotNull(), F.struct(*order))).alias(f) for f in fields]
+    last = [F.max_by(F.struct(F.col(f).alias("v"), F.col(valid).alias("at"), *provenance), F.when(F.col(f).isNotNull(), F.struct(*order))).alias(f) for f in fields]
     found = rows.groupBy(key, "cutoff").agg(*last)
     out = []
     for f in fields:
-        value = F.col(f)["v"]
-        if stale and f in stale:
-            value = F.when(age_days(F.col("cutoff"), F.col(f)["at"]) <= stale[f], value)
-        out += [value.alias(f), F.col(f)["at"].alias(f"{f}_at")]
+        fresh = age_days(F.col("cutoff"), F.col(f)["at"]) <= stale[f] if stale and f in stale else F.lit(True)
+        out += [F.when(fresh, F.col(f)["v"]).alias(f), F.col(f)["at"].alias(f"{f}_at"), *[F.when(fresh, F.col(f)[p]).alias(f"{f}_{p}") for p in provenance]]
     return found.select(key, "cutoff", *out)
 
 

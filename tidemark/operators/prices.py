@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemark.config import RECONCILE_RULES, SNAPSHOT_POLICIES
 from tidemark.functions.finance import price_agreement
+from tidemark.operators.ordering import small
 
 MIN_PRINTS = 3
 #: Statuses after which the next provider is asked; an ambiguous identity stops the chain.
@@ -95,21 +96,28 @@ def sessions_numbered(calendar: DataFrame) -> DataFrame:
 
 
 def snapshot_rows(deals: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Per deal and policy the session that many sessions after the first one on or after the announcement, while the deal is open."""
-    numbered = sessions_numbered(calendar)
-    days = calendar.select("obs_date").join(numbered, "obs_date", "left")
-    upcoming = F.min("ordinal").over(Window.orderBy("obs_date").rowsBetween(0, Window.unboundedFollowing))
-    first = F.broadcast(days.select(F.col("obs_date").alias("announce_date"), upcoming.alias("first")))
-    policies = F.explode(F.array(*[F.struct(F.lit(n).alias("policy"), F.lit(k).alias("offset")) for n, k in SNAPSHOT_POLICIES.items()]))
-    rows = deals.select("deal_id", "announce_date", "resolution_date").join(first, "announce_date").withColumn("p", policies).select("deal_id", "announce_date", "resolution_date", "p.policy", (F.col("first") + F.col("p.offset")).alias("ordinal"))
-    return rows.join(F.broadcast(numbered.withColumnRenamed("obs_date", "feature_date")), "ordinal").where(F.col("resolution_date").isNull() | (F.col("feature_date") < F.col("resolution_date"))).select("deal_id", "policy", "announce_date", "feature_date")
+    """Per deal, policy and offset its feature date, counted from the announcement day alone, and whether it is pending then.
+
+    A session policy takes the nth session after the announcement's day; a calendar policy the first session at or after
+    so many days. The resolution chooses no date: it only tells which snapshots are censored. Dates beyond the calendar
+    are left out.
+    """
+    sessions = sessions_numbered(calendar)
+    passed = F.count("ordinal").over(Window.orderBy("obs_date"))  # a calendar is small, one row per day
+    days = calendar.select("obs_date").join(sessions, "obs_date", "left").select(F.col("obs_date").alias("from_day"), passed.alias("passed"))
+    each = [F.struct(F.lit(name).alias("policy"), F.lit(kind == "days").alias("in_days"), F.lit(n).alias("after")) for name, (kind, offsets) in SNAPSHOT_POLICIES.items() for n in offsets]
+    rows = deals.select("deal_id", "announce_date", "resolution_date", F.explode(F.array(*each)).alias("p")).select("deal_id", "announce_date", "resolution_date", "p.*")
+    rows = rows.withColumn("from_day", F.when(F.col("in_days"), F.date_add("announce_date", F.col("after") - 1)).otherwise(F.col("announce_date")))
+    placed = rows.join(small(days), "from_day").withColumn("ordinal", F.col("passed") + F.when(F.col("in_days"), 1).otherwise(F.col("after")))
+    found = placed.join(small(sessions.withColumnRenamed("obs_date", "feature_date")), "ordinal")
+    return found.select("deal_id", "policy", "after", "announce_date", "feature_date", (F.col("resolution_date").isNull() | (F.col("feature_date") < F.col("resolution_date"))).alias("pending"))
 
 
 def deal_equal_weight(rows: DataFrame) -> DataFrame:
-    """A weight per snapshot row such that every deal counts alike and all sum to one."""
-    per = rows.groupBy("deal_id").agg(F.count("*").alias("k"))
-    n = per.agg(F.count("*").alias("n_deals"))
-    return rows.join(per, "deal_id").crossJoin(F.broadcast(n)).withColumn("weight", 1.0 / (F.col("n_deals") * F.col("k"))).drop("k", "n_deals")
+    """A weight per snapshot row such that in a policy every deal counts alike and all sum to one."""
+    per = rows.groupBy("policy", "deal_id").agg(F.count("*").alias("k"))
+    n = per.groupBy("policy").agg(F.count("*").alias("n_deals"))
+    return rows.join(per, ["policy", "deal_id"]).join(small(n), "policy").withColumn("weight", 1.0 / (F.col("n_deals") * F.col("k"))).drop("k", "n_deals")
 
 
 def grouped_split(rows: DataFrame, cutoff: Column) -> DataFrame:

@@ -2,53 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import SIMULATION_PATHS, SIMULATION_RHO
+from tidemark.storage import checkpointed
 
 #: Paths that are drawn together, and positions that meet them at once.
 BLOCK, CHUNK = 2_000, 256
+#: Positions of a slice, and slices at most; a larger book has larger slices, so that its sums per path stay bounded.
+SLICE, MOST_SLICES = 2_048, 4_096
 
 
 def draws(seed: int, block: int, part: int) -> np.random.Generator:
     """A stream of its own for each block of paths and each slice of positions; -1 is the common factor's."""
-    return np.random.Generator(np.random.Philox(key=seed, counter=[0, 0, block, part + 1]))
+    return np.random.Generator(np.random.SFC64([seed, block, part + 1]))
 
 
-def simulate(positions: DataFrame, paths: int = SIMULATION_PATHS, rho: float = SIMULATION_RHO, seed: int = 1, slices: int = 32) -> DataFrame:
+def simulate(positions: DataFrame, paths: int = SIMULATION_PATHS, rho: float = SIMULATION_RHO, seed: int = 1, slices: int | None = None) -> DataFrame:
     """``path, pnl, breaks`` of each path for positions (deal_id, p_break, downside_notional, upside_notional).
 
     A position breaks where sqrt(rho) * factor + sqrt(1 - rho) * own noise is below its quantile. Positions are dealt to
-    ``slices`` by a hash of their id; each slice meets each block of paths in a group of its own and gives partial sums
-    per path, which one aggregation adds up. Draws depend on seed, block and slice alone, so partitions don't change
-    the result (beyond the order of the sums). A group holds its slice's positions and CHUNK x BLOCK draws; larger
-    books take more slices.
+    ``slices`` by a hash of their id, as many as their number asks for; the task of a slice holds its positions, meets
+    the blocks of paths one after the other and gives partial sums per path, which one aggregation adds up. Draws depend
+    on seed, block and slice alone, so partitions don't change the result (beyond the order of the sums).
     """
-    blocks = positions.sparkSession.range(-(-paths // BLOCK)).select(F.col("id").alias("block"))
-    dealt = positions.select("deal_id", "p_break", "downside_notional", "upside_notional").withColumn("slice", F.pmod(F.xxhash64("deal_id"), F.lit(slices)))
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        part, block = int(key[0]), int(key[1])
-        n = min(BLOCK, paths - block * BLOCK)
-        common = np.sqrt(rho) * draws(seed, block, -1).standard_normal(n, dtype=np.float32)
-        noise, pnl, hits = draws(seed, block, part), np.zeros(n), np.zeros(n, np.int64)
-        rows = rows.sort_values("deal_id")
-        bars = np.array([NormalDist().inv_cdf(min(max(p, 1e-9), 1 - 1e-9)) for p in rows.p_break])
-        for at in range(0, len(rows), CHUNK):
-            here = rows.iloc[at : at + CHUNK]
-            own = noise.standard_normal((len(here), n), dtype=np.float32)
-            broken = common + np.float32(np.sqrt(1 - rho)) * own < bars[at : at + CHUNK, None]
-            pnl += here.upside_notional.sum() - (here.downside_notional + here.upside_notional).to_numpy() @ broken
-            hits += broken.sum(axis=0)
-        return pd.DataFrame({"path": block * BLOCK + np.arange(n), "pnl": pnl, "breaks": hits})
-
-    parts = dealt.join(F.broadcast(blocks)).groupBy("slice", "block").applyInPandas(run, "path long, pnl double, breaks long")
-    return parts.groupBy("path").agg(F.sum("pnl").alias("pnl"), F.sum("breaks").alias("breaks"))
+    held = checkpointed(positions.select("deal_id", "p_break", "downside_notional", "upside_notional"))
+    n = slices or max(1, min(MOST_SLICES, -(-held.count() // SLICE)))
+    dealt = held.withColumn("slice", F.pmod(F.xxhash64("deal_id"), F.lit(n)).cast("int")).repartitionById(n, "slice")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches([*batches], schema).sort_by("deal_id")  # a slice's positions
+        if not rows.num_rows:
+            return
+        part = rows["slice"][0].as_py()
+        down, up = (rows[c].to_numpy() for c in ("downside_notional", "upside_notional"))
+        quantile = NormalDist().inv_cdf
+        bars = np.array([quantile(min(max(p, 1e-9), 1 - 1e-9)) for p in rows["p_break"].to_numpy()]) / np.sqrt(1 - rho)
+        for block in range(-(-paths // BLOCK)):
+            m = min(BLOCK, paths - block * BLOCK)
+            shift = (np.sqrt(rho / (1 - rho)) * draws(seed, block, -1).standard_normal(m, dtype=np.float32)).astype(np.float32)
+            noise, pnl, hits = draws(seed, block, part), np.full(m, up.sum()), np.zeros(m, np.int64)
+            for at in range(0, len(bars), CHUNK):
+                here = slice(at, at + CHUNK)
+                own = noise.standard_normal((len(bars[here]), m), dtype=np.float32)
+                broken = own < bars[here, None].astype(np.float32) - shift
+                pnl -= (down + up)[here] @ broken
+                hits += np.count_nonzero(broken, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(block * BLOCK + np.arange(m)), pa.array(pnl), pa.array(hits)], names=["path", "pnl", "breaks"])
+
+    schema = pa.schema([("deal_id", pa.int64()), ("p_break", pa.float64()), ("downside_notional", pa.float64()), ("upside_notional", pa.float64()), ("slice", pa.int32())])
+    cast = dealt.select(F.col("deal_id").cast("long"), *[F.col(c).cast("double") for c in ("p_break", "downside_notional", "upside_notional")], "slice")
+    return cast.mapInArrow(run, "path long, pnl double, breaks long").groupBy("path").agg(F.sum("pnl").alias("pnl"), F.sum("breaks").alias("breaks"))
 
 
 def risk_report(paths: DataFrame, levels: tuple[float, ...] = (0.95, 0.99)) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.dates import date_key, quarter_label
+from tidemark.operators.ordering import small
 
 OPEN_END = "9999-12-31"
 
@@ -20,7 +21,7 @@ def dim_date(calendar: DataFrame) -> DataFrame:
 
 def fact_deal_state(deals: DataFrame, dim: DataFrame) -> DataFrame:
     """One row per deal: surrogate key, date key of the announcement (null if it isn't in the dimension), censoring flag."""
-    days = F.broadcast(dim.select(F.col("obs_date").alias("announce_date"), "date_key"))
+    days = small(dim.select(F.col("obs_date").alias("announce_date"), "date_key"))
     key = F.md5(F.concat(F.col("deal_id").cast("string"), F.lit("|"), F.coalesce(F.date_format("announce_date", "yyyy-MM-dd"), F.lit(""))))
     return deals.join(days, "announce_date", "left").select("deal_id", key.alias("deal_state_key"), "date_key", "status", (F.col("status") == "pending").alias("is_censored"), "p_break")
 
@@ -58,7 +59,7 @@ def data_quality(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 def invariants(deals: DataFrame, gated: DataFrame, calendar: DataFrame, mart: DataFrame) -> dict[str, DataFrame]:
     """Rules as DataFrames that must be empty."""
     return {
-        "no_prices_on_non_trading_days": gated.join(F.broadcast(calendar.where("not is_trading").select("obs_date")), "obs_date", "left_semi").select("series_id", "obs_date"),
+        "no_prices_on_non_trading_days": gated.join(small(calendar.where("not is_trading").select("obs_date")), "obs_date", "left_semi").select("series_id", "obs_date"),
         "pending_deals_are_censored": mart.where("status = 'pending' and squared_error is not null").select("deal_id"),
         "pending_has_no_realized_label": mart.where("status = 'pending' and label is not null").select("deal_id"),
         "resolution_not_before_announce": deals.where("resolution_date < announce_date").select("deal_id"),

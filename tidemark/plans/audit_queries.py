@@ -134,9 +134,9 @@ def cohort_violations(spark: SparkSession, d: str) -> DataFrame:
     return a.outside_cohort(c.resolved(spark, d), c.table(spark, d, "customer").select(F.col("c_custkey").alias("deal_id")), "deal_id").select("deal_id")
 
 
-@query(with_views("prices calendar", "SELECT p.series_id, p.obs_date, isodow(p.obs_date) < 6 AND coalesce(c.is_trading, true) AS valid FROM prices p LEFT JOIN (SELECT * FROM calendar WHERE obs_date < DATE '1998-01-01') c USING (obs_date)"))
+@query(with_views("prices calendar", "SELECT p.series_id, p.obs_date, isodow(p.obs_date) < 6 AND coalesce(c.is_trading, true) AS valid FROM prices p LEFT JOIN calendar c USING (obs_date)"))
 def session_validity(spark: SparkSession, d: str) -> DataFrame:
-    return a.session_valid(c.prices(spark, d), c.calendar(spark, d).where("obs_date < date'1998-01-01'")).select("series_id", "obs_date", "valid")
+    return a.session_valid(c.prices(spark, d), c.calendar(spark, d)).select("series_id", "obs_date", "valid")
 
 
 @query("SELECT event_id, hour(ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York') < 16 AS eligible FROM events")

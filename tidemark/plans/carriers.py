@@ -253,14 +253,14 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["provider_prints"] = """
-  SELECT event_type AS deal_id, CAST(ts AS DATE) AS session_date, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS provider,
+  SELECT event_type AS deal_id, CAST(ts AS DATE) AS session_date, CASE WHEN event_id % 2 = 0 OR event_id % 31 = 7 THEN 'a' ELSE 'b' END AS provider,
     CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) / 100.0::DOUBLE / count(*) AS close
-  FROM events WHERE event_id % 31 <> 7 GROUP BY 1, 2, 3"""
+  FROM events GROUP BY 1, 2, 3"""
 
 
 def provider_prints(spark: SparkSession, d: str) -> DataFrame:
     """Two providers' closes of the same sessions."""
-    e = table(spark, d, "events").where("event_id % 31 <> 7").selectExpr("event_type as deal_id", "to_date(ts) as session_date", "if(event_id % 2 = 0, 'a', 'b') as provider", "value")
+    e = table(spark, d, "events").selectExpr("event_type as deal_id", "to_date(ts) as session_date", "if(event_id % 2 = 0 or event_id % 31 = 7, 'a', 'b') as provider", "value")
     return e.groupBy("deal_id", "session_date", "provider").agg((cents("value") / 100.0 / F.count("*")).alias("close"))
 
 

@@ -48,6 +48,20 @@ def pit_state_asof(spark: SparkSession, d: str) -> DataFrame:
     return state.select("deal_id", "cutoff", "target_price", "offer_price", "unaffected_price")
 
 
+@query(
+    with_views(
+        "observations",
+        f"""SELECT deal_id, cutoff, offer_price, offer[1] AS offer_price_at, offer[2] AS offer_price_source, offer[3] AS offer_price_known_at, CASE WHEN fresh THEN target_price END AS target_price, target[1] AS target_price_at, CASE WHEN fresh THEN target[2] END AS target_price_source, CASE WHEN fresh THEN target[3] END AS target_price_known_at
+FROM (SELECT *, floor(epoch(cutoff)) - floor(epoch(target[1])) <= 3 * 86400 AS fresh FROM (SELECT deal_id, cutoff, {_last('offer_price')} AS offer_price, {_last('target_price')} AS target_price,
+  {", ".join(f"arg_max((observed_at, source, known_at), (observed_at, known_at, seq)) FILTER ({f} IS NOT NULL) AS {n}" for f, n in (("offer_price", "offer"), ("target_price", "target")))}
+  FROM observations JOIN (SELECT unnest([{", ".join(f"TIMESTAMP '{x}'" for x in CUTOFFS)}]) AS cutoff) ON observed_at <= cutoff AND known_at <= cutoff GROUP BY 1, 2))""",
+    )
+)
+def state_provenance(spark: SparkSession, d: str) -> DataFrame:
+    """Where each value of a state comes from."""
+    return pit.state_as_of(c.observations(spark, d), cutoffs(spark), ["offer_price", "target_price"], ["observed_at", "known_at", "seq"], "observed_at", stale=pit.STALE_PRINT, provenance=["source", "known_at"])
+
+
 @query(
     f"""SELECT series_id, obs_date, value, seq FROM (
   SELECT event_type AS series_id, CAST(ts AS DATE) AS obs_date, CASE WHEN event_id % 6 <> 0 THEN value END AS value, event_id AS seq,

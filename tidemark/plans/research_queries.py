@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.config import SNAPSHOT_POLICIES
 from tidemark.functions import dates, text
 from tidemark.operators import canonical, evidence, prices
 from tidemark.plans import carriers as c
@@ -80,14 +81,15 @@ def evidence_dedup(spark: SparkSession, d: str) -> DataFrame:
     return evidence.first_of_each(c.evidence(spark, d), ["event_id", "publisher", "stance", "claim_type"], "evidence_id").select("evidence_id", "accepted_id", "outcome")
 
 
-@query(
-    with_views("evidence", """, RECURSIVE_MARK""").replace(
-        ", RECURSIVE_MARK",
-        "SELECT e.evidence_id, CASE WHEN e.revises IS NULL THEN e.evidence_id WHEN p.revises IS NULL THEN e.revises ELSE p.revises END AS root, CAST(CASE WHEN e.revises IS NULL THEN 0 WHEN p.revises IS NULL THEN 1 ELSE 2 END AS INTEGER) AS steps FROM evidence e LEFT JOIN evidence p ON p.evidence_id = e.revises",
-    )
-)
+_REVISED = "SELECT event_id AS evidence_id, CASE WHEN event_id % 41 <> 0 THEN event_id - 1 END AS revises FROM events"
+
+
+@query(f"""WITH RECURSIVE r AS ({_REVISED}), chain AS (
+  SELECT evidence_id, evidence_id AS root, 0 AS steps FROM r WHERE revises IS NULL UNION ALL SELECT r.evidence_id, chain.root, chain.steps + 1 FROM r JOIN chain ON r.revises = chain.evidence_id)
+SELECT evidence_id, root, CAST(steps AS INTEGER) AS steps FROM chain""")
 def revision_chain(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.revision_chain(c.evidence(spark, d))
+    """Chains of up to 40 revisions."""
+    return evidence.revision_chain(c.table(spark, d, "events").selectExpr("event_id as evidence_id", "if(event_id % 41 <> 0, event_id - 1, null) as revises"))
 
 
 @query(with_views("deals", """SELECT link_id, k.deal_id, event_date, CASE WHEN announce_date IS NULL THEN 'unknown_deal' WHEN event_date < announce_date THEN 'before_announcement' WHEN event_date > coalesce(CAST(resolution_date + 30 AS DATE), DATE '9999-12-31') THEN 'after_resolution' ELSE 'valid' END AS decision
@@ -129,10 +131,10 @@ def outcome_asof(spark: SparkSession, d: str) -> DataFrame:
     return canonical.outcome_as_of(canonical.merge_events(_staged(spark, d)), F.lit("2024-01-04").cast("date"))
 
 
-@query("SELECT coalesce(a.k, b.k) AS deal_id, CASE WHEN a.k IS NULL THEN 'staged_only' ELSE 'reviewed_only' END AS side FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 7 <> 0) a FULL JOIN (SELECT c_custkey AS k FROM customer WHERE c_custkey % 5 <> 0) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
+@query("SELECT coalesce(a.k, b.k) AS deal_id, CASE WHEN a.k IS NULL THEN 'staged_only' ELSE 'reviewed_only' END AS side FROM (SELECT c_custkey AS k FROM customer) a FULL JOIN (SELECT DISTINCT o_custkey + CASE WHEN o_orderkey % 50 = 0 THEN 1000000 ELSE 0 END AS k FROM orders) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
 def staging_reconciliation(spark: SparkSession, d: str) -> DataFrame:
-    k = c.table(spark, d, "customer").select(F.col("c_custkey").alias("deal_id"))
-    return canonical.reconcile_ids(k.where("deal_id % 7 <> 0"), k.where("deal_id % 5 <> 0"), "deal_id")
+    staged = c.table(spark, d, "orders").selectExpr("o_custkey + if(o_orderkey % 50 = 0, 1000000, 0) as deal_id").distinct()
+    return canonical.reconcile_ids(c.table(spark, d, "customer").select(F.col("c_custkey").alias("deal_id")), staged, "deal_id")
 
 
 @query("SELECT coalesce(a.k, b.k) AS deal_id, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'both' WHEN a.k IS NOT NULL THEN 'a_only' ELSE 'b_only' END AS side FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P') b ON a.k = b.k")
@@ -189,20 +191,21 @@ def provider_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SNAPS = """sess AS (SELECT obs_date, row_number() OVER (ORDER BY obs_date) AS ordinal FROM calendar WHERE is_trading),
-firsts AS (SELECT c.obs_date, (SELECT min(ordinal) FROM sess s WHERE s.obs_date >= c.obs_date) AS first FROM calendar c),
-pol AS (SELECT unnest(['session_5', 'session_10', 'session_20']) AS policy, unnest([5, 10, 20]) AS k),
-snaps AS (SELECT deal_id, policy, announce_date, s.obs_date AS feature_date FROM deals d JOIN firsts f ON f.obs_date = d.announce_date CROSS JOIN pol JOIN sess s ON s.ordinal = f.first + k WHERE resolution_date IS NULL OR s.obs_date < resolution_date)"""
+passed AS (SELECT c.obs_date, count(s.ordinal) OVER (ORDER BY c.obs_date) AS passed FROM calendar c LEFT JOIN sess s ON s.obs_date = c.obs_date),
+pol(policy, in_days, after) AS (VALUES """ + ", ".join(f"('{n}', {str(k == 'days').lower()}, {x})" for n, (k, offsets) in SNAPSHOT_POLICIES.items() for x in offsets) + """),
+snaps AS (SELECT deal_id, policy, after, announce_date, s.obs_date AS feature_date, resolution_date IS NULL OR s.obs_date < resolution_date AS pending
+  FROM deals d CROSS JOIN pol JOIN passed f ON f.obs_date = CASE WHEN in_days THEN CAST(announce_date + (after - 1) AS DATE) ELSE announce_date END JOIN sess s ON s.ordinal = f.passed + CASE WHEN in_days THEN 1 ELSE after END)"""
 
 
-@query(_sql("deals calendar", _SNAPS, "SELECT deal_id, policy, announce_date, feature_date FROM snaps"))
+@query(_sql("deals calendar", _SNAPS, "SELECT deal_id, policy, after, announce_date, feature_date, pending FROM snaps"))
 def feature_session_policy(spark: SparkSession, d: str) -> DataFrame:
     return prices.snapshot_rows(c.deals(spark, d), c.calendar(spark, d))
 
 
-@query(_sql("deals calendar", _SNAPS, "SELECT deal_id, policy, round(1.0::DOUBLE / ((SELECT count(DISTINCT deal_id) FROM snaps) * count(*) OVER (PARTITION BY deal_id)), 12) AS weight FROM snaps"))
+@query(_sql("deals calendar", _SNAPS, "SELECT deal_id, s.policy, after, round(1.0::DOUBLE / (n * count(*) OVER (PARTITION BY s.policy, deal_id)), 12) AS weight FROM snaps s JOIN (SELECT policy, count(DISTINCT deal_id) AS n FROM snaps GROUP BY 1) t ON t.policy = s.policy"))
 def deal_equal_weight(spark: SparkSession, d: str) -> DataFrame:
     rows = prices.deal_equal_weight(prices.snapshot_rows(c.deals(spark, d), c.calendar(spark, d)))
-    return rows.select("deal_id", "policy", F.round("weight", 12).alias("weight"))
+    return rows.select("deal_id", "policy", "after", F.round("weight", 12).alias("weight"))
 
 
 @query(_sql("deals calendar", _SNAPS, "SELECT policy, CASE WHEN announce_date < DATE '1998-06-30' THEN 'train' ELSE 'test' END AS split, count(*) AS n_rows, count(DISTINCT deal_id) AS n_deals FROM snaps GROUP BY 1, 2"))
