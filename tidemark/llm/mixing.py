@@ -5,7 +5,9 @@ its target over its size. A document is emitted floor(rate) times, plus once mor
 its id and the seed alone falls below the rate's fraction. Reruns therefore agree, whatever the partitions.
 
 Defined cases: a null or empty text has size 0; a null source is a source of its own, last in order; a source
-of size 0 has target 0 and rate 0; rows that repeat an id share its draw; an empty table gives an empty mix.
+of size 0 has target 0 and rate 0; a text of any length counts whole; rows that repeat an id share its draw, so they
+come out alike; sources are distinct, so their order has no ties; an empty table gives an empty mix; extra columns
+stay, whatever their names.
 """
 
 from __future__ import annotations

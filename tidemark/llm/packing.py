@@ -9,7 +9,9 @@ to the sequence with the lowest estimated cost, ``linear * tokens + quadratic *
 sequences with most room. So every sequence is filled to its end and none is padded.
 
 Defined cases: a null or empty text is a document of one token, the end mark; repeated rows are packed one by
-one; an empty table gives no pieces; very long documents are cut.
+one; an empty table gives no pieces; a document of any length is tokenised whole and cut; of items of equal length the
+one that came first goes first, of sequences of equal cost the one with the smaller number is filled; other columns
+than doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ value, heap order), which each task walks level by level for a whole batch.
 
 Defined cases: a null text counts as empty; an empty text has all statistics zero and is scored like any other;
 without labels of both classes every score is the smoothed base rate; repeated rows score alike; an id with
-several labels counts with the lowest; no column but the text is an input.
+several labels counts with the lowest; null labels are not learnt from; of cuts of equal gain the one of the first
+statistic and the least value is taken; a text of any length is read whole, in one row of a task; an empty table gives
+an empty result; no column but the text is an input, whatever the names of others.
 """
 
 from __future__ import annotations

@@ -2,7 +2,8 @@
 
 Each rule compares two whole-number counts of a document, ``scale * count > bound * base`` or the reverse, so the
 verdict needs no division. Defined cases: a null text has no words and fails the base rule; an empty table gives
-an empty result; repeated rows are judged alike; other columns of the input play no part.
+an empty result; repeated rows are judged alike; a count that equals its bound passes; a text of any length is
+judged whole, in one row of a task; other columns of the input play no part, whatever their names.
 """
 
 from __future__ import annotations
