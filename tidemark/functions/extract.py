@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,6 +77,11 @@ def first_group(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def trimmed(name: Column, around: str = " ,.;") -> Column:
     return F.regexp_replace(F.regexp_replace(name, r"\s+", " "), f"^[{around}]+|[{around}]+$", "")
 
@@ -91,8 +98,7 @@ def acquirer_name(raw: Column) -> Column:
         (r"(?i)\s+for\s+\$\s*[0-9].*$", ""), (r"\s*\([^)]*\)\s*$", ""), (r"(?i)^.*?\bfunds?\s+advised\s+by\s+(.+)$", "$1"), (r"(?i)\s+(?:will|to|for approximately|pursuant|has agreed|,?\s*which|in\s+20\d{2})\b.*$", ""),
     ):
         name = trimmed(F.regexp_replace(name, pattern, put))
-    usable = F.length(name).between(3, 80) & ~F.lower(name).isin(*ROLES)
-    return F.when(usable, F.nullif(F.trim(F.regexp_replace(name, r"(?i)\s+AFFILIATE\s*$", "")), F.lit("")))
+    return let(name, lambda n: F.when(F.length(n).between(3, 80) & ~F.lower(n).isin(*ROLES), F.nullif(F.trim(F.regexp_replace(n, r"(?i)\s+AFFILIATE\s*$", "")), F.lit(""))))
 
 
 def deal_terms(text: Column) -> Column:
@@ -103,20 +109,21 @@ def deal_terms(text: Column) -> Column:
     """
     head = F.substring(text, 1, HEAD)
     sides = [(acquirer_name(first_group(head, p, 1)), first_group(head, p, 2).try_cast("double")) for p in TARGET_SIDE_CASH]
-    direct = F.coalesce(*[F.when(name.isNotNull() & price.between(0.5, 5000.0), F.struct(name.alias("name"), price.alias("price"))) for name, price in sides])
+    direct = F.coalesce(*[let(F.struct(name.alias("name"), price.alias("price")), lambda x: F.when(x["name"].isNotNull() & x["price"].between(0.5, 5000.0), x)) for name, price in sides])
     numbers = lambda patterns: F.concat(*[F.transform(F.regexp_extract_all(head, F.lit(p)), lambda x: x.cast("double")) for p in patterns])
     cash = F.transform(F.filter(numbers(CASH_PATTERNS), lambda v: v.between(0.5, 5000.0)), lambda v: F.round(v, 4))
     ratio = F.transform(F.filter(numbers(RATIO_PATTERNS), lambda v: (v > 0) & (v < 50)), lambda v: F.round(v, 6))
-    named = [F.when(F.length(n).between(3, 80) & ~F.lower(n).contains("stockholder"), n) for n in (trimmed(first_group(head, p), " ,.") for p in ACQUIRER_PATTERNS)]
+    named = [let(trimmed(first_group(head, p), " ,."), lambda n: F.when(F.length(n).between(3, 80) & ~F.lower(n).contains("stockholder"), n)) for p in ACQUIRER_PATTERNS]
     return F.struct(
         F.regexp_like(head, F.lit(MECHANICS)).alias("unsupported"), direct.alias("direct"), cash.alias("cash"), ratio.alias("ratio"), F.coalesce(*named, acquirer_name(first_group(head, ACQUIRED_BY))).alias("acquirer"),
-        (F.regexp_like(head, F.lit(CASH_WORDS)) | ((F.size(cash) > 0) & F.regexp_like(head, F.lit(r"(?i)\bcash\b")))).alias("says_cash"), F.regexp_like(head, F.lit(STOCK_WORDS)).alias("says_stock"),
+        F.regexp_like(head, F.lit(CASH_WORDS)).alias("cash_words"), F.regexp_like(head, F.lit(r"(?i)\bcash\b")).alias("names_cash"), F.regexp_like(head, F.lit(STOCK_WORDS)).alias("says_stock"),
     )
 
 
 def decided_terms(found: Column) -> Column:
     """What ``deal_terms`` found as one deal's terms; ``found`` is a column of its result."""
-    cash, ratio, says_cash, says_stock = found["cash"], found["ratio"], found["says_cash"], found["says_stock"]
+    cash, ratio, says_stock = found["cash"], found["ratio"], found["says_stock"]
+    says_cash = found["cash_words"] | ((F.size(cash) > 0) & found["names_cash"])
     n_cash, n_ratio = F.size(F.array_distinct(cash)), F.size(F.array_distinct(ratio))
     price, rate = most_frequent(cash, True), most_frequent(ratio, False)
     mixed, all_cash = (n_cash > 0) & (n_ratio > 0) & says_cash & says_stock, (n_cash > 0) & says_cash & ~says_stock
