@@ -200,3 +200,15 @@ def test_time_points_and_codes(spark):
     assert got[4][1] == datetime(2026, 2, 28, 23, 59, 59, 999999) and got[6][1] == datetime(2026, 2, 28, 8)
     names = spark.createDataFrame([("The Big Company, Inc.",), ("A B",), ("3M Co",), ("Co",)], "n string")
     assert [r[0] for r in names.select(text.ticker_token(F.col("n"))).collect()] == ["BIG", "B", "3M", "UNK"]
+
+
+def test_running_sums_over_ranges_equal_a_window(spark):
+    from pyspark.sql import Window
+    from tidemark.operators.ordering import running_sums
+
+    rows = spark.range(5000).selectExpr("if(id % 3 = 0, null, if(id % 1000 = 1, 'rare', 'hot')) AS k", "hash(id) AS o", "id % 7 AS x", "id AS y")
+    w = Window.partitionBy("k").orderBy(F.col("o").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    want = rows.withColumns({"sx": F.sum("x").over(w), "sy": F.sum("y").over(w)})
+    got = running_sums(rows, ["k"], [F.col("o").desc()], {"sx": "x", "sy": "y"})
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert running_sums(rows.limit(0), ["k"], [F.col("o").desc()], {"sx": "x"}).count() == 0

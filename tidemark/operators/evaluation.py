@@ -1,7 +1,7 @@
 """Evaluation of rare-event scores: rank AUC, average precision, confusion, thresholds, calibration, scorecards.
 
-All take rows of ``cohort columns, p_break, label`` and partition by the cohort, so cohorts spread over tasks; within
-one, ties of the score are aggregated first.
+All take rows of ``cohort columns, p_break, label``. Ties of the score are aggregated first; what lies above a score is
+summed over ranges of cohort and score, so a cohort of very many scores spreads over tasks.
 """
 
 from __future__ import annotations
@@ -10,9 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.config import COST_FN, COST_FP, COST_RATIO_GRID, MIN_SAMPLE_N
+from tidemark.operators.ordering import running_sums
 
 
 def resolved_deals(deals: DataFrame, cutoff: str) -> DataFrame:
@@ -24,14 +24,13 @@ def resolved_deals(deals: DataFrame, cutoff: str) -> DataFrame:
 def by_score(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """One row per cohort and distinct score: positives and negatives there, and above it."""
     ties = rows.groupBy(*by, "p_break").agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg"))
-    down = Window.partitionBy(*by).orderBy(F.col("p_break").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*by)
-    return ties.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "n_pos": F.sum("pos").over(every), "n_neg": F.sum("neg").over(every)})
+    return running_sums(ties, by, [F.col("p_break").desc()], {"tp": "pos", "fp": "neg"}, {"n_pos": "tp", "n_neg": "fp"})
 
 
-def auc(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Mann-Whitney AUC with ties counted half, and average precision by steps; null if a class is missing."""
-    steps = by_score(rows, by)
+def auc(rows: DataFrame, by: Sequence[str], steps: DataFrame | None = None) -> DataFrame:
+    """Mann-Whitney AUC with ties counted half, and average precision by steps; null if a class is missing. ``steps`` is
+    what by_score gives, if it is there already."""
+    steps = by_score(rows, by) if steps is None else steps
     below = F.col("n_neg") - F.col("fp")  # negatives with a lower score
     wins = F.sum(F.col("pos") * (below + F.col("neg") / 2.0))
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
@@ -41,9 +40,9 @@ def auc(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return steps.groupBy(*by).agg((F.max("n_pos") + F.max("n_neg")).alias("n"), F.max("n_pos").alias("n_pos"), area.alias("roc_auc"), ap.alias("average_precision"))
 
 
-def thresholds(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+def thresholds(rows: DataFrame, by: Sequence[str], steps: DataFrame | None = None) -> DataFrame:
     """Every distinct score, 0 and 1 as a threshold with the confusion it gives; flagged means p >= threshold."""
-    steps = by_score(rows, by)
+    steps = by_score(rows, by) if steps is None else steps
     ends = rows.groupBy(*by).agg(F.sum("label").cast("long").alias("n_pos"), F.sum(1 - F.col("label")).cast("long").alias("n_neg"), F.count_if(F.col("p_break") >= 1).alias("_"), F.sum(F.when(F.col("p_break") >= 1, F.col("label")).otherwise(0)).cast("long").alias("tp1"), F.sum(F.when(F.col("p_break") >= 1, 1 - F.col("label")).otherwise(0)).cast("long").alias("fp1"))
     zero = ends.select(*by, F.lit(0.0).alias("t"), F.col("n_pos").alias("tp"), F.col("n_neg").alias("fp"), "n_pos", "n_neg")
     one = ends.select(*by, F.lit(1.0).alias("t"), F.col("tp1").alias("tp"), F.col("fp1").alias("fp"), "n_pos", "n_neg")
@@ -51,11 +50,11 @@ def thresholds(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return own.unionByName(zero).unionByName(one).withColumns({"fn": F.col("n_pos") - F.col("tp"), "tn": F.col("n_neg") - F.col("fp")})
 
 
-def optimal_threshold(rows: DataFrame, by: Sequence[str], cost_fp: float = COST_FP, cost_fn: Column | float = COST_FN) -> DataFrame:
+def optimal_threshold(rows: DataFrame, by: Sequence[str], cost_fp: float = COST_FP, cost_fn: Column | float = COST_FN, steps: DataFrame | None = None) -> DataFrame:
     """The cheapest threshold, the smallest of equally cheap ones, with its cost and confusion."""
     cost = F.col("fp") * cost_fp + F.col("fn") * cost_fn
     best = F.min_by(F.struct("t", cost.alias("cost"), "tp", "fp", "fn", "tn"), F.struct(cost, F.col("t")))
-    return thresholds(rows, by).groupBy(*by).agg(best.alias("b")).select(*by, F.col("b.t").alias("threshold"), "b.cost", "b.tp", "b.fp", "b.fn", "b.tn")
+    return thresholds(rows, by, steps).groupBy(*by).agg(best.alias("b")).select(*by, F.col("b.t").alias("threshold"), "b.cost", "b.tp", "b.fp", "b.fn", "b.tn")
 
 
 def cost_curve(rows: DataFrame, by: Sequence[str], ratios: Sequence[int] = COST_RATIO_GRID) -> DataFrame:
@@ -95,5 +94,6 @@ def scorecard(rows: DataFrame, min_n: int = MIN_SAMPLE_N) -> DataFrame:
         F.concat(F.lit("all"), F.lit("")), F.concat(F.lit("quarter:"), quarter), F.concat(F.lit("geography:"), F.coalesce("geography", F.lit("?"))), F.concat(F.lit("deal_type:"), F.coalesce("deal_type", F.lit("?")))
     )
     long = rows.select(F.explode(named).alias("cohort"), "p_break", "label")
-    best = optimal_threshold(long, ["cohort"])
-    return auc(long, ["cohort"]).join(best, "cohort").withColumns({"base_rate": F.col("n_pos") / F.col("n"), "thin": F.col("n") < min_n})
+    steps = by_score(long, ["cohort"])
+    best = optimal_threshold(long, ["cohort"], steps=steps)
+    return auc(long, ["cohort"], steps).join(best, "cohort").withColumns({"base_rate": F.col("n_pos") / F.col("n"), "thin": F.col("n") < min_n})

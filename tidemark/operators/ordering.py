@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,6 +38,25 @@ def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: s
     return placed.join(before, [*keys, "_range"]).select(*rows.columns, (F.col("_place") - 1 + F.col("_before")).alias(name))
 
 
+def running_sums(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: dict[str, str], totals: dict[str, str] = {}) -> DataFrame:
+    """``rows`` with, for each name of ``sums``, the sum of its column (never null) over the key's rows up to and with this
+    one, and for each of ``totals`` the sum of the column of that name in ``sums`` over all the key's rows.
+
+    Ranges of key and order are summed by themselves and moved on by what the ranges before hold, as in ``numbered``. Rows
+    of a key have an order of their own; keys may be null.
+    """
+    ranged = checkpointed(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    so_far = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = ranged.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{name}") for name, c in sums.items()])
+    moved = [F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}") for name in sums]
+    in_all = [F.sum(f"_{name}").over(Window.partitionBy(*keys)).alias(total) for total, name in totals.items()]
+    before = whole.select(F.struct(*keys, "_range").alias("_at"), *moved, *in_all)
+    summed = ranged.withColumns({name: F.sum(c).over(so_far) for name, c in sums.items()})
+    both = summed.join(small(before), F.struct(*keys, "_range").eqNullSafe(F.col("_at")))
+    return both.select(*rows.columns, *[(F.col(name) + F.col(f"_{name}")).alias(name) for name in sums], *totals)
+
+
 def earlier_below(values: np.ndarray) -> np.ndarray:
     """For each of distinct numbers, how many before it are less. Halves the numbers' range again and again, all at once."""
     n = len(values)
