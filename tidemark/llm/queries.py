@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import license_scan, line_dedup, mixing, packing, quality_model, quality_rules, simhash, substring, topk, toxicity
+from tidemark.llm import filter_audit, license_scan, line_dedup, mixing, packing, quality_model, quality_rules, simhash, substring, topk, toxicity
 from tidemark.llm.common import table
 
 
@@ -52,10 +52,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_topk, op2_packing, op3_simhash, op4_mixing, op5_quality, op6_line_dedup, op7_substring_dedup, op8_license_scan, op9_quality_rules, op10_toxicity)
+    found = (op1_topk, op2_packing, op3_simhash, op4_mixing, op5_quality, op6_line_dedup, op7_substring_dedup, op8_license_scan, op9_quality_rules, op10_toxicity, op12_filter_audit)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": topk.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL, "op7_substring_dedup": substring.ORACLE_SQL, "op9_quality_rules": quality_rules.oracle_sql()}
+    return {"op1_topk": topk.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL, "op7_substring_dedup": substring.ORACLE_SQL, "op9_quality_rules": quality_rules.oracle_sql(), "op12_filter_audit": filter_audit.ORACLE_SQL}
