@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import collocations, filter_audit, license_scan, line_dedup, mixing, packing, quality_model, quality_rules, simhash, substring, topk, toxicity
+from tidemark.llm import collocations, filter_audit, license_scan, line_dedup, mixing, packing, quality_model, quality_rules, run_index, simhash, substring, topk, toxicity
 from tidemark.llm.common import table
 
 
@@ -60,10 +60,14 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_topk, op2_packing, op3_simhash, op4_mixing, op5_quality, op6_line_dedup, op7_substring_dedup, op8_license_scan, op9_quality_rules, op10_toxicity, op11_collocations, op12_filter_audit)
+    found = (op1_topk, op2_packing, op3_simhash, op4_mixing, op5_quality, op6_line_dedup, op7_substring_dedup, op8_license_scan, op9_quality_rules, op10_toxicity, op11_collocations, op12_filter_audit, op13_suffix_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": topk.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL, "op7_substring_dedup": substring.ORACLE_SQL, "op9_quality_rules": quality_rules.oracle_sql(), "op11_collocations": collocations.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL}
+    return {"op1_topk": topk.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL, "op7_substring_dedup": substring.ORACLE_SQL, "op9_quality_rules": quality_rules.oracle_sql(), "op11_collocations": collocations.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL, "op13_suffix_dedup": run_index.ORACLE_SQL}
