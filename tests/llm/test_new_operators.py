@@ -89,6 +89,15 @@ def test_chunks_of_any_size_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, collocations.collocations(df).collect())) == slow_collocations(rows, 30)
 
 
+def test_words_are_written_by_what_they_add():
+    rng = random.Random(2)
+    words = sorted({bytes(rng.choice(b"ab\x00") for _ in range(rng.choice([1, 3, 9, 40, 300]))) for _ in range(80)})
+    listed = collocations.WordList(words)
+    for k in (1, 2, 17, len(words)):
+        used = np.array(sorted(rng.sample(range(len(words)), k)))
+        assert collocations.read_words(*listed.written(used)) == [words[i] for i in used]
+
+
 def word_numbers(text):
     vocabulary = collocations.Vocabulary()
     vocabulary.numbers(text.encode().split())

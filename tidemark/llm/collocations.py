@@ -37,7 +37,7 @@ from tidemark.llm.common import checkpointed
 LONGEST, LEAST, TOP, COVERED = 4, 30, 2000, 80
 SCALE = 2_000_000
 #: Words that a task counts together, bytes of text that it splits together, arcs that a range holds before it sums.
-CHUNK_WORDS, SPLIT_BYTES, HELD_ARCS = 2_000_000, 4_000_000, 6_000_000
+CHUNK_WORDS, SPLIT_BYTES, HELD_ARCS = 2_000_000, 4_000_000, 3_000_000
 
 #: Delimiters of pieces become a byte that no UTF-8 text holds; what is left of white space is that between words.
 BREAK = b"\xff"
@@ -68,7 +68,7 @@ class Vocabulary(dict):
         return got
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:
@@ -97,15 +97,60 @@ def narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
+Planes = tuple[str, int, bytes]
+
+
+def planes(x: np.ndarray) -> Planes:
+    """An array of whole numbers in the narrowest type, its bytes by place: those of equal place compress well."""
+    x = narrow(x)
+    return x.dtype.str, len(x), x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def whole(x: Planes) -> np.ndarray:
+    kind, n, data = x
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(-1, n).T).view(kind).reshape(n) if n else np.zeros(0, kind)
+
+
+class WordList:
+    """Sorted words; any selection of them is written as what a word adds to the one before it."""
+
+    PREFIX = 32  # bytes that are compared
+
+    def __init__(self, words: list[bytes]) -> None:
+        self.length = np.fromiter(map(len, words), np.int64, len(words))
+        self.start = np.cumsum(self.length) - self.length
+        self.bytes = np.frombuffer(b"".join(words), np.uint8)
+        heads = np.array([w[: self.PREFIX] for w in words], f"S{self.PREFIX}").view(np.uint8).reshape(len(words), self.PREFIX)
+        same = np.logical_and.accumulate(heads[1:] == heads[:-1], axis=1).sum(axis=1)
+        self.shared = np.concatenate([[0], np.minimum(same, np.minimum(self.length[1:], self.length[:-1]))])  # with the word before
+
+    def written(self, used: np.ndarray) -> tuple[Planes, Planes, bytes]:
+        shared = np.zeros(len(used), np.int64)
+        if len(used) > 1:
+            shared[1:] = np.minimum.reduceat(self.shared[: used[-1] + 1], used[:-1] + 1)
+        more = self.length[used] - shared
+        at = np.repeat(self.start[used] + shared - (np.cumsum(more) - more), more) + np.arange(more.sum())
+        return planes(shared), planes(more), self.bytes[at].tobytes()
+
+
+def read_words(shared: Planes, more: Planes, data: bytes) -> list[bytes]:
+    words, word, at = [], b"", 0
+    for k, n in zip(whole(shared).tolist(), whole(more).tolist()):
+        word = word[:k] + data[at : at + n]
+        at += n
+        words.append(word)
+    return words
+
+
 def counted(numbers: np.ndarray) -> list[tuple[list[np.ndarray], np.ndarray]]:
     """For n = 1 to 4 the n-grams of a sequence of word numbers, sorted, as columns, and their counts."""
-    padded = np.concatenate([numbers, np.zeros(LONGEST - 1, np.int64)])
+    padded = np.concatenate([numbers, np.zeros(LONGEST - 1, numbers.dtype)])
     columns = [numbers]
     for i in range(1, LONGEST):
         columns.append(np.where(columns[-1] > 0, padded[i : i + len(numbers)], 0))
     some = numbers > 0
     columns = [c[some] for c in columns]
-    order = np.lexsort([columns[2] << 32 | columns[3], columns[0] << 32 | columns[1]])
+    order = np.lexsort([columns[i].astype(np.int64) << 32 | columns[i + 1] for i in (2, 0)])
     columns = [c[order] for c in columns]
     changed, out = np.zeros(len(order), bool), []
     changed[:1] = True
@@ -120,7 +165,12 @@ def counted(numbers: np.ndarray) -> list[tuple[list[np.ndarray], np.ndarray]]:
 
 def slices(numbers: np.ndarray, vocabulary: Vocabulary, lang: str, buckets: int) -> Iterator[tuple[int, bytes]]:
     """The count transducer of a sequence of words, cut into prefix ranges: (range, slice)."""
-    words = list(vocabulary)
+    words = [BREAK, *sorted(w for w in vocabulary if w != BREAK)]
+    if len(words) == 1:
+        return
+    rank = np.zeros(len(words), np.int32)
+    rank[np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
+    numbers, listed = rank[numbers], WordList(words[1:])
     hashes = np.fromiter(map(word_hash, words), np.uint64, len(words))
     levels = []
     for columns, count in counted(numbers):
@@ -142,8 +192,8 @@ def slices(numbers: np.ndarray, vocabulary: Vocabulary, lang: str, buckets: int)
             for c in columns[:-1]:
                 opens[1:] |= c[1:] != c[:-1]
             state = np.flatnonzero(opens)
-            out.append(([narrow(new[c[state]]) for c in columns[:-1]], narrow(np.diff(np.append(state, len(count)))), narrow(new[columns[-1]]), narrow(count)))
-        yield b, packed((b"\n".join([words[i] for i in used.tolist()]), out))
+            out.append(([planes(new[c[state]]) for c in columns[:-1]], planes(np.diff(np.append(state, len(count)))), planes(new[columns[-1]]), planes(count)))
+        yield b, packed((listed.written(used - 1), out))
 
 
 def shard_slices(docs: DataFrame, buckets: int) -> DataFrame:
@@ -214,11 +264,12 @@ class Union:
 
     def add(self, blob: bytes) -> None:
         words, levels = unpacked(blob)
-        numbers = self.vocabulary.numbers(words.split(b"\n"))
+        numbers = self.vocabulary.numbers(read_words(*words))
         for level, (states, fan, last, count) in zip(self.levels, levels):
-            if len(count):
-                level.append(([*(numbers[s.repeat(fan)] for s in states), numbers[last]], count.astype(np.int64)))
-                self.held += len(count)
+            times = whole(fan)
+            if len(times):
+                level.append(([*(numbers[whole(s).repeat(times)] for s in states), numbers[whole(last)]], whole(count).astype(np.int64)))
+                self.held += len(level[-1][1])
         if self.held > HELD_ARCS:
             self.levels = [[x] for x in self.totals()]
             self.held = sum(len(level[0][1]) for level in self.levels) // 2  # what can't shrink is summed half as often
@@ -226,7 +277,7 @@ class Union:
     def totals(self) -> list[tuple[list[np.ndarray], np.ndarray]]:
         out = []
         for n, level in enumerate(self.levels, 1):
-            columns = [np.concatenate([x[0][i] for x in level]) if level else np.zeros(0, np.int64) for i in range(n)]
+            columns = [np.concatenate([x[0][i] for x in level]) if level else np.zeros(0, np.int32) for i in range(n)]
             count = np.concatenate([x[1] for x in level]) if level else np.zeros(0, np.int64)
             out.append(summed(columns, count, len(self.vocabulary)))
         return out
