@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-#: Patterns of terms. RE2 and Java read them alike.
-CASH_PER_SHARE = r"\$([0-9]+(?:\.[0-9]+)?) (?:per share )?in cash"
-EXCHANGE_RATIO = r"([0-9]+\.[0-9]+) (?:of a share|shares) of"
-LISTED = r"\((?:NYSE|NASDAQ|Nasdaq)[ :]+([A-Z]{1,5})\)"
-UNSUPPORTED = r"(?i)contingent value right|election|collar"
+from pyspark.sql.pandas.types import from_arrow_type
 
 
 def most_frequent(values: Column, larger: bool) -> Column:
@@ -22,13 +15,6 @@ def most_frequent(values: Column, larger: bool) -> Column:
     return F.array_max(ranked)["v"]
 
 
-def terms(text: Column) -> Column:
-    """cash per share, exchange ratio, listed ticker, and whether the terms have a part that isn't supported."""
-    numbers = lambda p: F.transform(F.regexp_extract_all(text, F.lit(p)), lambda x: x.cast("double"))
-    ticker = F.nullif(F.regexp_extract(text, LISTED, 1), F.lit(""))
-    return F.struct(most_frequent(numbers(CASH_PER_SHARE), True).alias("cash"), most_frequent(numbers(EXCHANGE_RATIO), False).alias("ratio"), ticker.alias("ticker"), F.regexp_like(text, F.lit(UNSUPPORTED)).alias("unsupported"))
-
-
 #: How announcements state a price in cash.
 CASH_PATTERNS = (
     r"(?i)\$\s*([0-9]+(?:\.[0-9]+)?)\s+in\s+(?:an\s+)?(?:all[- ])?cash\s+per\s+share",
@@ -68,56 +54,55 @@ MECHANICS = (
     r"contingent\s+value\s+right|\bCVRs?\b|floating\s+exchange\s+ratio|collar\s+(?:mechanism|structure))"
 )
 CASH_WORDS, STOCK_WORDS = r"(?i)\b(?:all[- ]cash|in cash|cash consideration|cash transaction)\b", r"(?i)\b(?:exchange ratio|shares of [^.]{0,40}common stock for each)\b"
-#: Letters of a document in which terms are looked for.
-HEAD = 20_000
-
-
-def first_group(text: Column, pattern: str, group: int = 1) -> Column:
-    """A group of the first match, null if there is none."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
-
-
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is computed once, however often ``then`` uses it."""
-    return F.get(F.transform(F.array(value), then), 0)
-
-
-def trimmed(name: Column, around: str = " ,.;") -> Column:
-    return F.regexp_replace(F.regexp_replace(name, r"\s+", " "), f"^[{around}]+|[{around}]+$", "")
-
-
 #: Names that stand for a role, not a company.
 ROLES = ("purchaser", "buyer", "parent", "merger sub", "acquisition", "affiliate", "affiliates", "company", "the company", "a wholly-owned subsidiary", "wholly-owned subsidiary")
 
 
-def acquirer_name(raw: Column) -> Column:
-    """A buyer's name without what press releases glue to it; null if no name of 3 to 80 letters remains."""
-    name = trimmed(raw)
-    for pattern, put in (
-        (r"\S+@\S+", " "), (r"(?i)^\s*e-?mail\s*:\s*", ""), (r"(?i)^.*?\bled by\s+(.+)$", "$1"), (r"(?i)^(?:and|or)\s+", ""), (r"(?i)^(?:an?\s+)?affiliate\s+of\s+", ""),
-        (r"(?i)\s+for\s+\$\s*[0-9].*$", ""), (r"\s*\([^)]*\)\s*$", ""), (r"(?i)^.*?\bfunds?\s+advised\s+by\s+(.+)$", "$1"), (r"(?i)\s+(?:will|to|for approximately|pursuant|has agreed|,?\s*which|in\s+20\d{2})\b.*$", ""),
-    ):
-        name = trimmed(F.regexp_replace(name, pattern, put))
-    return let(name, lambda n: F.when(F.length(n).between(3, 80) & ~F.lower(n).isin(*ROLES), F.nullif(F.trim(F.regexp_replace(n, r"(?i)\s+AFFILIATE\s*$", "")), F.lit(""))))
-
+#: What is cut from a buyer's name, in this order; press releases glue it there.
+NAME_RESIDUE = (
+    (r"\S+@\S+", " "),
+    (r"(?i)^\s*e-?mail\s*:\s*", ""),
+    (r"(?i)^.*?\bled by\s+(.+)$", r"\1"),
+    (r"(?i)^(?:and|or)\s+", ""),
+    (r"(?i)^(?:an?\s+)?affiliate\s+of\s+", ""),
+    (r"(?i)\s+for\s+\$\s*[0-9].*$", ""),
+    (r"\s*\([^)]*\)\s*$", ""),
+    (r"(?i)^.*?\bfunds?\s+advised\s+by\s+(.+)$", r"\1"),
+    (r"(?i)\s+(?:will|to|for approximately|pursuant|has agreed|,?\s*which|in\s+20\d{2})\b.*$", ""),
+)
+#: More places where a buyer is named: who acquires, the parties of an agreement, quoted roles, roles in
+#: parentheses, and the wording of communications about a pending deal; and what isn't a buyer there.
+ACQUIRES = r"(?i)(?:affiliate of\s+)?([A-Z][^,]{2,70}?)(?:\s*\([^)]+\))?\s+(?:will acquire|to acquire|has agreed to acquire)"
+AMONG = r"(?i)(?:Agreement and Plan of Merger|Merger Agreement)[^.]{0,80}?(?:by and )?among\s+([^,]{3,80}),"
+QUOTED_ROLE = r"\b(?:Parent|Purchaser|Buyer)\s*[\"“]([A-Z][^\"”]{2,70})[\"”]"
+ROLE_BEHIND = r"\b([A-Z][A-Za-z0-9&.,' \-]{2,60}?)\s*\(\"?(?:Parent|Purchaser|Buyer)\"?\)"
+PENDING = r"(?i)(?:proposed|pending)\s+(?:acquisition|merger)\s+(?:of|with)\s+[^.]{0,40}?\s+by\s+([A-Z][A-Za-z0-9&.,' \-]{2,70}?)(?:\s*\(|,|\.)"
+SHELLS = (
+    "parent", "purchaser", "buyer", "holdings", "holding", "inc", "corp", "corporation", "company", "ltd", "llc", "lp", "plc", "group", "partners", "acquisition", "acquireco", "merger", "merger sub", "newco", "unk",
+    "the buyer consortium", "buyer consortium", "the consortium", "consortium", "acquisition sub", "the company", "investor group",
+)
+SHELL_STARTS, AMONG_SHELLS, INTENT = ("parent ", "purchaser ", "buyer ", "the company"), ("parent", "purchaser", "buyer", "the company"), r"(?i)\b(desires?|intends?|proposes?)\b"
+#: Letters of a document in which terms, buyers, and parties and roles of an agreement are looked for.
+HEAD, BUYER_HEAD, PARTY_HEAD = 20_000, 24_000, 40_000
 
-def deal_terms(text: Column) -> Column:
-    """consideration_type, offer_price, exchange_ratio, acquirer and, where the terms can't be represented, why.
+def deal_terms(text: Column, head: int = HEAD) -> Column:
+    """Prices, ratios, the buyer and what the first ``head`` letters say about the terms; for ``decided_terms``.
 
     A price said from the target's side decides; else prices and ratios are gathered by all patterns and the most
-    frequent one counts (of equally frequent ones the higher price, the lower ratio), if few enough are named.
+    frequent one counts (of equally frequent ones the higher price, the lower ratio), if few enough are named. A null
+    text says nothing.
     """
-    head = F.substring(text, 1, HEAD)
-    sides = [(acquirer_name(first_group(head, p, 1)), first_group(head, p, 2).try_cast("double")) for p in TARGET_SIDE_CASH]
-    direct = F.coalesce(*[let(F.struct(name.alias("name"), price.alias("price")), lambda x: F.when(x["name"].isNotNull() & x["price"].between(0.5, 5000.0), x)) for name, price in sides])
-    numbers = lambda patterns: F.concat(*[F.transform(F.regexp_extract_all(head, F.lit(p)), lambda x: x.cast("double")) for p in patterns])
-    cash = F.transform(F.filter(numbers(CASH_PATTERNS), lambda v: v.between(0.5, 5000.0)), lambda v: F.round(v, 4))
-    ratio = F.transform(F.filter(numbers(RATIO_PATTERNS), lambda v: (v > 0) & (v < 50)), lambda v: F.round(v, 6))
-    named = [let(trimmed(first_group(head, p), " ,."), lambda n: F.when(F.length(n).between(3, 80) & ~F.lower(n).contains("stockholder"), n)) for p in ACQUIRER_PATTERNS]
-    return F.struct(
-        F.regexp_like(head, F.lit(MECHANICS)).alias("unsupported"), direct.alias("direct"), cash.alias("cash"), ratio.alias("ratio"), F.coalesce(*named, acquirer_name(first_group(head, ACQUIRED_BY))).alias("acquirer"),
-        F.regexp_like(head, F.lit(CASH_WORDS)).alias("cash_words"), F.regexp_like(head, F.lit(r"(?i)\bcash\b")).alias("names_cash"), F.regexp_like(head, F.lit(STOCK_WORDS)).alias("says_stock"),
-    )
+    from tidemark.functions import scan
+
+    return F.arrow_udf(lambda texts: scan.column(scan.terms, scan.TERMS, texts, head=head), from_arrow_type(scan.TERMS))(text)
+
+
+def buyer_candidates(text: Column, buyer_head: int = BUYER_HEAD, party_head: int = PARTY_HEAD) -> Column:
+    """All names of buyers in a text, cleaned, each once, in order of preference: said from the target's side, as the
+    acquirer, as who acquires, as party of the agreement, by role, in communications about a pending deal."""
+    from tidemark.functions import scan
+
+    return F.arrow_udf(lambda texts: scan.column(scan.buyers, scan.NAMES, texts, buyer_head=buyer_head, party_head=party_head), "array<string>")(text)
 
 
 def decided_terms(found: Column) -> Column:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
-from tidemark.functions.text import html_strip, names_agree, significant_tokens
+from tidemark.functions.text import names_agree
 
 #: Where filings state a ticker or an exchange.
 HEADER_TICKER, HEADER_EXCHANGE = r"(?i)<TICKER>\s*([A-Z][A-Z0-9.]{0,4})", r"(?i)<EXCHANGE>\s*([A-Za-z0-9 .\-]{2,40})"
+#: The white space around a tagged ticker is what inline tags of reviewed filings have.
 TAGGED_TICKER = r"(?i)dei:TradingSymbol[^>]*>\s*([A-Z][A-Z0-9.]{0,4})\s*<"
 PARENTHESIS = r"(?i)\((?:NASDAQ|NYSE(?:\s+(?:American|MKT|Arca))?|AMEX|OTCQX|OTCQB|The Nasdaq(?: Capital| Global(?: Select)?)? Market|New York Stock Exchange)[:\s]+([A-Z][A-Z0-9.]{0,4})\)"
 COVER_TICKER = r"\b([A-Z]{1,5})\s+(?:The\s+)?(?:NASDAQ|NYSE|New York Stock Exchange|Nasdaq Stock Market)\b"
@@ -28,48 +30,22 @@ def session_close(day: Column) -> Column:
     return F.make_timestamp_ntz(F.year(day), F.month(day), F.dayofmonth(day), F.lit(16), F.lit(0), F.lit(0))
 
 
-def first_of(text: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-
-
 def adjacent_ticker(plain: Column, target: Column) -> Column:
     """The ticker in parentheses behind most of the target's significant words; null if none or several tie.
 
     Names stand before their parenthesis, so nothing behind it counts: that would be the buyer's ticker.
     """
-    tickers, whole, between = F.regexp_extract_all(plain, F.lit(PARENTHESIS), F.lit(1)), F.regexp_extract_all(plain, F.lit(PARENTHESIS), F.lit(0)), F.split(plain, PARENTHESIS)
-    words = significant_tokens(F.coalesce(target, F.lit("")))
-    long = F.filter(words, lambda w: F.length(w) >= 4)
-    words = F.when(F.size(long) > 0, long).otherwise(words)
-    letters = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda total, x: total + F.length(x))
+    from tidemark.functions import scan
 
-    def scored(ticker: Column, i: Column) -> Column:
-        at = letters(between, i + 1) + letters(whole, i)
-        window = F.lower(F.substr(plain, F.greatest(at - REACH, F.lit(0)) + 1, F.least(at, F.lit(REACH))))
-        return F.struct(F.size(F.filter(words, lambda w: F.contains(window, w))).alias("score"), F.upper(ticker).alias("ticker"))
-
-    hits = F.transform(tickers, scored)
-    best = F.array_max(F.transform(hits, lambda h: h["score"]))
-    named = F.array_distinct(F.transform(F.filter(hits, lambda h: h["score"] == best), lambda h: h["ticker"]))
-    return F.when((best > 0) & (F.size(named) == 1), F.element_at(named, 1))
+    return F.arrow_udf(lambda texts, targets: scan.column(scan.adjacent, scan.NAME, texts, targets), "string")(plain, target)
 
 
 def filing_identity(raw: Column, target: Column, filer_is_target: Column) -> Column:
-    """Tickers that a filing states (header, tags, cover, next to the target's name) and the one that counts, with its place."""
-    plain = html_strip(raw)
-    header = F.upper(first_of(raw, HEADER_TICKER))
-    tags = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(raw, F.lit(TAGGED_TICKER)), F.upper), lambda t: ~t.isin(*NO_TAGS)))
-    at = F.locate("trading symbol", F.lower(plain))
-    cover = F.when(at > 0, F.upper(first_of(F.substr(plain, at, F.lit(600)), COVER_TICKER)))
-    cover = F.when(~cover.isin(*NO_TICKERS), cover)
-    near = adjacent_ticker(plain, target)
-    tag = F.get(F.filter(tags, lambda t: ~t.isin(*NO_TICKERS)), 0)
-    chain = [(filer_is_target & (F.size(tags) > 0), tag, "dei:TradingSymbol"), (filer_is_target & cover.isNotNull(), cover, "8-K_cover_trading_symbol"), (filer_is_target & header.isNotNull() & ~header.isin(*NO_TICKERS), header, "SEC_HEADER_TICKER"), (near.isNotNull() & ~near.isin(*NO_TICKERS), near, "parenthetical_ticker_adjacent_to_target_name")]
-    choice = F.lit(None).cast("struct<ticker:string,place:string>")
-    for fits, ticker, place in reversed(chain):
-        choice = F.when(F.coalesce(fits, F.lit(False)), F.struct(ticker.alias("ticker"), F.when(ticker.isNotNull(), place).alias("place"))).otherwise(choice)
-    exchange = F.coalesce(F.trim(F.regexp_replace(first_of(raw, HEADER_EXCHANGE), r"\s+", " ")), first_of(plain, EXCHANGE))
-    return F.struct(choice["ticker"].alias("historical_ticker"), exchange.alias("exchange"), choice["place"].alias("evidence_location"), header.alias("header_ticker"), tags.alias("dei_tickers"), cover.alias("cover_ticker"), near.alias("name_adjacent_ticker"), F.size(F.regexp_extract_all(plain, F.lit(PARENTHESIS))).alias("n_parenthetical"))
+    """Tickers that a filing states (header, tags, cover, next to the target's name) and the one that counts, with its
+    place. A null filing states nothing."""
+    from tidemark.functions import scan
+
+    return F.arrow_udf(lambda raws, targets, filers: scan.column(scan.identity, scan.IDENTITY, raws, targets, filers), from_arrow_type(scan.IDENTITY))(raw, target, filer_is_target)
 
 
 def issuer_name(*names: Column) -> Column:

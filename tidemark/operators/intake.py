@@ -149,16 +149,27 @@ def manifest_deals(manifest: DataFrame, filings: DataFrame) -> DataFrame:
     return out.withColumns({"reason": reason, "resolved_at": F.when(resolved, F.coalesce("resolution_timestamp", "resolution_known_at"))}).drop(*[f"{r}_events" for r in ("announcement", "terms", "resolution")])
 
 
-#: What a buyer's name can't be, as patterns of its lower-case form, and what companies are called.
+#: What a buyer's name can't be, one check a row in the order of the checks, as patterns of its lower-case
+#: form; the last one comes behind the comparison with the target.
 ACQUIRER_REFUSALS = (
-    ("no_entity", r"^(?:an |a )|^(?:the company|the operating partnership|the registrant)$"),
+    ("no_entity", r"^(?:an |a )"),
+    ("no_entity", r"^(?:the company|the operating partnership|the registrant)$"),
     ("role_word", r"^(?:the )?(?:parent|purchaser|buyer|holdings|holding|inc|corp|corporation|company|ltd|llc|lp|plc|group|partners|acquisition|acquireco|merger|merger sub|newco|unk|buyer consortium|consortium|acquisition sub|investor group)$"),
-    ("residue", r"\b(desires?|intends?|proposes?|agrees?|wishes|pursuant|non-binding|proposal from|under the terms|e-?mail|this agreement|adopt this|led by|as a result|surviving corporation|funds? advised by|in 20\d{2})\b|,\s*which\b|^\(?[ivx]+\)|\bthe company\b|\binvestor group\b|^(?:the )?surviving "),
-    ("residue", r"signing|definitive|merger agreement|exhibit|\.htm|managed by|\binvestment funds\b|\bannounced\b|\bagreement under\b|\bpress release\b|\bform\s*8-k\b|\bhas agreed\b|\bpurchaser has\b|@|\bhttp\b|\bwww\."),
-    ("price", r"for \$|\$\s*\d"),
+    ("residue", r"\b(desires?|intends?|proposes?|agrees?|wishes|pursuant|non-binding|proposal from|under the terms|e-?mail|this agreement|adopt this|led by|as a result|surviving corporation|funds? advised by|, which|\bin 20\d{2}\b)\b"),
+    ("residue", r",\s*which\b"),
+    ("residue", r"\bin 20\d{2}\b"),
+    ("residue", r"^\(?[ivx]+\)\b"),
+    ("residue", r"\bthe company\b"),
+    ("residue", r"\binvestor group\b"),
+    ("residue", r"^(?:the surviving|surviving )"),
+    ("residue", r"signing|definitive|merger agreement|exhibit|\.htm|managed by|\binvestment funds\b|\bthe signing\b|\bannounced\b|\bagreement under\b|\bpress release\b|\bform\s*8-k\b|\bhas agreed\b|\bpurchaser has\b|@|\bhttp\b|\bwww\."),
+    ("price", r"for \$"),
+    ("price", r"\$\s*\d"),
     ("no_buyer", r"\b(operating partnership|credit agreement|indenture)\b"),
     ("several_parties", r" and "),
 )
+#: Words that don't tell a buyer from others, and letters in which the parties' sides are checked.
+PARTY_FILLER, SIDE_HEAD = ("INC", "INCORPORATED", "CORP", "CORPORATION", "LLC", "LTD", "THE", "AND"), 16_000
 ENTITY = r"(?i)\b(Inc|Incorporated|Corp|Corporation|LLC|L\.L\.C\.?|Ltd|LP|L\.P\.?|PLC|Partners|Capital|Management|Company|Co|Bancorp|Bank|Holdings|Group|Acquisition|AcquireCo|Investments|Advisors|Partnership|KGaA|GmbH|S\.A\.?|N\.V\.?)\b"
 BRAND = r"(?i)\b(Capital|Partners|Management|Holdings|Holding|Equity|Group|Fund|Funds|Advisors|Industries|Pharmaceutical|Pharma|Technologies|Semiconductor|International|Corporation|Corp|Company|Inc|LLC|LP|Ltd|PLC|SA|AG|Acquisition|Bravo|Vista|Blackstone|Carlyle|Apollo|Permira|Bain|KKR|TPG)\b"
 
@@ -181,21 +192,34 @@ def acquirer_refusal(name: Column, target: Column) -> Column:
     return out.when(~entity & ~brand & ~single, "no_entity_form").when(F.size(words) > 8, "too_long").when(place, "trailing_place")
 
 
+def is_acquired(text: Column, buyer: Column) -> Column:
+    """Whether the head of a text says that someone will acquire the buyer: then the parties' sides are mixed up."""
+    words = F.split(F.trim(F.regexp_replace(F.coalesce(buyer, F.lit("")), "[^A-Za-z0-9 ]+", " ")), " +")
+    core = F.get(F.filter(words, lambda w: (w != "") & ~F.upper(w).isin(*PARTY_FILLER)), 0)
+    return F.coalesce(F.regexp_like(F.substring(text, 1, SIDE_HEAD), F.concat(F.lit(r"(?i)\bwill acquire\s+"), core, F.lit(r"\b"))), F.lit(False))
+
+
 def resolve_candidates(candidates: DataFrame, filings: DataFrame, texts: DataFrame, resolutions: DataFrame, existing: DataFrame, max_admit: int) -> DataFrame:
     """Candidates (rank, target_cik, target, accession) as ADMIT, EXCLUDE or DEFER with the reason; the first rule that fits decides.
 
-    ``filings`` (cik, accession, filed, events), ``texts`` (accession, text), ``resolutions`` (cik, accession of the
+    ``filings`` (cik, accession, filed, events), ``texts`` (accession, text, and agreement, if there is that column), ``resolutions`` (cik, accession of the
     announcement, resolution, resolution_date; null resolution if the timeline is contradictory) and ``existing`` (cik)
     are what is known. Of candidates of one target the first admissible one stays. Ranks are worked off until
-    ``max_admit`` are admitted; later candidates aren't examined and don't come out.
+    ``max_admit`` are admitted; later candidates aren't examined and don't come out. Where the buyer that the terms name
+    can't be one, the first of the text's and then of the agreement's buyer candidates that can be takes its place.
     """
     meta = filings.select(F.col("cik").alias("target_cik"), "accession", "filed", "events")
     taken = existing.select(F.col("cik").alias("target_cik"), F.lit(True).alias("taken")).distinct()
     ends = resolutions.select(F.col("cik").alias("target_cik"), "accession", "resolution", "resolution_date")
     rows = candidates.join(taken, "target_cik", "left").join(meta, ["target_cik", "accession"], "left").join(texts, "accession", "left").join(ends, ["target_cik", "accession"], "left")
     rows = rows.withColumn("f", extract.deal_terms(F.coalesce("text", F.lit("")))).withColumn("t", extract.decided_terms(F.col("f"))).drop("f")
-    rows = checkpointed(rows.withColumns({"length": F.length("text"), "acquirer": F.col("t.acquirer")}).drop("text"))  # else the patterns run again for each rule
-    rows = checkpointed(rows.withColumn("refused", acquirer_refusal(F.col("acquirer"), F.col("target"))))
+    rows = checkpointed(rows.withColumn("first_refusal", acquirer_refusal(F.col("t.acquirer"), F.col("target"))))  # else the checks run again for each rule
+    open_text = lambda c: extract.buyer_candidates(F.when(F.col("first_refusal").isNotNull(), F.col(c)))
+    others = F.concat(open_text("text"), open_text("agreement")) if "agreement" in texts.columns else open_text("text")
+    rows = rows.withColumn("others", others)
+    other = F.get(F.filter("others", lambda n: acquirer_refusal(n, F.col("target")).isNull()), 0)
+    rows = rows.withColumns({"length": F.length("text"), "acquirer": F.when(F.col("first_refusal").isNull(), F.col("t.acquirer")).otherwise(F.coalesce(other, "t.acquirer")), "refused": F.when(other.isNull(), F.col("first_refusal"))})
+    rows = checkpointed(rows.withColumn("inverted", is_acquired(F.col("text"), F.col("acquirer"))).drop("text", "agreement", "others"))
     refused = F.col("refused")
     reason = (
         F.when(F.col("taken"), "EXCLUDE:duplicate_target")
@@ -204,6 +228,7 @@ def resolve_candidates(candidates: DataFrame, filings: DataFrame, texts: DataFra
         .when(F.coalesce("length", F.lit(0)) < 200, "DEFER:text_missing_or_short")
         .when(F.col("t.reason").isNotNull(), F.concat(F.lit("EXCLUDE:"), F.col("t.reason")))
         .when(refused.isNotNull(), F.concat(F.lit("DEFER:acquirer_"), refused))
+        .when(F.col("inverted"), "EXCLUDE:party_inversion")
         .when(F.col("resolution").isNull(), "DEFER:no_resolution")
         .when((F.col("resolution") == "closed") & (F.col("resolution_date") == F.col("filed")), "DEFER:same_day_close")
         .otherwise("ADMIT:rules_pass")

@@ -36,6 +36,103 @@ def deal_terms(spark: SparkSession, d: str) -> DataFrame:
     return body.select("o_orderkey", extract.deal_terms(F.col("body")).alias("f")).select("o_orderkey", extract.decided_terms(F.col("f")).alias("t")).select("o_orderkey", "t.*")
 
 
+#: Announcements in the middle of documents: prices, buyers of all kinds, parties and roles of agreements.
+_NAMES = "['Acme Holdings Inc', 'General Mills, Inc.', 'an affiliate of Vector Capital', 'MaxLinear', 'Imerys SA', 'Foo & Bar Partners LP', 'Parent', 'funds advised by Apax Partners', 'Investor Group led by Permira', 'Lindsay Corp.']"
+_SAYS = """['Target Inc is to be acquired by {n} for ${x} per share in cash.', 'It will be acquired by {n} (the buyer), in an all-cash transaction at ${x} per share.', '{n} (NYSE: ABC) has agreed to acquire Target Inc for ${x} in cash per share.', 'Under it {n} would acquire Target. Each share gets 0.{y} shares of {n} common stock for each share.',
+  'The Agreement and Plan of Merger, dated today, by and among {n}, Merger Sub and the Company sets an exchange ratio of 0.{y}.', 'An affiliate of {n} pursuant to which holders get ${x} per share. Cash consideration of ${x} per share is due.', 'Parent "{n}" pays merger consideration of ${x} per share; holders may elect to receive stock.', '{n} ("Parent") and KKR said on Monday that ${x} per share is fair.', 'The pending acquisition of Target by {n}, is void. It ran at an exchange ratio of 0.{y} and ${x} per share in cash.', 'Nothing is said.']"""
+
+
+def _announced_sql() -> str:
+    """doc_id and a text: the document's, cut in two halves by an announcement; documents without text have only that."""
+    put = "replace(replace(replace(says[(doc_id % 10) + 1], '{n}', names[(doc_id // 10 % 10) + 1]), '{x}', (doc_id % 90 + 10)::VARCHAR || '.25'), '{y}', (doc_id % 80 + 10)::VARCHAR)"
+    return f"SELECT doc_id, coalesce(text[1:length(text) // 2], '') || '. ' || {put} || ' ' || coalesce(text[length(text) // 2 + 1:], '') AS t FROM (SELECT doc_id, text, {_NAMES} AS names, {_SAYS} AS says FROM documents)"
+
+
+def _announced(spark: SparkSession, d: str) -> DataFrame:
+    arrays = [F.from_json(F.lit(x.replace("'", "\x00").replace('"', '\\"').replace("\x00", '"')), "array<string>") for x in (_NAMES, _SAYS.replace("\n", ""))]
+    docs = c.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), arrays[0].alias("names"), arrays[1].alias("says"))
+    put = "replace(replace(replace(says[int(doc_id % 10)], '{n}', names[int(doc_id div 10 % 10)]), '{x}', concat(doc_id % 90 + 10, '.25')), '{y}', string(doc_id % 80 + 10))"
+    return docs.selectExpr("doc_id", f"concat(substring(text, 1, int(length(text) div 2)), '. ', {put}, ' ', substring(text, int(length(text) div 2) + 1)) as t")
+
+
+def _text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _tidy(x: str, around: str = " ,.;") -> str:
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'), '{around}')"
+
+
+def _clean_sql(x: str) -> str:
+    """The cleaning of a buyer's name; '' if none is left."""
+    name = _tidy(x)
+    for pattern, put in extract.NAME_RESIDUE:
+        name = _tidy(f"regexp_replace({name}, {_text(pattern)}, '{put}')" if put != " " else f"regexp_replace({name}, {_text(pattern)}, ' ', 'g')")
+    roles = ", ".join(f"'{r}'" for r in extract.ROLES)
+    return f"list_transform([{name}], lambda z: CASE WHEN length(z) BETWEEN 3 AND 80 AND lower(z) NOT IN ({roles}) THEN trim(regexp_replace(z, '(?i)\\s+AFFILIATE\\s*$', ''), ' ') ELSE '' END)[1]"
+
+
+#: A word without which a pattern can't match; the other engine is slow where there is nothing to find.
+_NEEDS = {
+    **dict(zip(extract.TARGET_SIDE_CASH, ("acquired", "acquired", "affiliate", "$"))), **dict(zip(extract.ACQUIRER_PATTERNS, ("will acquire", "will be acquired", "acqui", "would acquire", "acquire"))), extract.ACQUIRED_BY: "acquired",
+    **dict(zip(extract.CASH_PATTERNS, ("$", "$", "transaction", "acquire", "consideration", "consideration", "consideration", "$"))), **dict(zip(extract.RATIO_PATTERNS, ("ratio", "for each", "of a share"))),
+    extract.ACQUIRES: "acquire", extract.AMONG: "among", extract.QUOTED_ROLE: "r", extract.ROLE_BEHIND: "(", extract.PENDING: "p",
+}
+
+
+def _first(t: str, pattern: str, group: int = 1) -> str:
+    return f"CASE WHEN contains(lower({t}), '{_NEEDS[pattern]}') THEN regexp_extract({t}, {_text(pattern)}, {group}) ELSE '' END"
+
+
+def _all(t: str, pattern: str) -> str:
+    return f"CASE WHEN contains(lower({t}), '{_NEEDS[pattern]}') THEN regexp_extract_all({t}, {_text(pattern)}, 1) ELSE [] END"
+
+
+def _terms_sql(texts: str) -> str:
+    """The terms of ``texts`` (doc_id, t) by the patterns on another engine."""
+    raw = ", ".join(f"[{_first('h', p, 1)}, {_first('h', p, 2)}]" for p in extract.TARGET_SIDE_CASH)
+    sides = f"list_transform(sides, lambda s: {{'name': {_clean_sql('s[1]')}, 'price': TRY_CAST(s[2] AS DOUBLE)}})"
+    numbers = lambda patterns: f"list_transform(flatten([{', '.join(_all('h', p) for p in patterns)}]), lambda v: v::DOUBLE)"
+    named = ", ".join(_tidy(_first("h", p), " ,.") for p in extract.ACQUIRER_PATTERNS)
+    most = lambda x, way: f"(SELECT v FROM (SELECT unnest({x}) AS v) GROUP BY v ORDER BY count(*) DESC, v {way} LIMIT 1)"
+    return f"""WITH a AS ({texts}), l AS (SELECT doc_id, t[1:{extract.HEAD}] AS h FROM a), h AS MATERIALIZED (SELECT *, list_filter([{raw}], lambda s: s[1] <> '') AS sides, {_first('h', extract.ACQUIRED_BY)} AS bought FROM l),
+    f AS (SELECT doc_id, list_filter({sides}, lambda s: s.name <> '' AND s.price BETWEEN 0.5 AND 5000)[1] AS direct, list_filter({numbers(extract.CASH_PATTERNS)}, lambda v: v BETWEEN 0.5 AND 5000) AS cash, list_filter({numbers(extract.RATIO_PATTERNS)}, lambda v: v > 0 AND v < 50) AS ratio,
+      coalesce(list_filter([{named}], lambda n: length(n) BETWEEN 3 AND 80 AND NOT contains(lower(n), 'stockholder'))[1], nullif({_clean_sql('bought')}, '')) AS acquirer, regexp_matches(h, {_text(extract.MECHANICS)}) AS unsupported,
+      regexp_matches(h, {_text(extract.CASH_WORDS)}) AS cash_words, regexp_matches(h, '(?i)\\bcash\\b') AS names_cash, regexp_matches(h, {_text(extract.STOCK_WORDS)}) AS stock FROM h),
+    g AS (SELECT *, cash_words OR (len(cash) > 0 AND names_cash) AS says_cash, len(list_distinct(cash)) AS nc, len(list_distinct(ratio)) AS nr, {most('cash', 'DESC')} AS price, {most('ratio', 'ASC')} AS rate FROM f),
+    r AS (SELECT *, CASE WHEN unsupported THEN 'unsupported_mechanics' WHEN direct IS NOT NULL THEN NULL WHEN nc > 0 AND nr > 0 AND says_cash AND stock THEN CASE WHEN nc > 3 OR nr > 3 THEN 'ambiguous_mixed_terms' END WHEN nc > 0 AND says_cash AND NOT stock THEN CASE WHEN nc > 4 THEN 'too_many_cash_prices' END
+      WHEN nr > 0 AND NOT says_cash AND (stock OR nc = 0) THEN CASE WHEN nc > 0 THEN 'ambiguous_cash_and_ratio' WHEN nr > 3 THEN 'ambiguous_ratios' END ELSE 'not_mapped' END AS reason FROM g),
+    k AS (SELECT *, CASE WHEN reason IS NULL THEN CASE WHEN direct IS NOT NULL THEN 'cash' WHEN nc > 0 AND nr > 0 AND says_cash AND stock THEN 'mixed' WHEN nc > 0 AND says_cash AND NOT stock THEN 'cash' ELSE 'stock' END END AS kind FROM r)
+    SELECT doc_id, kind AS consideration_type, CASE WHEN direct IS NOT NULL AND kind IS NOT NULL THEN direct.price WHEN kind IN ('cash', 'mixed') THEN price END AS offer_price, CASE kind WHEN 'mixed' THEN rate WHEN 'stock' THEN list_min(ratio) END AS exchange_ratio,
+      CASE WHEN NOT unsupported THEN CASE WHEN direct IS NOT NULL THEN direct.name ELSE acquirer END END AS acquirer, reason FROM k"""
+
+
+@query(_terms_sql(_announced_sql()))
+def document_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms out of whole documents, some of which go beyond the head that is looked at."""
+    found = _announced(spark, d).select("doc_id", extract.deal_terms(F.col("t")).alias("f")).select("doc_id", extract.decided_terms(F.col("f")).alias("t"))
+    return found.select("doc_id", "t.*")
+
+
+def _buyers_sql(texts: str) -> str:
+    firsts = ", ".join(_first("h", p) for p in (*extract.TARGET_SIDE_CASH, extract.ACQUIRED_BY, *extract.ACQUIRER_PATTERNS))
+    shells = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    starts = " AND ".join(f"NOT starts_with(lower(trim(n)), '{x}')" for x in extract.SHELL_STARTS)
+    acquires = f"list_filter({_all('h', extract.ACQUIRES)}, lambda n: lower(trim(n)) NOT IN ({shells(extract.SHELLS)}) AND {starts} AND NOT regexp_matches(n, {_text(extract.INTENT)}))"
+    among = f"list_filter({_all('p', extract.AMONG)}, lambda n: lower(trim(n)) NOT IN ({shells(extract.AMONG_SHELLS)}))"
+    every = f"flatten([[{firsts}], {acquires}, {among}, {_all('p', extract.QUOTED_ROLE)}, {_all('p', extract.ROLE_BEHIND)}, {_all('h', extract.PENDING)}])"
+    return f"""WITH a AS ({texts}), h AS (SELECT doc_id, t[1:{extract.BUYER_HEAD}] AS h, t[1:{extract.PARTY_HEAD}] AS p FROM a), e AS MATERIALIZED (SELECT doc_id, {every} AS every FROM h), n AS (SELECT doc_id, unnest(every) AS raw, generate_subscripts(every, 1) AS i FROM e WHERE len(every) > 0),
+    k AS (SELECT doc_id, i, {_clean_sql('raw')} AS name FROM n WHERE raw <> ''), o AS (SELECT doc_id, name, min(i) AS i FROM k WHERE name <> '' GROUP BY ALL)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place, name FROM o"""
+
+
+@query(_buyers_sql(_announced_sql()))
+def buyer_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """All buyers that documents name, in order of preference."""
+    found = _announced(spark, d).select("doc_id", extract.buyer_candidates(F.col("t")).alias("names"))
+    return found.select("doc_id", F.posexplode("names").alias("place", "name")).withColumn("place", (F.col("place") + 1).cast("long"))
+
+
 _T = "'T' || chr(CAST(65 + c_custkey % 26 AS INTEGER))"
 _RAW = """case c_custkey % 5 when 0 then concat('<TICKER> ', t, ' <EXCHANGE>NYSE <p>body</p>') when 1 then concat('x <ix:nonNumeric name="dei:TradingSymbol" id="a">', t, '</ix:nonNumeric> y') when 2 then concat('<p>Title Trading Symbol</p> ', t, ' NYSE')
   when 3 then concat('<p>Buyer Corp (NYSE: BUY) acquires Widget Makers Inc (NASDAQ: ', t, ') today</p>') else '<p>nothing</p>' end"""

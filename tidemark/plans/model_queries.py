@@ -101,19 +101,21 @@ def market_context_fill(spark: SparkSession, d: str) -> DataFrame:
     return features.first_knowable(e).withColumnRenamed("at", "observed_at")
 
 
-_TERMS = r"""SELECT l_orderkey * 10 + l_linenumber AS filing_id, 'Each share converts into $' || l_quantity::INTEGER || '.50 in cash' || CASE WHEN l_linenumber % 2 = 0 THEN ' and 0.' || (l_partkey % 90 + 10) || ' of a share of Acquirer (NYSE: ' || upper(substr(l_returnflag || l_linestatus, 1, 2)) || ').' ELSE '. Earlier, $' || (l_quantity::INTEGER - 1) || '.50 in cash.' END
+_TERMS = r"""SELECT l_orderkey * 10 + l_linenumber AS filing_id, 'Each share converts into $' || l_quantity::INTEGER || '.50 in cash per share' || CASE WHEN l_linenumber % 2 = 0 THEN ' and 0.' || (l_partkey % 90 + 10) || ' shares of Acquirer common stock for each share held.' ELSE '. Earlier, $' || (l_quantity::INTEGER - 1) || '.50 in cash per share was offered.' END
   || CASE WHEN l_suppkey % 10 = 0 THEN ' A contingent value right attaches.' ELSE '' END AS body FROM lineitem"""
 
 
-@query(rf"""WITH f AS ({_TERMS}), m AS (SELECT filing_id, list_transform(regexp_extract_all(body, '{extract.CASH_PER_SHARE}', 1), lambda x: x::DOUBLE) AS c, list_transform(regexp_extract_all(body, '{extract.EXCHANGE_RATIO}', 1), lambda x: x::DOUBLE) AS r,
-  nullif(regexp_extract(body, '{extract.LISTED}', 1), '') AS ticker, regexp_matches(body, '{extract.UNSUPPORTED}') AS unsupported FROM f)
-SELECT filing_id, list_max(c) AS cash, list_min(r) AS ratio, ticker, unsupported FROM m""")
+@query(rf"""WITH f AS ({_TERMS}), m AS (SELECT filing_id, list_transform(regexp_extract_all(body, '{extract.CASH_PATTERNS[0]}', 1), lambda x: x::DOUBLE) AS c, list_transform(regexp_extract_all(body, '{extract.RATIO_PATTERNS[1]}', 1), lambda x: x::DOUBLE) AS r,
+  regexp_matches(body, '{extract.MECHANICS}') AS unsupported FROM f)
+SELECT filing_id, CASE WHEN unsupported THEN NULL WHEN len(r) > 0 THEN 'mixed' ELSE 'cash' END AS consideration_type, CASE WHEN NOT unsupported THEN list_max(c) END AS offer_price, CASE WHEN NOT unsupported THEN list_min(r) END AS exchange_ratio, CASE WHEN unsupported THEN 'unsupported_mechanics' END AS reason FROM m""")
 def term_extraction(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of two kinds, some with mechanics that can't be represented."""
     body = c.table(spark, d, "lineitem").selectExpr(
         "l_orderkey * 10 + l_linenumber as filing_id",
-        "concat('Each share converts into $', int(l_quantity), '.50 in cash', if(l_linenumber % 2 = 0, concat(' and 0.', l_partkey % 90 + 10, ' of a share of Acquirer (NYSE: ', upper(substr(concat(l_returnflag, l_linestatus), 1, 2)), ').'), concat('. Earlier, $', int(l_quantity) - 1, '.50 in cash.')), if(l_suppkey % 10 = 0, ' A contingent value right attaches.', '')) as body",
+        "concat('Each share converts into $', int(l_quantity), '.50 in cash per share', if(l_linenumber % 2 = 0, concat(' and 0.', l_partkey % 90 + 10, ' shares of Acquirer common stock for each share held.'), concat('. Earlier, $', int(l_quantity) - 1, '.50 in cash per share was offered.')), if(l_suppkey % 10 = 0, ' A contingent value right attaches.', '')) as body",
     )
-    return body.select("filing_id", extract.terms(F.col("body")).alias("t")).select("filing_id", "t.*")
+    found = body.select("filing_id", extract.deal_terms(F.col("body")).alias("f")).select("filing_id", extract.decided_terms(F.col("f")).alias("t"))
+    return found.select("filing_id", "t.consideration_type", "t.offer_price", "t.exchange_ratio", "t.reason")
 
 
 @query("""WITH a AS (SELECT p_size AS k, p_retailprice AS x, CAST(p_size * 2 + p_retailprice % 7 AS DOUBLE) AS y FROM part)
