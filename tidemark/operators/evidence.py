@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.ordering import small
+from tidemark.operators.pit import at_first_cutoff, until_next
 from tidemark.storage import checkpointed
 
 #: Sources that never verify anything, and statuses that research may use.
@@ -110,6 +111,14 @@ def status_history(records: DataFrame) -> DataFrame:
     return rows.where(F.col("before").isNull() | (F.col("before") != F.col("status"))).select("event_id", F.col("cutoff").alias("as_of_utc"), "status")
 
 
+def status_at(records: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """The status of each cluster at each of any number of cut-offs from its first known record on: the history of its
+    statuses, carried over the cut-offs in one sweep. It says what ``status`` says of the records in effect."""
+    rows, numbers = at_first_cutoff(status_history(records), cutoffs, "as_of_utc")
+    last = rows.groupBy("event_id", "_i").agg(F.max_by("status", "as_of_utc").alias("status"))
+    return until_next(last, ["event_id"], numbers).select("event_id", "cutoff", "status")
+
+
 def admissible_since(history: DataFrame, cutoff: Column) -> DataFrame:
     """Clusters admissible at the cut-off, and since when without a break: the last time they became so."""
     w = Window.partitionBy("event_id").orderBy("as_of_utc")

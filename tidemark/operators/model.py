@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import MIN_CLASS_N, MIN_SAMPLE_N
-from tidemark.operators.ordering import small
+from tidemark.operators.pit import at_first_cutoff, until_next
 
 
 class InsufficientData(ValueError):
@@ -96,9 +96,10 @@ def prediction_as_of(predictions: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
     Rows trained after their own as_of leak and never count.
     """
-    ok = predictions.where("training_cutoff <= as_of").join(small(cutoffs), F.col("as_of") <= F.col("cutoff"))
-    at = ok.groupBy("deal_id", "cutoff", "as_of").agg(F.count_distinct("model_run_id").alias("runs"), F.min(F.struct("model_run_id", "p_break")).alias("x"))
-    last = at.groupBy("deal_id", "cutoff").agg(F.max_by(F.struct("as_of", "runs", "x"), "as_of").alias("r"))
+    ok = predictions.where("training_cutoff <= as_of")
+    at = ok.groupBy("deal_id", "as_of").agg(F.count_distinct("model_run_id").alias("runs"), F.min(F.struct("model_run_id", "p_break")).alias("x"))
+    rows, numbers = at_first_cutoff(at, cutoffs, "as_of")
+    last = until_next(rows.groupBy("deal_id", "_i").agg(F.max_by(F.struct("as_of", "runs", "x"), "as_of").alias("r")), ["deal_id"], numbers)
     clear = F.col("r.runs") == 1
     return last.select("deal_id", "cutoff", F.col("r.as_of").alias("as_of"), F.when(clear, "ok").otherwise("ambiguous").alias("state"), F.when(clear, F.col("r.x.p_break")).alias("p_break"))
 

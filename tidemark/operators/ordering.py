@@ -18,9 +18,26 @@ BROADCAST_BYTES = 64 << 20
 BLOCK = 4_096
 
 
+#: The planner has no estimate for tables made on the driver; what it says then is a share of the greatest long.
+NO_ESTIMATE = 1 << 50
+#: Rows up to which a table without an estimate is measured.
+MEASURED_ROWS = 1_000_000
+
+
+def measured(df: DataFrame) -> int:
+    """Bytes of a table's rows as JSON; ``NO_ESTIMATE`` if it has more than ``MEASURED_ROWS``."""
+    n, size = df.limit(MEASURED_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return NO_ESTIMATE if n > MEASURED_ROWS else size + 16 * n * max(1, len(df.columns))
+
+
 def small(df: DataFrame) -> DataFrame:
-    """``df`` marked for a broadcast if the planner's upper estimate of its size allows that, else as it is."""
+    """``df`` marked for a broadcast if the planner's upper estimate of its size allows that, else as it is.
+
+    Tables made on the driver (calendars, cut-offs, vocabularies) have no estimate; a job measures them.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= NO_ESTIMATE:
+        size = measured(df)
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
@@ -57,6 +74,23 @@ def running_sums(rows: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return both.select(*rows.columns, *[(F.col(name) + F.col(f"_{name}")).alias(name) for name in sums], *totals)
 
 
+def running_max(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """``rows`` with column ``name`` replaced by its greatest value over the key's rows up to and with this one in ``order``.
+
+    Ranges of key and order each carry their own; the greatest of the ranges before is handed on. Only a range's first key
+    goes on from one before it, so what is handed on is a row for each range at most, which is what bounds its broadcast.
+    Ties in order go either way; keys may be null.
+    """
+    spread = rows.withColumn("_n", F.monotonically_increasing_id())  # so that equal places can be several ranges
+    ranged = checkpointed(spread.repartitionByRange(*keys, *order, "_n").withColumn("_range", F.spark_partition_id()))
+    so_far = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = ranged.groupBy(*keys, "_range").agg(F.max(name).alias("_max"))
+    before = whole.select(F.struct(*keys, "_range").alias("_at"), F.max("_max").over(earlier).alias("_before")).where("_before is not null")
+    carried = ranged.withColumn(name, F.max(name).over(so_far)).join(F.broadcast(before), F.struct(*keys, "_range").eqNullSafe(F.col("_at")), "left")
+    return carried.withColumn(name, F.greatest(name, "_before")).select(*rows.columns)
+
+
 def earlier_below(values: np.ndarray) -> np.ndarray:
     """For each of distinct numbers, how many before it are less. Halves the numbers' range again and again, all at once."""
     n = len(values)

@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from tidemark.config import MAX_PRINT_AGE_DAYS, RESOLUTION_EVENTS
 from tidemark.functions.dates import age_days
-from tidemark.operators.ordering import small
+from tidemark.operators.ordering import numbered, running_max, small
+from tidemark.storage import checkpointed
 
 
 def visible(facts: DataFrame, cutoff: Column, valid: str, known: str = "known_at") -> DataFrame:
@@ -27,11 +28,16 @@ def state_as_of(facts: DataFrame, cutoffs: DataFrame, fields: Sequence[str], ord
     """Per key and cut-off, each field's last non-null value by ``order``, with when it was observed and the columns of
     ``provenance`` of the row it comes from (as ``<field>_<column>``).
 
-    ``stale`` gives the days after which a field's value no longer counts. One aggregation serves all fields.
+    ``stale`` gives the days after which a field's value no longer counts. Facts and cut-offs meet in one sweep over time:
+    a fact goes to the first cut-off at which it counts, states are carried from there, and a state is given out for the
+    cut-offs until the next one, so the work is that of the facts, the cut-offs and the result.
     """
-    rows = visible_at(facts, cutoffs, valid)
-    last = [F.max_by(F.struct(F.col(f).alias("v"), F.col(valid).alias("at"), *provenance), F.when(F.col(f).isNotNull(), F.struct(*order))).alias(f) for f in fields]
-    found = rows.groupBy(key, "cutoff").agg(*last)
+    usable = facts.where(F.col(valid).isNotNull() & F.col("known_at").isNotNull()).withColumn("_at", F.greatest(valid, "known_at"))
+    rows, numbers = at_first_cutoff(usable, cutoffs, "_at")
+    place = lambda f: F.when(F.col(f).isNotNull(), F.struct(*order))
+    best = rows.groupBy(key, "_i").agg(*[F.max(place(f)).alias(f"_order_{f}") for f in fields], *[F.max_by(F.struct(F.col(f).alias("v"), F.col(valid).alias("at"), *provenance), place(f)).alias(f) for f in fields])
+    so_far = Window.partitionBy(key).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)  # a row for each cut-off at most
+    found = until_next(best.select(key, "_i", *[F.max_by(f, f"_order_{f}").over(so_far).alias(f) for f in fields]), [key], numbers)
     out = []
     for f in fields:
         fresh = age_days(F.col("cutoff"), F.col(f)["at"]) <= stale[f] if stale and f in stale else F.lit(True)
@@ -39,6 +45,23 @@ def state_as_of(facts: DataFrame, cutoffs: DataFrame, fields: Sequence[str], ord
     return found.select(key, "cutoff", *out)
 
 
+def at_first_cutoff(rows: DataFrame, cutoffs: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``_i``, the number from 0 of the first cut-off at or after their time, without those that have none; and
+    the numbered cut-offs (cutoff, _i). Any number of either: both are sorted together, by ranges of time."""
+    numbers = checkpointed(numbered(cutoffs.select("cutoff").where("cutoff is not null").distinct(), [], ["cutoff"], "_i"))
+    one = F.lit(0).alias("_one")
+    found = as_of_join(rows.select("*", one), numbers.select("*", one, F.col("_i").alias("_last"), F.col("cutoff").alias("_found")), "_one", at, "cutoff", ["_last", "_found"], "_i")
+    first = F.when(F.col("_found") == F.col(at), F.col("_last")).otherwise(F.coalesce(F.col("_last") + 1, F.lit(0)))
+    return found.select(*rows.columns, first.alias("_i")).where(F.col("_i") < numbers.count()), numbers
+
+
+def until_next(states: DataFrame, keys: Sequence[str], numbers: DataFrame) -> DataFrame:
+    """``states`` (keys, _i, ...) for each cut-off from their own to before the key's next one, as column ``cutoff``."""
+    after = F.lead("_i").over(Window.partitionBy(*keys).orderBy("_i"))
+    each = states.withColumn("_end", F.coalesce(after, F.lit(numbers.count())) - 1).withColumn("_i", F.explode(F.sequence("_i", "_end")))
+    return each.drop("_end").join(small(numbers), "_i").drop("_i")
+
+
 def latest_vintage(vintages: DataFrame, cutoff: Column, keys: Sequence[str], known: str = "known_at", tie: str = "seq") -> DataFrame:
     """The last vintage known at the cut-off per key; a null vintage hides what it revises."""
     w = Window.partitionBy(*keys).orderBy(F.col(known).desc(), F.col(tie).desc())
@@ -50,14 +73,14 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, at: str, right_at: s
 
     ``right_at`` is when a right row can be used first; ``rank`` names the columns that tell which of the usable ones
     is the last, where that isn't the order in which they became usable. Both sides go through one shuffle as a
-    union, and a window carries the last right row forward, so a key's rows are sorted once and no pairs are made.
+    union, dealt out by ranges of key and time; each range carries its last right row forward and hands it on to the next,
+    so no pairs are made and a key with any number of rows is many tasks.
     """
     row_type = left.select(F.struct("*").alias("x")).schema["x"].dataType
     order = F.struct(*[F.col(x).alias(f"o{i}") for i, x in enumerate(rank or (right_at, tie))])
     r = right.select(F.col(key), F.col(right_at).alias("t"), F.lit(0).alias("side"), F.struct(order.alias("order"), F.struct(*values).alias("v")).alias("found"), F.lit(None).cast(row_type).alias("row"))
     lft = left.select(F.col(key), F.col(at).alias("t"), F.lit(1).alias("side"), F.lit(None).cast(r.schema["found"].dataType).alias("found"), F.struct("*").alias("row"))
-    w = Window.partitionBy(key).orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = r.unionByName(lft).withColumn("found", F.max("found").over(w)).where("side = 1")
+    carried = running_max(r.unionByName(lft), [key], ["t", "side"], "found").where("side = 1")
     return carried.select("row.*", *[F.col("found")["v"][v].alias(v) for v in values])
 
 

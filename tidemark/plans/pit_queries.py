@@ -48,6 +48,29 @@ def pit_state_asof(spark: SparkSession, d: str) -> DataFrame:
     return state.select("deal_id", "cutoff", "target_price", "offer_price", "unaffected_price")
 
 
+def many_cutoffs(spark: SparkSession, hours: int) -> DataFrame:
+    """Every so many hours of a month."""
+    return spark.sql(f"SELECT explode(sequence(TIMESTAMP_NTZ '2024-01-01 00:00:00', TIMESTAMP_NTZ '2024-02-03 00:00:00', INTERVAL '{hours}' HOUR)) AS cutoff")
+
+
+def many_cutoffs_sql(hours: int) -> str:
+    return f"(SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-03', INTERVAL {hours} HOUR)) AS cutoff)"
+
+
+@query(
+    with_views(
+        "observations",
+        f"""SELECT deal_id, cutoff, offer_price, target_at, CASE WHEN floor(epoch(cutoff)) - floor(epoch(target_at)) <= 3 * 86400 THEN target_price END AS target_price
+FROM (SELECT deal_id, cutoff, {_last('offer_price')} AS offer_price, {_last('target_price')} AS target_price, arg_max(observed_at, (observed_at, known_at, seq)) FILTER (target_price IS NOT NULL) AS target_at
+  FROM observations JOIN {many_cutoffs_sql(2)} ON observed_at <= cutoff AND known_at <= cutoff GROUP BY 1, 2)""",
+    )
+)
+def pit_state_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """States at the 397 cut-offs that lie two hours apart."""
+    state = pit.state_as_of(c.observations(spark, d), many_cutoffs(spark, 2), ["target_price", "offer_price"], ["observed_at", "known_at", "seq"], "observed_at", stale=pit.STALE_PRINT)
+    return state.select("deal_id", "cutoff", "offer_price", F.col("target_price_at").alias("target_at"), "target_price")
+
+
 @query(
     with_views(
         "observations",

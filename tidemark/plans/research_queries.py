@@ -10,6 +10,7 @@ from tidemark.functions import dates, text
 from tidemark.operators import canonical, evidence, prices
 from tidemark.plans import carriers as c
 from tidemark.plans.carriers import with_views
+from tidemark.plans.pit_queries import many_cutoffs, many_cutoffs_sql
 from tidemark.plans.registry import query
 
 CUT = ("2026-04-01 00:00:00", "2026-10-01 00:00:00", "2027-03-01 00:00:00")
@@ -50,6 +51,12 @@ def evidence_status_asof(spark: SparkSession, d: str) -> DataFrame:
     return evidence.status(evidence.effective(c.evidence(spark, d), cutoffs(spark)))
 
 
+@query(_sql("evidence", _status(f"SELECT e.*, cutoff FROM evidence e JOIN {many_cutoffs_sql(6)} ON known_at <= cutoff"), "SELECT event_id, cutoff, status FROM states"))
+def evidence_status_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Statuses at the cut-offs that lie six hours apart."""
+    return evidence.status_at(c.evidence(spark, d), many_cutoffs(spark, 6))
+
+
 @query(_sql("evidence", _AT_POINTS, "SELECT event_id, as_of_utc, status FROM hist"))
 def status_history(spark: SparkSession, d: str) -> DataFrame:
     return evidence.status_history(c.evidence(spark, d))
