@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tests.compare import agree
 from tests.llm.test_operators import DOCS, LONG, docs, odd
-from tidemark.llm import collocations, common, filter_audit, queries, run_index
+from tidemark.llm import collocations, common, filter_audit, queries, run_index, substring
 
 SF = "/root/testdata/sf0.001"
 NEW = ("op11_collocations", "op12_filter_audit", "op13_suffix_dedup")
@@ -310,3 +310,36 @@ def test_matching_statistics(texts, patterns):
             assert matched[at] == longest and (not longest or laid[where[at] : where[at] + longest] == p[i : i + longest])
             at += 1
     assert len(index.start) <= len(index.order) and (index.order[index.start] == index.first).all() and (index.order[index.end] == index.last).all()
+
+
+# --- substring dedup: two lanes ---------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("lane", [0, 1])
+def test_words_that_collide_in_one_hash_are_told_apart(monkeypatch, lane):
+    """Two passages that differ in words whose hash of one seed is the same are no repeats."""
+    real = substring.xxhash.xxh64_intdigest
+
+    class Colliding:
+        @staticmethod
+        def xxh64_intdigest(word, seed):
+            return 42 if seed == substring.SEEDS[lane] and word in (b"left", b"right") else real(word, seed)
+
+    monkeypatch.setattr(substring, "xxhash", Colliding)
+    rng = random.Random(1)
+    before, behind = ([b"w%d" % rng.randrange(10**6) for _ in range(20)] for _ in range(2))
+    both = [[*before, word, *behind] for word in (b"left", b"right", b"left")]
+    cache = substring.WordHashes()
+    name, span, doc, lo, cnt = substring.chunk_rows(np.concatenate([cache.of(w) for w in both], axis=1), np.array([41, 41, 41]), 35, 6)
+    keys = defaultdict(set)
+    for n, s, d, at, c in zip(name.tolist(), span.tolist(), doc.tolist(), lo.tolist(), cnt.tolist()):
+        keys[n, s, c].add((d, at))
+    assert all({d for d, _ in places} in ({0, 2}, {1}) for places in keys.values())
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(substring, "REMEMBERED", 5)
+    cache = substring.WordHashes()
+    words = [b"w%d" % (i % 7) for i in range(50)]
+    first = cache.of(words)
+    assert (cache.of(words) == first).all() and (cache.of(words[:3]) == first[:, :3]).all() and len(cache) <= 8

@@ -11,8 +11,9 @@ As a name is a hash of its content, all tasks agree on it without asking each ot
 that holds a text, and the first exchange is that of the anchors. Spark groups anchors by name. Windows that share an
 anchor occurrence are one row, with a hash of all the words they cover; where all rows of a name agree on that hash
 the windows are verified repeats at once. Where they differ (the ends of repeats, and chance), the windows are compared
-one by one by a hash of their words. Windows whose words determine no symbol are named by a second hash of their words.
-So what counts as equal agrees in two hashes of 64 bits, the name's and the words'. Rows that are alike within a task
+one by one by a hash of their words. Windows whose words determine no symbol are named by a hash of their words.
+Names and word hashes come from two hashes of each word with seeds of their own, so what counts as equal agrees in two
+independent lanes of 64 bits: words that collide in one of them don't in the other. Rows that are alike within a task
 are verified there and stand for one before anything is shuffled, so a passage that many documents hold doesn't fill one
 partition. Groups stream through sorted partitions; no pairs are made.
 
@@ -25,6 +26,7 @@ table gives an empty result; other columns than doc_id and text are not looked a
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from itertools import compress
 
@@ -44,7 +46,9 @@ BATCH_WORDS, REMEMBERED, HELD = 250_000, 400_000, 100_000
 CHUNK = "name long, span long, key_id long, key_hash long, lo int, cnt int, n int"
 FOUND = "kind int, name long, key_id long, key_hash long, lo int, cnt int"
 
-BASE, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Seeds of the two hashes of a word: of names, and of what names are verified by.
+SEEDS = (7, 1_000_003)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,16 +59,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Word -> 64-bit hash, remembered up to a bound."""
+    """Word -> place of its two 64-bit hashes, remembered up to a bound."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.lanes = (array("Q"), array("Q"))
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        got = self[word] = xxhash.xxh64_intdigest(word, 7)
+        got = self[word] = len(self)
+        for lane, seed in zip(self.lanes, SEEDS):
+            lane.append(xxhash.xxh64_intdigest(word, seed))
         return got
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        """Two rows: the words' hashes with either seed."""
+        if len(self) >= REMEMBERED:
+            self.clear()
+            self.lanes = (array("Q"), array("Q"))
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.stack([np.frombuffer(lane, np.uint64)[at] for lane in self.lanes]) if words else np.zeros((2, 0), np.uint64)
 
 
 class Spans:
@@ -135,18 +148,20 @@ def anchors(hashes: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int,
 
 
 def chunk_rows(hashes: np.ndarray, lengths: np.ndarray, window: int, rounds: int) -> tuple[np.ndarray, ...]:
-    """Of documents laid end to end: name, span hash, document, first window and number of windows of each row."""
+    """Of documents laid end to end (both hashes of each word): name, span hash, document, first window and number of
+    windows of each row. Names are of the first hash, spans of the second."""
+    hashes, seconds = hashes
     doc = np.repeat(np.arange(len(lengths)), lengths)
     offset = np.cumsum(lengths) - lengths
     start = np.arange(len(hashes))
     start = start[start - offset[doc] + window <= lengths[doc]]
     if not len(start):
         return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
-    spans = Spans(hashes)
+    spans = Spans(seconds)
     name, place, some = anchors(hashes, doc, start, window, rounds)
     own = spans.hash(start, start + window)
-    if not some.all():  # named by a second hash of their words
-        name = np.where(some, name, Spans(mix(hashes ^ SECOND)).hash(start, start + window))
+    if not some.all():  # named by their words
+        name = np.where(some, name, Spans(hashes).hash(start, start + window))
     opens = np.ones(len(start), bool)
     opens[1:] = (place[1:] != place[:-1]) | ~some[1:] | ~some[:-1] | (start[1:] != start[:-1] + 1)
     row = np.cumsum(opens) - 1
@@ -258,7 +273,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
         hashed: list[np.ndarray] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            name, span, doc, lo, cnt = chunk_rows(np.concatenate(hashed), np.array([len(h) for h in hashed]), window, rounds)
+            name, span, doc, lo, cnt = chunk_rows(np.concatenate(hashed, axis=1), np.array([h.shape[1] for h in hashed]), window, rounds)
             if len(name):
                 own = np.array(keys, np.int64)[doc]
                 columns = combined([name.view(np.int64), span.view(np.int64), own[:, 0], own[:, 1], lo.astype(np.int32), cnt.astype(np.int32)])
@@ -289,7 +304,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
             parts: list[list[np.ndarray]] = []
             held = 0
             for i, row in enumerate(batch.to_pylist()):
-                spans = Spans(cache.of(unpress.decompress(row["z"]).split()))
+                spans = Spans(cache.of(unpress.decompress(row["z"]).split())[1])
                 lo = np.array([r["lo"] for r in row["ranges"]], np.int64)
                 cnt = np.array([r["cnt"] for r in row["ranges"]], np.int64)
                 start = np.repeat(lo, cnt) + np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt)
