@@ -76,3 +76,54 @@ def test_calibration(spark, n, method):
         assert got[2]["p_calibrated"] == 0.8
     if method == "isotonic":
         assert got[2]["p_calibrated"] == pytest.approx(0.4, abs=0.1)
+
+
+@pytest.mark.parametrize("q", [0.0, 0.3, 0.5, 1.0])
+def test_exact_quantiles_of_all_columns_at_once(spark, q):
+    rng = np.random.default_rng(int(q * 10))
+    columns = {"a": rng.normal(size=501) * 10.0 ** rng.integers(-300, 300, 501).astype(float), "b": rng.integers(-2, 3, 501).astype(float), "c": np.full(501, -0.0), "d": np.where(rng.random(501) < 0.9, np.nan, rng.random(501))}
+    rows = [tuple(None if name == "d" and np.isnan(v[i]) else float(v[i]) for name, v in columns.items()) + (None,) for i in range(501)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(7)
+    got = model.exact_quantile(df, ["a", "b", "c", "d", "e"], q)
+    for name, v in columns.items():
+        assert got[name] == pytest.approx(np.quantile(v[~np.isnan(v)], q), rel=1e-12, abs=0), name
+    assert got["e"] is None and model.exact_quantile(df.limit(0), ["a"]) == {"a": None}
+    assert got["a"] == pytest.approx(df.agg(F.percentile("a", F.lit(q))).first()[0], rel=1e-12)
+
+
+def test_windows_that_cannot_be_fitted_have_a_status(spark):
+    rows = training(spark)
+    cuts = ("2000-01-01", "2020-12-31", "2021-12-31", "2022-12-31", "2023-12-31", "2024-12-31")
+    status = {r["window"]: r for r in model.walk_forward_status(rows, cuts).collect()}
+    assert [status[i]["status"] for i in range(5)][-1] == "no_test_rows" and status[0]["n_train"] == 0
+    assert status[0]["status"] in ("no_test_rows", "insufficient_data") and status[0]["train_prevalence"] is None
+    assert "fitted" in {r["status"] for r in status.values()}
+    scored = model.walk_forward(rows, ["x1"], cuts, spread="x1")
+    fitted = {str(r["train_cutoff"]) for r in status.values() if r["status"] == "fitted"}
+    assert {str(r[0]) for r in scored.select("train_cutoff").distinct().collect()} == fitted
+    assert scored.where("abs(p_model - p_spread) > 1e-9 or p_constant is null").count() == 0
+    assert model.walk_forward(rows.limit(3), ["x1"], cuts).count() == 0
+
+
+def pooled(points):
+    """Pool adjacent violators on one node: (score, label) -> fitted value by score."""
+    blocks = []
+    by = {}
+    for s, y in points:
+        by.setdefault(s, []).append(y)
+    for s in sorted(by):
+        blocks.append([sum(by[s]), len(by[s]), [s]])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            total, n, scores = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + total, blocks[-1][1] + n, blocks[-1][2] + scores]
+    return {s: total / n for total, n, scores in blocks for s in scores}
+
+
+def test_isotonic_calibration_is_exact(spark):
+    rng = np.random.default_rng(9)
+    scores = np.concatenate([rng.random(600), rng.integers(0, 40, 600) / 40, 0.5 + rng.integers(0, 9, 300) * 1e-7])
+    labels = (rng.random(1500) < scores).astype(int)
+    sample = spark.createDataFrame([(float(s), int(y)) for s, y in zip(scores, labels)], "p_break double, label int").repartition(6)
+    got = {r["p_break"]: r["p_calibrated"] for r in review.calibrated(sample, sample.select("p_break").distinct()).collect()}
+    expected = pooled(zip(scores.tolist(), labels.tolist()))
+    assert all(got[s] == pytest.approx(min(max(v, 1e-6), 1 - 1e-6), abs=1e-9) for s, v in expected.items())

@@ -20,9 +20,71 @@ class InsufficientData(ValueError):
     """Too few rows, or too few of a class, to fit."""
 
 
+#: Bits of a number that one pass of ``exact_quantile`` settles.
+DIGIT = 13
+
+
+def exact_quantile(rows: DataFrame, columns: Sequence[str], q: float = 0.5) -> dict[str, float | None]:
+    """Per column (doubles, nulls left out; None if all are null) its exact quantile, between two values by proportion.
+
+    The values in question are found by narrowing down: numbers are taken as whole numbers of 64 bits in the same order,
+    and each pass over the rows counts, for all columns at once, the next ``DIGIT`` bits of those that agree with what is
+    known of the value sought. Tasks and driver hold a count for each digit at most, however many rows there are. NaN is
+    the greatest number.
+    """
+    names = list(columns)
+    own = rows.select(*[F.col(c).cast("double").alias(c) for c in names])
+    sizes = own.agg(*[F.count(c).alias(c) for c in names]).first()
+    exact = {c: (sizes[c] - 1) * q for c in names if sizes[c]}
+    # of each column the value at and the one behind its place: what is known of it, and its place among those that agree
+    sought = {(c, k): (0, min(int(at) + k, sizes[c] - 1)) for c, at in exact.items() for k in (0, 1)}
+    settled = 0
+    while sought and settled < 64:
+        step = min(DIGIT, 64 - settled)
+        known = {which: prefix for which, (prefix, _) in sought.items()}
+
+        def count(batches: Iterator[pa.RecordBatch], known=known, settled=settled, step=step) -> Iterator[pa.RecordBatch]:
+            total = {which: np.zeros(1 << step, np.int64) for which in known}
+            for batch in batches:
+                for c in {c for c, _ in known}:
+                    value = batch.column(names.index(c)).drop_null().to_numpy(zero_copy_only=False) + 0.0
+                    value[np.isnan(value)] = np.nan  # of one kind
+                    bits = value.view(np.int64)
+                    key = (bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.uint64) ^ np.uint64(1 << 63)
+                    for k in (0, 1):
+                        mine = key if not settled else key[key >> np.uint64(64 - settled) == np.uint64(known[c, k])]
+                        digit = (mine >> np.uint64(64 - settled - step)) & np.uint64((1 << step) - 1)
+                        total[c, k] += np.bincount(digit.astype(np.int64), minlength=1 << step)
+            out = [(c, k, int(d), int(n[d])) for (c, k), n in total.items() for d in np.flatnonzero(n)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=["c", "k", "d", "n"])
+
+        counts: dict[tuple[str, int], list[tuple[int, int]]] = {which: [] for which in known}
+        for r in own.mapInArrow(count, "c string, k long, d long, n long").groupBy("c", "k", "d").agg(F.sum("n").alias("n")).collect():
+            counts[r["c"], r["k"]].append((r["d"], r["n"]))
+        for which, (prefix, place) in sought.items():
+            for d, n in sorted(counts[which]):
+                if place < n:
+                    break
+                place -= n
+            sought[which] = prefix << step | d, place
+        settled += step
+
+    def number(key: int) -> float:
+        bits = key ^ (1 << 63)
+        bits = bits ^ 0x7FFFFFFFFFFFFFFF if bits >> 63 else bits
+        return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+    out: dict[str, float | None] = dict.fromkeys(names)
+    for c, at in exact.items():
+        low, high = (number(sought[c, k][0]) for k in (0, 1))
+        out[c] = low if at == int(at) or low == high else low + (high - low) * (at - int(at))
+    return out
+
+
 def preparation(train: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float, float]]:
     """Per feature the training median (0 if all are missing), and mean and population deviation after imputation."""
-    medians = train.agg(*[F.percentile(F.col(f).cast("double"), F.lit(0.5)).alias(f) for f in features]).first()
+    medians = exact_quantile(train, features)
     mid = {f: medians[f] if medians[f] is not None else 0.0 for f in features}
     filled = [F.coalesce(F.col(f).cast("double"), F.lit(mid[f])) for f in features]
     stats = train.agg(*[g(x).alias(f"{n}_{f}") for f, x in zip(features, filled) for n, g in (("m", F.avg), ("s", F.stddev_pop))]).first()
@@ -62,21 +124,50 @@ def coefficients(spark, fitted) -> DataFrame:
     return rows.withColumn("odds_ratio", F.exp("weight"))
 
 
-def walk_forward(rows: DataFrame, features: Sequence[str], cutoffs: Sequence[str]) -> DataFrame:
-    """Scores of each window (cutoff, next cutoff] by a model of what was resolved by its cutoff.
+def windows(cutoffs: Sequence[str]) -> list[tuple[str, str]]:
+    return list(zip(cutoffs, cutoffs[1:]))
 
-    The few cut-offs are a driver loop; every fit and score is a Spark job over all rows of its window.
+
+def split(rows: DataFrame, start: str, end: str) -> tuple[DataFrame, DataFrame]:
+    """What was resolved by a cut-off, and what was announced behind it up to the end of its window."""
+    lo, hi = (F.lit(x).cast("date") for x in (start, end))
+    return rows.where(F.col("resolution_date") <= lo), rows.where((F.col("announce_date") > lo) & (F.col("announce_date") <= hi))
+
+
+def walk_forward(rows: DataFrame, features: Sequence[str], cutoffs: Sequence[str], spread: str | None = None) -> DataFrame:
+    """Scores of each window (cutoff, next cutoff] by a model of what was resolved by its cutoff, with the baselines: the
+    share of breaks among the training rows, and a model of the spread alone if its column is named.
+
+    A window that can't be fitted gives no scores; ``walk_forward_status`` says why. The few cut-offs are a driver loop;
+    every fit and score is a Spark job over all rows of its window.
     """
-    out = None
-    for start, end in zip(cutoffs, cutoffs[1:]):
-        lo, hi = (F.lit(x).cast("date") for x in (start, end))
-        train = rows.where(F.col("resolution_date") <= lo)
-        test = rows.where((F.col("announce_date") > lo) & (F.col("announce_date") <= hi))
-        scored = predict(test, fit(train, features)).withColumn("train_cutoff", lo)
-        out = scored if out is None else out.unionByName(scored)
+    out = rows.limit(0).select("*", *[F.lit(None).cast("double").alias(c) for c in ("p_model", "p_constant", *(("p_spread",) if spread else ()))], F.lit(None).cast("date").alias("train_cutoff"))
+    for start, end in windows(cutoffs):
+        train, test = split(rows, start, end)
+        try:
+            scored = predict(test, fit(train, features)).withColumn("p_constant", F.lit(train.agg(F.avg("label")).first()[0]))
+            if spread:
+                scored = predict(scored.withColumnRenamed("p_model", "_p"), fit(train, [spread])).withColumnsRenamed({"p_model": "p_spread", "_p": "p_model"})
+        except InsufficientData:
+            continue
+        out = out.unionByName(scored.withColumn("train_cutoff", F.lit(start).cast("date")))
     return out
 
 
+def walk_forward_status(rows: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
+    """A row for each window: sizes and shares of its training and test sets, and whether it can be fitted: ``no_test_rows``,
+    ``insufficient_data`` with the reason, or ``fitted``. One pass over all rows."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("window"), F.lit(a).cast("date").alias("train_cutoff"), F.lit(b).cast("date").alias("test_end")) for i, (a, b) in enumerate(windows(cutoffs))])).alias("w")
+    train = F.coalesce(F.col("resolution_date") <= F.col("w.train_cutoff"), F.lit(False))
+    test = F.coalesce((F.col("announce_date") > F.col("w.train_cutoff")) & (F.col("announce_date") <= F.col("w.test_end")), F.lit(False))
+    positive = F.col("label") == 1
+    sizes = rows.select("resolution_date", "announce_date", "label", each).groupBy("w").agg(F.count_if(train).alias("n_train"), F.count_if(train & positive).alias("train_pos"), F.count_if(test).alias("n_test"), F.count_if(test & positive).alias("test_pos"))
+    fewest = F.least("train_pos", F.col("n_train") - F.col("train_pos"))
+    reason = F.when(F.col("n_train") < MIN_SAMPLE_N, "too_few_rows").when(fewest < MIN_CLASS_N, "too_few_of_a_class")
+    status = F.when(F.col("n_test") == 0, "no_test_rows").when(reason.isNotNull(), "insufficient_data").otherwise("fitted")
+    return sizes.select("w.*", "n_train", "train_pos", "n_test", "test_pos", F.try_divide("train_pos", "n_train").alias("train_prevalence"), F.try_divide("test_pos", "n_test").alias("test_prevalence"), status.alias("status"), F.when(F.col("n_test") > 0, reason).alias("reason"))
+
+
 def row_digests(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A SHA-256 of each row's content; null is spelled out."""
     text = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("__NULL__"))) for c in columns]

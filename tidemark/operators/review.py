@@ -96,8 +96,8 @@ def ledger_violations(records: DataFrame) -> DataFrame:
 def calibrated(sample: DataFrame, rows: DataFrame, score: str = "p_break") -> DataFrame:
     """``rows`` with ``p_calibrated`` and ``method``, learnt on an earlier ``sample`` with ``label``.
 
-    Isotonic from 200 rows with 20 of each class (over scores rounded to 4 digits, weighted by their rows, as Spark pools
-    the last blocks in one node), a logit of the logit from the minimum sample with 5 of each class,
+    Isotonic from 200 rows with 20 of each class (over the exact scores, weighted by their rows; Spark pools them by range,
+    then the blocks that are left of the ranges in one task), a logit of the logit from the minimum sample with 5 of each class,
     else the score itself.
     """
     known = sample.where(F.col(score).isNotNull() & F.col("label").isNotNull()).select(F.col(score).cast("double").alias("s"), F.col("label").cast("double").alias("label"))
@@ -105,7 +105,7 @@ def calibrated(sample: DataFrame, rows: DataFrame, score: str = "p_break") -> Da
     fewest = min(pos, n - pos)
     usable = rows.withColumn("s", F.col(score).cast("double"))
     if n >= 200 and fewest >= 20:
-        bins = known.groupBy(F.round("s", 4).alias("s")).agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
+        bins = known.groupBy("s").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
         model = IsotonicRegression(featuresCol="s", labelCol="label", weightCol="weight", predictionCol="p_iso").fit(bins)
         out = model.transform(usable.where("s is not null")).withColumn("p_calibrated", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("p_iso")))).drop("p_iso")
         method = "isotonic"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.config import MIN_CLASS_N, MIN_SAMPLE_N
 from tidemark.functions import extract
 from tidemark.operators import deals as deal_ops
 from tidemark.operators import features, model, simulation
@@ -36,11 +37,26 @@ def _model_rows(spark: SparkSession, d: str) -> DataFrame:
     return deals.select("deal_id", "announce_date", "resolution_date", (F.col("status") == "broken").cast("double").alias("label")).join(x, "deal_id").select("deal_id", "announce_date", "resolution_date", "label", *FEATURES)
 
 
+_WINDOWS = ("1997-01-01", "1998-01-01", "1999-01-01", "2000-01-01")
+
+
 @query()
 def logit_walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    """Out-of-sample scores of a logit refitted at each cut-off."""
-    cuts = ("1997-01-01", "1998-01-01", "1999-01-01", "2000-01-01")
-    return model.walk_forward(_model_rows(spark, d), FEATURES, cuts).select("deal_id", "train_cutoff", "label", "p_model")
+    """Out-of-sample scores of a logit refitted at each cut-off, of the spread alone, and of the share of breaks."""
+    return model.walk_forward(_model_rows(spark, d), FEATURES, _WINDOWS, spread=FEATURES[0]).select("deal_id", "train_cutoff", "label", "p_model", "p_spread", "p_constant")
+
+
+_EARLY = ("1995-02-01", *_WINDOWS, "2001-01-01", "2030-01-01", "2031-01-01")
+
+
+@query(with_views("deals", f"""SELECT w.w AS "window", w.a AS train_cutoff, w.b AS test_end, n_train, train_pos, n_test, test_pos, train_pos / nullif(n_train, 0) AS train_prevalence, test_pos / nullif(n_test, 0) AS test_prevalence, CASE WHEN n_test = 0 THEN 'no_test_rows' WHEN n_train < {MIN_SAMPLE_N} OR least(train_pos, n_train - train_pos) < {MIN_CLASS_N} THEN 'insufficient_data' ELSE 'fitted' END AS status,
+  CASE WHEN n_test > 0 THEN CASE WHEN n_train < {MIN_SAMPLE_N} THEN 'too_few_rows' WHEN least(train_pos, n_train - train_pos) < {MIN_CLASS_N} THEN 'too_few_of_a_class' END END AS reason
+FROM (SELECT w, count(*) FILTER (resolution_date <= w.a) AS n_train, count(*) FILTER (resolution_date <= w.a AND status = 'broken') AS train_pos, count(*) FILTER (announce_date > w.a AND announce_date <= w.b) AS n_test, count(*) FILTER (announce_date > w.a AND announce_date <= w.b AND status = 'broken') AS test_pos
+  FROM deals, (SELECT unnest([{", ".join(f"{{'w': {i}, 'a': DATE '{a}', 'b': DATE '{b}'}}" for i, (a, b) in enumerate(zip(_EARLY, _EARLY[1:])))}]) AS w) WHERE status <> 'pending' AND resolution_date IS NOT NULL GROUP BY w)"""))
+def walk_forward_status(spark: SparkSession, d: str) -> DataFrame:
+    """Windows before there is enough to fit, windows with and without deals."""
+    deals = c.deals(spark, d).where("status <> 'pending' and resolution_date is not null").select("announce_date", "resolution_date", (F.col("status") == "broken").cast("double").alias("label"))
+    return model.walk_forward_status(deals, _EARLY)
 
 
 _COLS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")

@@ -22,9 +22,20 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: With it Spark removes a checkpoint's files once nothing refers to it any more.
+CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there, without its lineage."""
+    """``df`` written to the shared folder and read from there, without its lineage.
+
+    The files live as long as a table that is made of them: Spark's cleaner removes them after that, unless the session
+    itself says otherwise.
+    """
     shared_folder(df.sparkSession)
+    conf = df.sparkSession.sparkContext._jsc.sc().conf()
+    if not conf.contains(CLEAN):
+        conf.set(CLEAN, "true")
     return df.checkpoint(eager=True)
 
 
