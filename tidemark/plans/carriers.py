@@ -37,6 +37,12 @@ NEEDS = {
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan for costly work on its rows: a table of fewer splits than there are cores is dealt out to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -37,9 +37,11 @@ def constant_baseline(spark: SparkSession, d: str) -> DataFrame:
     return experiment.constant_baseline(rows.where("resolved_at <= date'1997-06-30'"), rows.where("feature_at > date'1997-06-30'")).select("deal_id", "p_constant")
 
 
-@query(f"SELECT policy, counted_in, after, n_snapshots, recommended, CASE WHEN n_snapshots > 1 THEN 'deal_equal_snapshot_weight' END AS weighting, false AS uses_resolution FROM (VALUES " + ", ".join(f"('{n}', '{k}', {x}, {len(o)}, {str(n == 'ann_tplus_10_session').lower()})" for n, (k, o) in SNAPSHOT_POLICIES.items() for x in o) + ") t(policy, counted_in, after, n_snapshots, recommended)")
+@query(with_views("deals", f"SELECT policy, counted_in, after, n_snapshots, recommended, CASE WHEN n_snapshots > 1 THEN 'deal_equal_snapshot_weight' END AS weighting, false AS uses_resolution, (SELECT count(*) FROM deals) AS n_deals, (SELECT count(*) FROM deals WHERE resolution_date IS NOT NULL) AS n_resolved FROM (VALUES " + ", ".join(f"('{n}', '{k}', {x}, {len(o)}, {str(n == 'ann_tplus_10_session').lower()})" for n, (k, o) in SNAPSHOT_POLICIES.items() for x in o) + ") t(policy, counted_in, after, n_snapshots, recommended)"))
 def policy_document(spark: SparkSession, d: str) -> DataFrame:
-    return experiment.policy_document(spark)
+    """The draft's policies with the deals that they would be applied to."""
+    covered = c.deals(spark, d).agg(F.count("*").alias("n_deals"), F.count("resolution_date").alias("n_resolved"))
+    return experiment.policy_document(spark).crossJoin(F.broadcast(covered))  # one row
 
 
 @query("SELECT 'a' || p_partkey AS name, CASE WHEN p_partkey % 5 = 0 THEN 'removed' WHEN p_partkey % 7 = 0 THEN 'added' WHEN p_partkey % 3 = 0 THEN 'changed' ELSE 'unchanged' END AS state FROM part")

@@ -32,7 +32,7 @@ def _spark_concat(*parts: str) -> str:
   CASE WHEN k IN (3, 4) THEN {_R} / 100.0::DOUBLE END AS exchange_ratio, CASE WHEN k = 0 THEN 'Acme Holdings Inc' END AS acquirer, CASE k WHEN 5 THEN 'unsupported_mechanics' WHEN 6 THEN 'too_many_cash_prices' WHEN 7 THEN 'not_mapped' END AS reason FROM (SELECT *, o_orderkey % 8 AS k FROM orders)""")
 def deal_terms(spark: SparkSession, d: str) -> DataFrame:
     """Terms out of announcements that name prices once, several times, or not at all."""
-    body = c.table(spark, d, "orders").select("o_orderkey", F.expr(_body(_spark_concat)).alias("body"))
+    body = c.spread(c.table(spark, d, "orders").select("o_orderkey")).select("o_orderkey", F.expr(_body(_spark_concat)).alias("body"))
     return body.select("o_orderkey", extract.deal_terms(F.col("body")).alias("f")).select("o_orderkey", extract.decided_terms(F.col("f")).alias("t")).select("o_orderkey", "t.*")
 
 
@@ -50,7 +50,7 @@ def _announced_sql() -> str:
 
 def _announced(spark: SparkSession, d: str) -> DataFrame:
     arrays = [F.from_json(F.lit(x.replace("'", "\x00").replace('"', '\\"').replace("\x00", '"')), "array<string>") for x in (_NAMES, _SAYS.replace("\n", ""))]
-    docs = c.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), arrays[0].alias("names"), arrays[1].alias("says"))
+    docs = c.spread(c.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), arrays[0].alias("names"), arrays[1].alias("says"))
     put = "replace(replace(replace(says[int(doc_id % 10)], '{n}', names[int(doc_id div 10 % 10)]), '{x}', concat(doc_id % 90 + 10, '.25')), '{y}', string(doc_id % 80 + 10))"
     return docs.selectExpr("doc_id", f"concat(substring(text, 1, int(length(text) div 2)), '. ', {put}, ' ', substring(text, int(length(text) div 2) + 1)) as t")
 
@@ -139,7 +139,7 @@ _RAW = """case c_custkey % 5 when 0 then concat('<TICKER> ', t, ' <EXCHANGE>NYSE
 
 
 def _extracted(spark: SparkSession, d: str) -> DataFrame:
-    rows = c.table(spark, d, "customer").selectExpr("c_custkey", "concat('T', chr(65 + c_custkey % 26)) as t").select("c_custkey", F.expr(_RAW).alias("raw"))
+    rows = c.spread(c.table(spark, d, "customer").select("c_custkey")).selectExpr("c_custkey", "concat('T', chr(65 + c_custkey % 26)) as t").select("c_custkey", F.expr(_RAW).alias("raw"))
     found = listing.filing_identity(F.col("raw"), F.lit("Widget Makers Inc"), F.col("c_custkey") % 5 != 3)
     return rows.select("c_custkey", found.alias("x")).select("c_custkey", "x.*")
 

@@ -237,9 +237,13 @@ def canonical_csv(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH h(day, name) AS (VALUES {", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in HOLIDAYS_2026.items())}), d AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2026-01-01', TIMESTAMP '2026-12-31', INTERVAL 1 DAY)) AS DATE) AS obs_date),
-r AS (SELECT obs_date, CASE WHEN isodow(obs_date) > 5 THEN 'weekend' ELSE name END AS reason FROM d LEFT JOIN h ON CAST(day AS DATE) = obs_date) SELECT obs_date, reason IS NULL AS is_trading, reason FROM r""")
+r AS (SELECT obs_date, CASE WHEN isodow(obs_date) > 5 THEN 'weekend' ELSE name END AS reason FROM d LEFT JOIN h ON CAST(day AS DATE) = obs_date), s AS (SELECT DISTINCT CAST(o_orderdate + INTERVAL 25 YEAR AS DATE) AS obs_date FROM orders)
+SELECT obs_date, reason IS NULL AS is_trading, reason FROM r UNION ALL SELECT obs_date, true, NULL FROM s WHERE year(obs_date) <> 2026""")
 def calendar_2026(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.calendar_rows(spark, "2026-01-01", "2026-12-31", HOLIDAYS_2026)
+    """A stored calendar of the days with orders, 25 years on, whose year 2026 an upsert replaces."""
+    days = c.table(spark, d, "orders").select(F.to_date(F.add_months("o_orderdate", 300)).alias("obs_date")).distinct()
+    store = days.select("obs_date", F.lit(True).alias("is_trading"), F.lit(None).cast("string").alias("reason"))
+    return sinks.upserted_calendar(store, sinks.calendar_rows(spark, "2026-01-01", "2026-12-31", HOLIDAYS_2026))
 
 
 @query("""SELECT event_id, k IN (0, 1) AS has_cfius, CASE k WHEN 1 THEN 'false' END AS cfius, CASE k WHEN 1 THEN 'cfius,hsr' WHEN 0 THEN 'cfius' WHEN 2 THEN '' ELSE '' END AS unknown, '{"a":' || event_id || CASE WHEN k = 0 THEN '' ELSE ',"b":"' || event_type || '"' END || '}' AS encoded FROM (SELECT *, event_id % 4 AS k FROM events)""")

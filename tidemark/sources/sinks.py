@@ -122,6 +122,12 @@ def calendar_rows(spark: SparkSession, start: str, end: str, closures: dict[str,
     return days.join(shut, "obs_date", "left").select("obs_date", reason.isNull().alias("is_trading"), reason.alias("reason"))
 
 
+def upserted_calendar(store: DataFrame, rows: DataFrame) -> DataFrame:
+    """A calendar (obs_date, is_trading, reason) after an upsert by day: new rows take the place of stored ones."""
+    columns = ["obs_date", "is_trading", "reason"]
+    return store.join(rows.select("obs_date"), "obs_date", "left_anti").select(*columns).unionByName(rows.select(*columns))
+
+
 def migrated(rows: DataFrame, schema: str, defaults: dict[str, object] | None = None) -> DataFrame:
     """``rows`` in a later schema: new columns are null or their default; a column that goes must be empty."""
     target = rows.sparkSession.createDataFrame([], schema).schema
