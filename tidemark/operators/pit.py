@@ -45,10 +45,22 @@ def state_as_of(facts: DataFrame, cutoffs: DataFrame, fields: Sequence[str], ord
     return found.select(key, "cutoff", *out)
 
 
+#: Cut-offs that an expression compares with each row; more of them are sorted together with the rows.
+FEW = 64
+
+
 def at_first_cutoff(rows: DataFrame, cutoffs: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
     """``rows`` with ``_i``, the number from 0 of the first cut-off at or after their time, without those that have none; and
-    the numbered cut-offs (cutoff, _i). Any number of either: both are sorted together, by ranges of time."""
-    numbers = checkpointed(numbered(cutoffs.select("cutoff").where("cutoff is not null").distinct(), [], ["cutoff"], "_i"))
+    the numbered cut-offs (cutoff, _i). Any number of either: beyond a few cut-offs both are sorted together, by ranges of time."""
+    days = cutoffs.select("cutoff").where("cutoff is not null").distinct()
+    kind = days.schema["cutoff"].dataType
+    few = [F.lit(r[0]).cast(kind) for r in days.orderBy("cutoff").limit(FEW + 1).select(F.col("cutoff").cast("string")).collect()]
+    if len(few) <= FEW:
+        number, nth = F.col("id").alias("_i"), F.get(F.array(*few), F.col("id").cast("int")) if few else F.lit(None).cast(kind)
+        numbers = rows.sparkSession.range(len(few)).select(nth.alias("cutoff"), number)
+        before = F.size(F.filter(F.array(*few), lambda c: c < F.col(at))) if few else F.lit(0)
+        return rows.withColumn("_i", before.cast("long")).where(F.col("_i") < len(few)), numbers
+    numbers = checkpointed(numbered(days, [], ["cutoff"], "_i"))
     one = F.lit(0).alias("_one")
     found = as_of_join(rows.select("*", one), numbers.select("*", one, F.col("_i").alias("_last"), F.col("cutoff").alias("_found")), "_one", at, "cutoff", ["_last", "_found"], "_i")
     first = F.when(F.col("_found") == F.col(at), F.col("_last")).otherwise(F.coalesce(F.col("_last") + 1, F.lit(0)))
