@@ -151,9 +151,11 @@ def test_urls(spark):
 
 
 def test_terms(spark):
-    body = "for $12.50 per share in cash, or $12.50 in cash, not $99 in cash, and 0.5 of a share of X (NASDAQ: ABC)"
-    got = spark.range(1).select(extract.terms(F.lit(body)).alias("t")).first()["t"]
-    assert (got["cash"], got["ratio"], got["ticker"], got["unsupported"]) == (12.5, 0.5, "ABC", False)
+    body = "for $12.50 per share in cash, or $12.50 in cash per share, not $99 per share in cash, and 0.5 of a share of X (NASDAQ: ABC)"
+    found = spark.createDataFrame([(body,)], "t string").select(extract.deal_terms(F.col("t")).alias("f"))
+    f, got = found.select("f", extract.decided_terms(F.col("f")).alias("t")).first()
+    assert sorted(f["cash"]) == [12.5, 12.5, 12.5, 99.0, 99.0] and f["ratio"] == [0.5] and not f["unsupported"]
+    assert (got["offer_price"], got["consideration_type"], got["reason"]) == (12.5, "cash", None)
 
 
 def test_two_independent_publishers_corroborate(spark):
