@@ -32,7 +32,7 @@ def test_written_workbooks_read_back_with_true_formulas(spark, tmp_path):
 
 def tracked(spark):
     def row(n, *texts):
-        return [("f", "Master Log MI_PE", n, i, str(t), float(t) if isinstance(t, float) else None, None) for i, t in enumerate(texts, 1) if t is not None]
+        return [("f", "Market Log", n, i, str(t), float(t) if isinstance(t, float) else None, None) for i, t in enumerate(texts, 1) if t is not None]
 
     rows = [*row(4, "Date", "S&P 500 close", "NASDAQ"), *row(5, "Apr 20", 100.0, 200.0), *row(6, "Apr 21 2026", "n/d", 201.0), *row(7, "Apr 25", 1.0, 1.0), *row(8, "Total", 5.0), *row(9, "Apr 26", "CLOSED")]
     return spark.createDataFrame(rows, workbook.CELLS)

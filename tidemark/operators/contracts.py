@@ -18,7 +18,8 @@ STATUSES = ("VERIFIED_PRIMARY", "CORROBORATED_SECONDARY", "ATTRIBUTED_CLAIM", "U
 SOURCE_TYPES = ("primary_official", "reputable_secondary", "ai_brief", "social_post", "other")
 CLAIM_TYPES = ("occurred", "attributed_statement", "scheduled", "prediction", "rumor")
 STANCES, REVISIONS = ("supports", "contradicts"), ("correction", "update", "retraction")
-RELAYED = ("grok_brief", "todd_feed")
+#: Feeds that only relay what others say; a parameter, as each installation names its own.
+RELAYED = ("brief_feed", "adapter_feed")
 SECTORS = (
     "energy_upstream energy_midstream energy_refining utilities_power shipping_maritime logistics_transport airlines defense_aerospace government_services industrials chemicals "
     "metals_mining semiconductors technology_software telecom_media banking insurance asset_management fintech_payments healthcare biopharma consumer real_estate agriculture_food"
@@ -53,7 +54,7 @@ def web_host(url: Column) -> Column:
     return F.when(F.regexp_like(url, F.lit(r"(?i)^https?://")), F.nullif(url_host(url), F.lit("")))
 
 
-def evidence_contract(records: DataFrame) -> DataFrame:
+def evidence_contract(records: DataFrame, relayed: tuple[str, ...] = RELAYED) -> DataFrame:
     """``evidence_id, errors, known_at_basis, known_utc, event_key_id``: all rules that a record breaks, in order.
 
     The registry of authorities is asked only about records without another error, and times are compared only where
@@ -77,7 +78,7 @@ def evidence_contract(records: DataFrame) -> DataFrame:
         "unknown_sector": each("sectors", lambda x: x.isin(*SECTORS)),
         "unknown_geography": each("geographies", lambda x: F.regexp_like(x, F.lit("^[A-Z]{2}$")) | x.isin(*REGIONS)),
         "bad_source_url": web_host(c("source_url")).isNull(),
-        "relayed_item_is_untrusted": c("ingested_via").isin(*RELAYED) & (~c("source_type").isin(*UNTRUSTED) | c("retrieved")),
+        "relayed_item_is_untrusted": c("ingested_via").isin(*relayed) & (~c("source_type").isin(*UNTRUSTED) | c("retrieved")),
         "bad_lead_url": each("lead_urls", lambda x: web_host(x).isNotNull()),
     }
     plain = F.array_compact(F.array(*[F.when(F.coalesce(x, F.lit(True)), F.lit(n)) for n, x in rules.items()]))

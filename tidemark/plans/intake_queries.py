@@ -326,7 +326,7 @@ def evidence_contract(spark: SparkSession, d: str) -> DataFrame:
     r = c.table(spark, d, "documents").selectExpr(
         "doc_id as evidence_id", "if(doc_id % 17 = 0, ' ', concat(' Key ', doc_id)) as event_key", "if(doc_id % 19 = 0, 'party', 'sanctions') as category", "'s' as statement", "'e' as reporting_entity", "if(doc_id % 23 = 0, null, 'p') as publisher", "if(doc_id % 4 < 2, 'primary_official', 'reputable_secondary') as source_type",
         "if(doc_id % 29 = 0, 'dreamt', 'occurred') as claim_type", "'supports' as stance", "if(doc_id % 31 = 0, 'SURE', 'DISPUTED') as claimed_status", "if(doc_id % 13 = 0, 'r', null) as revises", "cast(null as string) as revision_kind", "if(doc_id % 7 = 0, array('banking', 'magic'), array('banking')) as sectors", "if(doc_id % 9 = 0, array('usa'), array('US', 'EU')) as geographies",
-        "case when doc_id % 12 = 0 then 'ftp://x' when doc_id % 4 = 1 then 'https://news.example/a' else 'https://www.sec.gov/a' end as source_url", "if(doc_id % 10 = 0, 'todd_feed', 'manual') as ingested_via", "true as retrieved", "if(doc_id % 15 = 0, array('nowhere'), null) as lead_urls",
+        "case when doc_id % 12 = 0 then 'ftp://x' when doc_id % 4 = 1 then 'https://news.example/a' else 'https://www.sec.gov/a' end as source_url", "if(doc_id % 10 = 0, 'adapter_feed', 'manual') as ingested_via", "true as retrieved", "if(doc_id % 15 = 0, array('nowhere'), null) as lead_urls",
         "if(doc_id % 16 < 11, if(doc_id % 8 = 3, '2026-02-02', '2026-01-02'), null) as publication_timestamp", "'2026-01-01' as event_valid_timestamp", "cast(null as string) as first_observed_timestamp", "case when doc_id % 11 = 0 then '2026-01-05T10:00:00' when doc_id % 2 = 1 then '2026-01-05' end as known_at",
     )
     return contracts.evidence_contract(r).drop("known_utc")

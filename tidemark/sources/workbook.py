@@ -21,9 +21,9 @@ LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 HEADER_ROW = 4
 #: Rows that a report may have.
 MOST_ROWS = 100_000
-#: Sheets, and which of their columns hold which series (a header that contains one of the words).
+#: Sheets (a parameter of ``tracked_prices``), and which of their columns hold which series (a header that contains one of the words).
 TRACKED = (
-    ("Master Log MI_PE", "SP500", ("s&p 500", "s&p")), ("Master Log MI_PE", "NASDAQCOM", ("nasdaq",)), ("Oil Tracker", "DCOILWTICO", ("wti",)), ("Oil Tracker", "DCOILBRENTEU", ("brent",)),
+    ("Market Log", "SP500", ("s&p 500", "s&p")), ("Market Log", "NASDAQCOM", ("nasdaq",)), ("Oil Tracker", "DCOILWTICO", ("wti",)), ("Oil Tracker", "DCOILBRENTEU", ("brent",)),
 )
 
 
