@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import audit as a
-from tidemark.operators import evaluation
+from tidemark.operators import evaluation, securities
 from tidemark.plans import carriers as c
 from tidemark.plans.carriers import with_views
 from tidemark.plans.registry import query
@@ -56,6 +56,40 @@ def identifier_candidates(spark: SparkSession, d: str) -> DataFrame:
     return a.identifier_candidates(asked, history)
 
 
+_HISTORY = """history AS (SELECT p_partkey // 2 AS permno, p_partkey // 4 AS permco, CASE WHEN p_partkey % 11 <> 0 THEN 'T' || (p_partkey // 3) END AS ticker, p_name || ' ' || p_brand || ', ' || p_size || ' Corp.' AS comnam,
+  CASE WHEN p_partkey % 5 <> 0 THEN CAST(DATE '1993-01-01' + CAST(p_partkey % 1500 AS INTEGER) AS DATE) END AS namedt, CASE WHEN p_partkey % 7 <> 0 THEN CAST(DATE '1994-01-01' + CAST(p_partkey % 1500 + p_size * 30 AS INTEGER) AS DATE) END AS nameendt FROM part),
+asked AS (SELECT o_orderkey AS deal_id, CASE WHEN o_orderkey % 3 <> 0 THEN 't' || ((p_partkey + o_orderkey % 2) // 3) END AS ticker, CAST(o_orderdate AS DATE) AS as_of,
+  CASE o_orderkey % 5 WHEN 0 THEN p_name || ' ' || p_brand || ' (' || p_size || ') Corp' WHEN 1 THEN p_size || ' ' || p_name WHEN 2 THEN p_name WHEN 3 THEN p_brand || ' ' || p_size || ' ' || p_name END AS target_name FROM orders LEFT JOIN part ON o_custkey = p_partkey)"""
+_PLAIN = lambda x: f"trim(regexp_replace(upper(coalesce({x}, '')), '[^A-Z0-9]+', ' ', 'g'))"
+
+
+@query(f"""WITH {_HISTORY},
+h AS (SELECT *, {_PLAIN('comnam')} AS name, coalesce(namedt, DATE '0001-01-01') AS s, coalesce(nameendt, DATE '9999-12-31') AS e FROM history), a AS (SELECT deal_id, upper(coalesce(ticker, '')) AS ticker, {_PLAIN('target_name')} AS want, as_of FROM asked),
+w AS (SELECT want, {_tokens('want')} AS x FROM (SELECT DISTINCT want FROM a)), n AS (SELECT name, {_tokens('name')} AS y FROM (SELECT DISTINCT name FROM h)),
+by_words AS (SELECT want, name FROM w JOIN n ON len(x) > 0 AND len(list_filter(x, lambda v: NOT list_contains(y, v))) = 0),
+hits AS (SELECT deal_id, CASE WHEN want <> '' AND contains(name, want) THEN 0 ELSE 1 END AS kind, as_of BETWEEN s AND e AS dated, permno, permco, namedt, nameendt FROM a JOIN h ON a.ticker <> '' AND a.ticker = h.ticker
+  UNION ALL SELECT deal_id, 2, as_of BETWEEN s AND e, permno, permco, namedt, nameendt FROM a JOIN h ON want <> '' AND want = name
+  UNION ALL SELECT deal_id, 3, as_of BETWEEN s AND e, permno, permco, namedt, nameendt FROM a JOIN by_words USING (want) JOIN h USING (name)),
+pool AS (SELECT h.* FROM hits h JOIN (SELECT deal_id, bool_or(dated) AS any_dated FROM hits GROUP BY 1) USING (deal_id) WHERE dated OR NOT any_dated),
+step AS (SELECT deal_id, min(kind) AS kind FROM pool GROUP BY 1),
+g AS (SELECT deal_id, kind, bool_or(dated) AS dated, min(permno) AS lo, max(permno) AS hi, arg_min(permco, (coalesce(namedt, DATE '0001-01-01'), coalesce(nameendt, DATE '0001-01-01'), permco)) AS permco, min(coalesce(namedt, DATE '0001-01-01')) AS d FROM pool JOIN step USING (deal_id, kind) GROUP BY 1, 2)
+SELECT deal_id, CASE WHEN lo IS NULL THEN 'CRSP_NO_SECURITY_MATCH' WHEN lo = hi THEN 'MATCHED' ELSE 'DEFER_CRSP_IDENTITY_AMBIGUOUS' END AS status,
+  CASE WHEN lo IS NULL THEN 'CRSP_NO_SECURITY_MATCH' WHEN lo <> hi THEN 'DEFER_CRSP_IDENTITY_AMBIGUOUS' WHEN kind = 0 THEN 'ticker+name+asof' WHEN kind = 1 AND dated THEN 'ticker+asof' WHEN kind = 1 THEN 'ticker_only' WHEN kind = 2 THEN 'exact_name+asof' ELSE 'name_words+asof' END AS mapping_method,
+  CASE WHEN lo = hi THEN lo END AS permno, CASE WHEN lo = hi THEN permco END AS permco, CASE WHEN lo = hi THEN nullif(d, DATE '0001-01-01') END AS effective_start,
+  CASE WHEN lo IS NULL THEN NULL WHEN lo = hi AND kind = 0 THEN 'high' WHEN lo = hi AND (kind = 2 OR kind = 1 AND dated) THEN 'medium' ELSE 'low' END AS confidence
+FROM a LEFT JOIN g USING (deal_id)""")
+def security_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Securities out of a whole name history, for deals with a ticker, a name, both or neither."""
+    part, orders = c.table(spark, d, "part"), c.table(spark, d, "orders")
+    history = part.selectExpr(
+        "p_partkey div 2 as permno", "p_partkey div 4 as permco", "if(p_partkey % 11 <> 0, concat('T', p_partkey div 3), null) as ticker", "concat(p_name, ' ', p_brand, ', ', p_size, ' Corp.') as comnam", "cast(null as string) as ncusip", "cast(null as int) as exchcd",
+        "if(p_partkey % 5 <> 0, date_add(date'1993-01-01', int(p_partkey % 1500)), null) as namedt", "if(p_partkey % 7 <> 0, date_add(date'1994-01-01', int(p_partkey % 1500 + p_size * 30)), null) as nameendt",
+    )
+    name = "case o_orderkey % 5 when 0 then concat(p_name, ' ', p_brand, ' (', p_size, ') Corp') when 1 then concat(p_size, ' ', p_name) when 2 then p_name when 3 then concat(p_brand, ' ', p_size, ' ', p_name) end"
+    asked = orders.join(part, F.col("o_custkey") == F.col("p_partkey"), "left").selectExpr("o_orderkey as deal_id", "if(o_orderkey % 3 <> 0, concat('t', (p_partkey + o_orderkey % 2) div 3), null) as ticker", f"{name} as target_name", "to_date(o_orderdate) as as_of")
+    return securities.resolve(asked, history, by_words=True).drop("effective_end")
+
+
 @query("""SELECT c_custkey AS deal_id, coalesce(CASE WHEN c_custkey % 5 = 0 THEN 'R' || c_custkey END, CASE WHEN c_custkey % 3 = 0 THEN 'M' || c_custkey END, CASE WHEN c_custkey % 2 = 0 THEN 'ABC' END) AS ticker,
   CASE WHEN c_custkey % 5 = 0 THEN 'reviewed_sec_mapping' WHEN c_custkey % 3 = 0 THEN 'sec_company_tickers' WHEN c_custkey % 2 = 0 THEN 'id_convention' ELSE 'unresolved' END AS identity_basis FROM customer""")
 def identity_resolution(spark: SparkSession, d: str) -> DataFrame:
