@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.config import HOLIDAYS_2026
 from tidemark.functions import dates, text
 from tidemark.plans import carriers as c
 from tidemark.plans.carriers import with_views
 from tidemark.plans.registry import query
-from tidemark.sources import readers, sinks
+from tidemark.sources import formulas, readers, sinks
 
 
 @query(with_views("prices", "SELECT series_id, obs_date, CASE WHEN day(obs_date) % 7 <> 0 THEN CAST(round(close * 100) AS BIGINT) / 100.0::DOUBLE END AS value FROM prices"))
@@ -272,3 +273,34 @@ def deal_universe(spark: SparkSession, d: str) -> DataFrame:
 def exposure_link_reader(spark: SparkSession, d: str) -> DataFrame:
     lines = c.table(spark, d, "documents").selectExpr("doc_id", """if(doc_id % 4 = 3, ' ', concat('{"event_id":"E', doc_id, '","deal_id":"D"', if(doc_id % 3 = 0, ',"score":1', ''), '}')) as line""")
     return readers.exposure_links_of(lines).select("doc_id", "event_id", "unknown_fields")
+
+
+_LOG = """log AS (SELECT o_custkey AS k, 2 + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, o_orderkey % 97 = 5 AS bad, CASE WHEN o_orderkey % 6 <> 0 THEN round(o_totalprice) END AS price FROM orders),
+m AS (SELECT *, avg(price) OVER (PARTITION BY k ORDER BY r ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS mean, lag(price) OVER (PARTITION BY k ORDER BY r) AS before, CASE WHEN price IS NOT NULL THEN count(price) OVER (PARTITION BY k ORDER BY r) END AS nth FROM log)"""
+
+
+@query(f"""WITH {_LOG}
+SELECT 'w' || k AS file, r AS "row", 2 AS col, round(mean, 4) AS expected, CASE WHEN mean IS NULL THEN 'n/d' END AS expected_text, CASE WHEN bad THEN 'wrong' ELSE 'ok' END AS status FROM m
+UNION ALL SELECT 'w' || k, r, 3, round(price / before - 1, 4), CASE WHEN price IS NULL OR before IS NULL THEN 'n/d' END, 'computed' FROM m
+UNION ALL SELECT 'w' || k, r, 4, round(CASE WHEN price IS NULL THEN 0 ELSE abs(price - mean) * nth / 2 END, 4), NULL, 'computed' FROM m""")
+def formula_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Logs with a moving mean (stored, some wrong), a change and a cell that reads another formula and a growing range (both not stored)."""
+    w = Window.partitionBy("k").orderBy("o_orderkey")
+    log = c.table(spark, d, "orders").withColumn("k", F.col("o_custkey")).withColumn("row", (F.row_number().over(w) + 2).cast("int")).withColumn("price", F.when(F.col("o_orderkey") % 6 != 0, F.round("o_totalprice")))
+    mean = F.avg("price").over(w.rowsBetween(-4, 0))
+    shown = F.when(F.col("o_orderkey") % 97 == 5, F.coalesce(mean, F.lit(0.0)) + 1).otherwise(mean)
+    log = log.withColumn("shown", shown)
+    first = F.greatest(F.col("row") - 4, F.lit(3))
+    window = F.concat(F.lit("A"), first, F.lit(":$A"), F.col("row"))
+    cell = lambda col, number, text, formula: F.struct(F.lit(col).alias("col"), text.alias("text"), number.alias("number"), formula.alias("formula"))
+    none = F.lit(None)
+    texts = lambda x: F.coalesce(x.cast("string"), F.lit("n/d"))
+    cells = F.array(
+        cell(1, F.col("price"), texts(F.col("price")), none.cast("string")),
+        cell(2, F.col("shown"), texts(F.col("shown")), F.concat(F.lit("=IF(COUNT("), window, F.lit(")>0,AVERAGE("), window, F.lit('),"n/d")'))),
+        cell(3, none.cast("double"), none.cast("string"), F.expr("""concat('IF(AND(ISNUMBER(A', row, '),ISNUMBER(A', row - 1, ')),A', row, '/A', row - 1, '-1,"n/d")')""")),
+        cell(4, none.cast("double"), none.cast("string"), F.expr("concat('IF(ISNUMBER(A', row, '),E', row, '*COUNT(A3:A', row, ')*50%,0)')")),
+        cell(5, none.cast("double"), none.cast("string"), F.concat(F.lit("IF(ISNUMBER(A"), F.col("row"), F.lit("),ABS(A"), F.col("row"), F.lit("-AVERAGE("), window, F.lit(")),0)"))),
+    )
+    sheets = log.select(F.concat(F.lit("w"), "k").alias("file"), F.lit("Log").alias("sheet"), "row", F.explode(cells).alias("c")).select("file", "sheet", "row", "c.*")
+    return formulas.gate(sheets).where("col < 5").select("file", "row", "col", F.round("expected", 4).alias("expected"), "expected_text", "status")
