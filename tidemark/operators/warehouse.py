@@ -42,6 +42,41 @@ def scd2(snapshots: DataFrame, key: str, at: str, attributes: Sequence[str]) ->
     return starts.select(key, *attributes, "hash_diff", F.col(at).alias("valid_from"), F.coalesce(following, F.lit(OPEN_END).cast(snapshots.schema[at].dataType)).alias("valid_to"), following.isNull().alias("is_current"))
 
 
+def scd2_seen(snapshots: DataFrame, key: str, at: str, attributes: Sequence[str]) -> DataFrame:
+    """``scd2`` with ``last_seen``, a key's last snapshot, on its current version; null on closed ones."""
+    return _seen(scd2(snapshots, key, at, attributes), snapshots.select(key, at), key, at)
+
+
+def _seen(versions: DataFrame, times: DataFrame, key: str, at: str) -> DataFrame:
+    last = times.groupBy(key).agg(F.max(at).alias("_last"))
+    return versions.join(last, key).withColumn("last_seen", F.when(F.col("is_current"), F.col("_last"))).drop("_last")
+
+
+def scd2_merged(versions: DataFrame, snapshots: DataFrame, key: str, at: str, attributes: Sequence[str]) -> DataFrame:
+    """``versions`` of ``scd2_seen`` after more snapshots: what ``scd2_seen`` makes of the old and the new ones together.
+
+    Only a key's current version and its new snapshots meet; versions that are closed pass by. Snapshots up to a key's
+    ``last_seen`` are left out, so a batch that is run again changes nothing; ``late_snapshots`` tells those that say
+    something else. Keys aren't null and have one snapshot a time.
+    """
+    current = versions.where("is_current")
+    seen = current.select(key, F.col("last_seen").alias("_seen"))
+    later = snapshots.join(seen, key, "left").where(F.col("_seen").isNull() | (F.col(at) > F.col("_seen"))).select(key, at, *attributes)
+    fresh = scd2(current.select(key, F.col("valid_from").alias(at), *attributes).unionByName(later), key, at, attributes)
+    times = current.select(key, F.col("last_seen").alias(at)).unionByName(later.select(key, at))
+    return versions.where("not is_current").unionByName(_seen(fresh, times, key, at))
+
+
+def late_snapshots(versions: DataFrame, snapshots: DataFrame, key: str, at: str, attributes: Sequence[str]) -> DataFrame:
+    """Snapshots not after their key's ``last_seen`` that differ from the version of their time, or precede them all."""
+    seen = versions.where("is_current").select(key, F.col("last_seen").alias("_seen"))
+    text = [F.coalesce(F.col(a).cast("string"), F.lit("__NULL__")) for a in attributes]
+    old = snapshots.join(seen, key).where(F.col(at) <= F.col("_seen")).withColumn("hash_diff", F.md5(F.concat_ws("|", *text)))
+    known = versions.select(F.col(key).alias("_k"), F.col("hash_diff").alias("_h"), "valid_from", "valid_to")
+    same = (F.col(key) == F.col("_k")) & (F.col("hash_diff") == F.col("_h")) & (F.col(at) >= F.col("valid_from")) & (F.col(at) < F.col("valid_to"))
+    return old.join(known, same, "left_anti").select(*snapshots.columns)
+
+
 def incremental_append(existing: DataFrame, batch: DataFrame, key: Sequence[str], tie: str) -> DataFrame:
     """What a batch adds: the first row of each key that isn't there yet."""
     w = Window.partitionBy(*key).orderBy(tie)

@@ -40,6 +40,17 @@ def scd2_satellite(spark: SparkSession, d: str) -> DataFrame:
     return w.scd2(e, "deal_id", "day", ["status"])
 
 
+@query(f"""WITH snap AS ({_SNAP}), h AS (SELECT *, md5(coalesce(status, '__NULL__')) AS hash_diff FROM snap), z AS (SELECT deal_id, max(day) AS last FROM snap GROUP BY 1),
+s AS (SELECT * FROM (SELECT *, lag(hash_diff) OVER (PARTITION BY deal_id ORDER BY day) AS before FROM h) WHERE before IS NULL OR before <> hash_diff),
+v AS (SELECT deal_id, status, hash_diff, day AS valid_from, coalesce(lead(day) OVER k, DATE '9999-12-31') AS valid_to, lead(day) OVER k IS NULL AS is_current FROM s WINDOW k AS (PARTITION BY deal_id ORDER BY day))
+SELECT v.*, CASE WHEN is_current THEN last END AS last_seen FROM v JOIN z USING (deal_id)""")
+def scd2_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Versions of the first half of the days, after a batch that has all days again."""
+    e = c.table(spark, d, "events").groupBy(F.col("user_id").alias("deal_id"), F.to_date("ts").alias("day")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"))
+    old = w.scd2_seen(e.where("day < date'2024-01-15'"), "deal_id", "day", ["status"])
+    return w.scd2_merged(old, e, "deal_id", "day", ["status"])
+
+
 @query("""WITH old AS (SELECT DISTINCT event_type AS series_id, CAST(ts AS DATE) AS obs_date FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00'),
 b AS (SELECT event_type AS series_id, CAST(ts AS DATE) AS obs_date, event_id, value, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY event_id) AS k FROM events WHERE ts >= TIMESTAMP '2024-01-13 00:00:00')
 SELECT b.series_id, b.obs_date, event_id, value FROM b WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM old WHERE old.series_id = b.series_id AND old.obs_date = b.obs_date)""")
