@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import audit as a
-from tidemark.operators import evaluation, securities
+from tidemark.operators import coverage, evaluation, securities
 from tidemark.plans import carriers as c
 from tidemark.plans.carriers import with_views
 from tidemark.plans.registry import query
@@ -135,6 +135,46 @@ def retry_plan(spark: SparkSession, d: str) -> DataFrame:
     return a.retry_plan(c.coverage_rows(spark, d))
 
 
+_CACHED = """s_suppkey AS deal_id, CASE WHEN s_suppkey % 5 = 0 THEN 0 WHEN s_suppkey % 5 = 4 THEN NULL ELSE s_suppkey % 3 END AS tiingo_n, CASE WHEN s_suppkey % 7 < 3 THEN 0 ELSE s_suppkey % 4 END AS yahoo_n,
+CASE WHEN s_suppkey % 6 = 3 THEN 'TRANSIENT_FAILURE' WHEN s_suppkey % 6 = 4 THEN 'PROVIDER_ERROR' WHEN s_suppkey % 6 = 5 THEN NULL ELSE 'AVAILABLE' END AS tiingo_status, CASE WHEN s_suppkey % 11 = 2 THEN 'TRANSIENT_FAILURE' ELSE 'NO_HISTORY' END AS yahoo_status,
+CASE WHEN s_suppkey % 2 = 0 THEN 2 WHEN s_suppkey % 3 = 0 THEN 1 END AS row_schema_version, s_suppkey % 4 AS overlap_sessions, CASE WHEN s_suppkey % 9 <> 4 THEN s_suppkey % 4 END AS exact_matches, CASE WHEN s_suppkey % 8 <> 5 THEN 0 END AS tolerable_matches,
+CASE WHEN s_suppkey % 13 = 3 THEN 1 WHEN s_suppkey % 10 <> 7 THEN 0 END AS material_conflicts, 'ADMITTED' AS canonical_status, CASE WHEN s_suppkey % 19 <> 1 THEN 'A' END AS identity_proofs, 'rule' AS reconcile_rule, s_suppkey % 3 = 0 AS tiingo_identity_verified"""
+_PRINTS = """event_id, CASE WHEN event_id % 23 <> 0 THEN user_id END AS deal_id, CASE WHEN event_id % 17 = 3 THEN -value WHEN event_id % 19 <> 4 THEN value + 1 END AS target_price, CASE WHEN event_id % 29 <> 6 THEN date_trunc('HOUR', ts) END AS observed_at,
+CASE WHEN event_id % 31 = 7 THEN '' ELSE event_type END AS source_name, event_type AS source_identifier, CASE WHEN event_id % 13 <> 5 THEN ts END AS known_at"""
+
+
+@query(f"""WITH r AS (SELECT {_CACHED} FROM supplier),
+f AS (SELECT *, coalesce(tiingo_n, 0) <= 0 AND coalesce(yahoo_n, 0) <= 0 AND (coalesce(tiingo_status, '') IN ('TRANSIENT_FAILURE', 'PROVIDER_ERROR', 'CREDENTIALS_REQUIRED') OR yahoo_status IN ('TRANSIENT_FAILURE', 'PROVIDER_ERROR', 'CREDENTIALS_REQUIRED')) AS infra FROM r),
+k AS (SELECT *, infra OR coalesce(tiingo_status, '') = 'TRANSIENT_FAILURE' AS failed, coalesce(row_schema_version = 2 AND NOT infra AND coalesce(tiingo_status, '') <> 'TRANSIENT_FAILURE' AND yahoo_status <> 'TRANSIENT_FAILURE' AND identity_proofs IS NOT NULL AND exact_matches + tolerable_matches + material_conflicts = overlap_sessions, false) AS ok,
+  (exact_matches IS NULL OR tolerable_matches IS NULL) AS unclassified FROM f),
+z AS (SELECT *, unclassified AND overlap_sessions = 0 AND NOT ok AND NOT failed AS zeroed FROM k),
+m AS (SELECT *, CASE WHEN zeroed THEN 0 ELSE exact_matches END AS e, CASE WHEN zeroed THEN 0 ELSE tolerable_matches END AS t, CASE WHEN zeroed THEN coalesce(material_conflicts, 0) ELSE material_conflicts END AS c FROM z),
+d AS (SELECT *, CASE WHEN ok THEN 'reuse' WHEN failed THEN 'infrastructure' WHEN unclassified AND overlap_sessions <> 0 THEN 'unclassified_overlap' WHEN c IS NULL THEN 'missing_material_conflicts' WHEN identity_proofs IS NULL THEN 'missing_identity_proofs'
+  WHEN e + t + c <> overlap_sessions THEN 'overlap_mismatch' WHEN yahoo_status = 'TRANSIENT_FAILURE' THEN 'not_reusable' ELSE 'migrated' END AS cache FROM m)
+SELECT deal_id, cache, e AS exact_matches, t AS tolerable_matches, c AS material_conflicts, CASE WHEN cache = 'migrated' THEN 2 ELSE row_schema_version END AS row_schema_version,
+  CASE WHEN cache <> 'migrated' THEN NULL WHEN zeroed THEN 'zero_overlap_classifications_are_identically_zero' ELSE 'stamped_row_schema_version_from_complete_fields' END AS row_migration,
+  CASE WHEN coalesce(tiingo_status, '') <> 'TRANSIENT_FAILURE' THEN 'accept' WHEN deal_id % 5 >= 3 THEN 'unresolved' WHEN deal_id % 2 = 0 THEN 'hourly_wait' ELSE 'bounded_retry' END AS next FROM d""")
+def cache_migration(spark: SparkSession, d: str) -> DataFrame:
+    """Cached coverage rows of several ages: reused, brought to the present schema, or fetched again; and what follows a failure."""
+    rows = coverage.cached_rows(c.table(spark, d, "supplier").selectExpr(f"inline(array(struct({_CACHED})))"))
+    after = coverage.retry_decision(F.col("tiingo_status"), F.col("deal_id") % 2 == 0, F.col("deal_id") % 5)
+    return rows.select("deal_id", "cache", "exact_matches", "tolerable_matches", "material_conflicts", "row_schema_version", "row_migration", after.alias("next"))
+
+
+@query(f"""WITH p AS (SELECT {_PRINTS} FROM events), k AS (SELECT c_custkey AS deal_id FROM customer WHERE c_custkey % 7 <> 2),
+q AS (SELECT *, array_to_string(list_filter([CASE WHEN deal_id IS NULL THEN 'missing deal_id' END, CASE WHEN target_price IS NULL OR target_price <= 0 THEN 'target_price must be a positive float' END, CASE WHEN observed_at IS NULL THEN 'missing observation_timestamp' END,
+  CASE WHEN source_name = '' THEN 'missing source' END, CASE WHEN known_at IS NULL THEN 'known_at missing (never inferred for historical prints)' END], lambda x: x IS NOT NULL), '; ') AS own FROM p),
+o AS (SELECT *, CASE WHEN own = '' AND deal_id NOT IN (SELECT deal_id FROM k) THEN 'orphan deal_id ' || deal_id ELSE own END AS problems FROM q),
+s AS (SELECT DISTINCT deal_id, observed_at, source_name FROM p WHERE event_id % 10 = 0),
+g AS (SELECT *, row_number() OVER (PARTITION BY deal_id, observed_at, source_name, problems = '' ORDER BY event_id) AS n, EXISTS (SELECT 1 FROM s WHERE s.deal_id = o.deal_id AND s.observed_at = o.observed_at AND s.source_name = o.source_name) AS had FROM o)
+SELECT event_id, problems, CASE WHEN problems <> '' THEN 'quarantined' WHEN n = 1 AND NOT had THEN 'accepted' ELSE 'duplicate' END AS outcome FROM g""")
+def print_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Target prints taken in: quarantined, orphans, duplicates of the store or the batch, or accepted."""
+    prints = c.table(spark, d, "events").selectExpr(f"inline(array(struct({_PRINTS})))")
+    deals = c.table(spark, d, "customer").where("c_custkey % 7 <> 2").selectExpr("c_custkey as deal_id")
+    return coverage.ingested_prints(prints, deals, prints.where("event_id % 10 = 0"), "event_id").select("event_id", "problems", "outcome")
+
+
 _BOTH = "both_ AS (SELECT geography, label, p_break AS pa, CASE WHEN deal_id % 4 <> 0 THEN least(1.0::DOUBLE, p_break * 0.5::DOUBLE + (deal_id % 10) / 20.0::DOUBLE) END AS pb FROM resolved), b AS (SELECT * FROM both_ WHERE pa IS NOT NULL AND pb IS NOT NULL)"
 
 
