@@ -82,3 +82,28 @@ def test_a_written_workbook_passes_its_gate(spark, tmp_path):
     path = str(tmp_path / "report.xlsx")
     workbook.write_workbook(path, {"Deals": df}, {"Deals": {"spread": "{offer} - {price}"}})
     assert {r["status"] for r in formulas.gate(workbook.cells(spark, path)).collect()} == {"ok"}
+
+
+def test_repeated_formulas_and_places_without_a_row(spark):
+    cells = sheet(spark, ("A1", 1.0, None), ("A2", 2.0, None), ("B1", 3.0, "SUM(A1:A2)"), ("B1", 3.0, "SUM(A1:A2)"), ("C1", None, "A1+1"))
+    odd = spark.createDataFrame([("f", "S", None, 1, "5", 5.0, None), ("f", "S", None, 2, None, None, "A1*10"), (None, "S", 1, 3, None, None, "A1*10"), ("f", None, 1, 4, "x", None, "2+2")], workbook.CELLS)
+    got = sorted((r["col"], r["row"] or 0, r["status"], r["expected"]) for r in formulas.gate(cells.unionByName(odd)).collect())
+    assert got == [(2, 0, "computed", 10.0), (2, 1, "ok", 3.0), (2, 1, "ok", 3.0), (3, 1, "computed", 0.0), (3, 1, "computed", 2.0), (4, 1, "wrong", 4.0)]
+
+
+def test_a_chain_takes_a_round_a_step(spark, monkeypatch):
+    monkeypatch.setattr(formulas, "COLLAPSE", 2)
+    cells = sheet(spark, ("A1", 1.0, None), *[(f"A{i}", None, f"A{i - 1}*2") for i in range(2, 7)], ("B1", None, "SUM(A:A)"))
+    got = {(r["col"], r["row"]): (r["status"], r["expected"]) for r in formulas.gate(cells).collect()}
+    assert got == {(1, i): ("computed", 2.0 ** (i - 1)) for i in range(2, 7)} | {(2, 1): ("computed", 63.0)}
+
+
+def test_pieces_of_a_point_and_levels_asked(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.intervals import around, level_of, pieces
+
+    rows = spark.createDataFrame([(a, b) for a in range(1, 20) for b in range(a, 20)], "a int, b int").withColumn("p", pieces(F.col("a"), F.col("b")))
+    held = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(21)))).withColumn("own", around(F.col("x"), F.array_distinct(F.transform("p", level_of))))
+    shared = F.size(F.array_intersect("p", "own"))
+    assert held.where(shared != F.when(F.col("x").between(F.col("a"), F.col("b")), 1).otherwise(0)).count() == 0

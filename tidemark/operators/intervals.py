@@ -25,13 +25,22 @@ def pieces(first: Column, last: Column) -> Column:
             F.when((left < right) & (right % 2 == 1), _piece(level, right - 1)),
         )
 
-    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at)))
+    many = F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at)))
+    return F.when(first == last, F.array(_piece(F.lit(0), low))).otherwise(many)
 
 
-def around(point: Column) -> Column:
-    """The pieces that hold a point, one a level: an interval holds it just if one of these is among its pieces, and then just one is."""
+def level_of(piece: Column) -> Column:
+    return F.shiftright(piece, LEVELS + 1).cast("int")
+
+
+def around(point: Column, levels: Column | None = None) -> Column:
+    """The pieces that hold a point, one a level: an interval holds it just if one of these is among its pieces, and then just one is.
+
+    ``levels`` are those that any interval's pieces have, where that is known; pieces of others meet nothing.
+    """
     place = point.cast("long")
-    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda level: _piece(level, F.floor(place / F.pow(F.lit(2.0), level)).cast("long")))
+    levels = F.sequence(F.lit(0), F.lit(LEVELS)) if levels is None else levels
+    return F.transform(levels, lambda level: _piece(level, F.floor(place / F.pow(F.lit(2.0), level)).cast("long")))
 
 
 def day_number(day: Column) -> Column:

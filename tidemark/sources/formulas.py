@@ -9,12 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.intervals import around, pieces
+from tidemark.operators.intervals import around, level_of, pieces
 from tidemark.sources.workbook import column_number
 from tidemark.storage import checkpointed
 
 AT = ["file", "sheet", "row", "col"]
 LAST_ROW = 1 << 20
+#: Rows of a column are dealt out to so many places.
+SALTS = 16
+#: After so many rounds what they found is written as one table.
+COLLAPSE = 16
 #: What a formula reads is summed up as: numbers, their sum, least and greatest, cells with anything, a cell's text.
 READ = "k int, n long, total double, least double, most double, filled long, text string"
 REFS = "array<struct<k: int, sheet: string, c1: int, r1: int, c2: int, r2: int>>"
@@ -244,22 +248,26 @@ def read_by(formulas: DataFrame) -> DataFrame:
 def with_inputs(asked: DataFrame, cells: DataFrame) -> DataFrame:
     """``asked`` with what its places hold, and how many of their cells have no value yet (``waits``).
 
-    A place is the dyadic pieces of its rows, a column each; cells are summed up by piece. So a formula over a million rows
-    reads a few pieces, and formulas never meet cells by an inequality.
+    A place is the dyadic pieces of its rows, a column each; cells are summed up by piece, at the levels only that some
+    formula asks of their column. So a formula over a million rows reads a few pieces, columns that nobody reads take no
+    part, and formulas never meet cells by an inequality. A long column meets its levels in ``SALTS`` places.
     """
-    places = asked.select(*AT, F.explode("refs").alias("r")).select(*AT, "r.k", F.coalesce("r.sheet", "sheet").alias("on"), "r.r1", "r.r2", F.explode(F.sequence("r.c1", "r.c2")).alias("c"))
-    wide = places.select(*AT, "k", "on", "c", F.explode(pieces(F.col("r1"), F.col("r2"))).alias("piece"))
-    own = cells.select("file", F.col("sheet").alias("on"), F.col("col").alias("c"), F.explode(around(F.col("row"))).alias("piece"), "number", "text", "open")
-    held = own.groupBy("file", "on", "c", "piece").agg(
+    places = asked.select("id", "file", "sheet", F.explode("refs").alias("r")).select("id", "file", "r.k", F.coalesce("r.sheet", "sheet").alias("on"), "r.r1", "r.r2", F.explode(F.sequence("r.c1", "r.c2")).alias("c"))
+    wide = places.select("id", "file", "k", "on", "c", F.explode(pieces(F.col("r1"), F.col("r2"))).alias("piece"))
+    column = ["file", "on", "c"]
+    levels = wide.groupBy(*column).agg(F.collect_set(level_of(F.col("piece"))).alias("levels")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = cells.select("file", F.col("sheet").alias("on"), F.col("col").alias("c"), "row", F.pmod("row", F.lit(SALTS)).alias("salt"), "number", "text", "open")
+    own = named.join(levels, [*column, "salt"]).select(*column, F.explode(around(F.col("row"), F.col("levels"))).alias("piece"), "number", "text", "open")
+    held = own.groupBy(*column, "piece").agg(
         F.count("number").alias("n"), F.sum("number").alias("total"), F.min("number").alias("least"), F.max("number").alias("most"),
         F.count("text").alias("filled"), F.max(F.when(F.col("number").isNull(), F.col("text"))).alias("text"), F.count_if("open").alias("open"),
     )
-    met = wide.join(held, ["file", "on", "c", "piece"], "left").groupBy(*AT, "k").agg(
+    met = wide.join(held, [*column, "piece"], "left").groupBy("id", "k").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"),
         F.coalesce(F.sum("filled"), F.lit(0)).alias("filled"), F.max("text").alias("text"), F.coalesce(F.sum("open"), F.lit(0)).alias("open"),
     )
-    by_formula = met.groupBy(*AT).agg(F.array_sort(F.collect_list(F.struct(*[x.split()[0] for x in READ.split(", ")]))).alias("read"), F.sum("open").alias("waits"))
-    return asked.join(by_formula, AT, "left").withColumn("waits", F.coalesce("waits", F.lit(0)))
+    by_formula = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*[x.split()[0] for x in READ.split(", ")]))).alias("read"), F.sum("open").alias("waits"))
+    return asked.join(by_formula, "id", "left").withColumn("waits", F.coalesce("waits", F.lit(0)))
 
 
 def evaluated(rows: DataFrame) -> DataFrame:
@@ -293,20 +301,29 @@ def gate(sheets: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     chain of them, and take part as what they give. Status: ``ok``, ``wrong`` (by more than ``tolerance``, relative or
     absolute), ``computed`` (no stored value), ``error`` (gives an error that isn't stored), ``unsettled`` (reads a cell
     that has no value as it is unreadable, or in a circle), ``unreadable`` (``problem`` says why; also empty formulas).
-    Blank cells count as zero, texts in arithmetic are ``#VALUE!``. A cell given twice is summed twice; null rows or
-    columns can't be read.
+    Blank cells count as zero, texts in arithmetic are ``#VALUE!``. A cell given twice is summed twice, a formula given
+    twice is checked twice; cells whose file, sheet, row or column is null can't be read. An empty table gives no rows.
     """
     formulas = sheets.where("formula is not null").select(*AT, "formula", "text", "number")
-    asked = checkpointed(read_by(formulas))
-    cells = sheets.select(*AT, "number", "text", (F.col("formula").isNotNull() & F.col("text").isNull()).alias("open"))
-    pending = asked.where("problem is null and text is null")
-    while not pending.isEmpty():
-        found = checkpointed(evaluated(with_inputs(pending, cells)).where("waits = 0").select(*AT, "expected", "expected_text"))
-        if found.isEmpty():
-            break
+    session = sheets.sparkSession
+    tasks = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    asked = checkpointed(read_by(formulas.repartition(tasks, *AT, "formula")).withColumn("id", F.monotonically_increasing_id()))
+    stored = sheets.where("formula is null or text is not null").select(*AT, "number", "text", F.lit(False).alias("open"))
+    none = lambda rows: rows.select(*AT, F.lit(None).cast("double").alias("number"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("open"))
+    settled = none(asked.where("text is null and problem is not null"))
+    pending = asked.where("text is null and problem is null")
+    rounds, more = 0, not pending.isEmpty()
+    if more:
+        stored = checkpointed(stored)
+    while more:
+        cells = stored.unionByName(settled).unionByName(none(pending))
+        found = checkpointed(evaluated(with_inputs(pending, cells)).where("waits = 0").select("id", *AT, "expected", "expected_text"))
         values = found.select(*AT, F.col("expected").alias("number"), F.coalesce(F.col("expected").cast("string"), "expected_text").alias("text"), F.lit(False).alias("open"))
-        cells = checkpointed(cells.join(found.select(*AT), AT, "left_anti").unionByName(values))
-        pending = pending.join(found.select(*AT), AT, "left_anti")
+        rounds += 1
+        settled = settled.unionByName(values) if rounds % COLLAPSE else checkpointed(settled.unionByName(values))
+        pending = checkpointed(pending.join(found.select("id"), "id", "left_anti"))
+        more = not (found.isEmpty() or pending.isEmpty())
+    cells = stored.unionByName(settled).unionByName(none(pending))
     out = evaluated(with_inputs(asked, cells))
     near = F.abs(F.col("number") - F.col("expected")) <= tolerance * F.greatest(F.lit(1.0), F.abs("number"), F.abs("expected"))
     same = F.coalesce(near, F.col("number").isNull() & F.col("expected").isNull() & (F.col("text") == F.col("expected_text")), F.lit(False))
