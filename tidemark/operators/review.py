@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +14,7 @@ from pyspark.sql.window import Window
 from tidemark.config import MIN_SAMPLE_N
 from tidemark.functions.finance import logit, sigmoid
 from tidemark.functions.text import url_host
+from tidemark.operators import isotonic
 
 #: Forms that a reviewer reads after the current reports.
 PROXY_FORMS = ("DEFM14A", "PREM14A", "S-4", "S-4/A", "SC TO-T", "SC 13E-3", "SC 13E3")
@@ -96,18 +96,16 @@ def ledger_violations(records: DataFrame) -> DataFrame:
 def calibrated(sample: DataFrame, rows: DataFrame, score: str = "p_break") -> DataFrame:
     """``rows`` with ``p_calibrated`` and ``method``, learnt on an earlier ``sample`` with ``label``.
 
-    Isotonic from 200 rows with 20 of each class (over the exact scores, weighted by their rows; Spark pools them by range,
-    then the blocks that are left of the ranges in one task), a logit of the logit from the minimum sample with 5 of each class,
-    else the score itself.
+    Isotonic from 200 rows with 20 of each class (``isotonic.fitted``), a logit of the logit from the minimum sample with 5
+    of each class, else the score itself. A null or NaN score has no calibrated one.
     """
-    known = sample.where(F.col(score).isNotNull() & F.col("label").isNotNull()).select(F.col(score).cast("double").alias("s"), F.col("label").cast("double").alias("label"))
+    known = sample.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col("label").isNotNull()).select(F.col(score).cast("double").alias("s"), F.col("label").cast("double").alias("label"))
     n, pos = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     fewest = min(pos, n - pos)
-    usable = rows.withColumn("s", F.col(score).cast("double"))
+    usable = rows.withColumn("s", F.when(~F.isnan(F.col(score).cast("double")), F.col(score).cast("double")))
     if n >= 200 and fewest >= 20:
-        bins = known.groupBy("s").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
-        model = IsotonicRegression(featuresCol="s", labelCol="label", weightCol="weight", predictionCol="p_iso").fit(bins)
-        out = model.transform(usable.where("s is not null")).withColumn("p_calibrated", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("p_iso")))).drop("p_iso")
+        fit = isotonic.predicted(isotonic.fitted(known, "s", "label"), usable.where("s is not null"), "s", "p_iso")
+        out = fit.withColumn("p_calibrated", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("p_iso")))).drop("p_iso")
         method = "isotonic"
     elif n >= MIN_SAMPLE_N and fewest >= 5:
         features = VectorAssembler(inputCols=["z"], outputCol="zv")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, finance, text
+from tidemark.operators import isotonic
 from tidemark.operators import review as r
 from tidemark.plans import carriers as c
 from tidemark.plans.carriers import with_views
@@ -130,6 +131,23 @@ def calibrated_scores(spark: SparkSession, d: str) -> DataFrame:
     return r.calibrated(sample, rows.where("announce_date >= date'1998-01-01'")).select("deal_id", "p_break", "p_calibrated", "method")
 
 
+_DUE = """p AS (SELECT s, sum(label) AS y, count(*) AS n FROM (SELECT date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS s, (o_orderkey * 7919 % 2406 < date_diff('day', DATE '1992-01-01', o_orderdate::DATE))::INT AS label FROM orders) GROUP BY s),
+c AS (SELECT s, y, n, row_number() OVER (ORDER BY s) AS k, sum(y) OVER (ORDER BY s) AS cy, sum(n) OVER (ORDER BY s) AS cn FROM p)"""
+
+
+@query(f"""WITH {_DUE},
+pairs AS (SELECT a.k AS a, b.k AS b, (b.cy - a.cy + a.y)::DOUBLE / (b.cn - a.cn + a.n)::DOUBLE AS mean FROM c a JOIN c b ON b.k >= a.k),
+low AS (SELECT a, b, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS mean FROM pairs),
+fit AS (SELECT b AS k, max(mean) AS fit FROM low GROUP BY b)
+SELECT s::DOUBLE AS s, n, fit FROM fit JOIN c USING (k)""")
+def isotonic_fit(spark: SparkSession, d: str) -> DataFrame:
+    """The rate of a flag that rises with the day of an order, fitted over all orders; the SQL takes the greatest least mean of all stretches of days."""
+    day = F.datediff("o_orderdate", F.lit("1992-01-01")).cast("double")
+    rows = c.table(spark, d, "orders").select(day.alias("s"), (F.col("o_orderkey") * 7919 % 2406 < day).cast("int").alias("label"))
+    days = rows.groupBy("s").agg(F.count("*").alias("n"))
+    return isotonic.predicted(isotonic.fitted(rows, "s", "label"), days, "s", "fit")
+
+
 _CHARTS = (("claim_type", "year"), ("source_type",), ("publisher", "stance"))
 
 
