@@ -60,8 +60,8 @@ def pick_resolution(timeline: DataFrame, months: int = 60) -> DataFrame:
 
     Only a close that stands last wins; a break after a close contradicts it and is deferred.
     """
-    late = F.months_between("event_date", "announce_date") <= months
-    rows = timeline.where((F.col("event_date") >= F.col("announce_date")) & late)
+    end = F.add_months("announce_date", months)  # the same day of that month, or its last: months_between would take the last for any later day
+    rows = timeline.where(F.col("event_date").between(F.col("announce_date"), end))
     last = F.max_by("kind", F.struct("event_date", "seq"))
     got = rows.groupBy("deal_id").agg(last.alias("last"), F.bool_or(F.col("kind") == "close").alias("c"), F.bool_or(F.col("kind") == "break").alias("b"), F.max("event_date").alias("event_date"))
     out = F.when(F.col("c") & F.col("b") & (F.col("last") == "break"), "deferred_contradictory").when(F.col("last") == "close", "closed").otherwise("broken")
