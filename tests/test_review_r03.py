@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import date
+import random
+from collections import Counter
+from datetime import date, timedelta
 
+from pyspark.sql import functions as F
+
+from tidemark.functions.text import names_agree
 from tidemark.operators import audit
 
 
@@ -13,3 +18,23 @@ def test_sixty_months_from_the_end_of_february_end_on_the_same_day(spark):
     timeline = spark.createDataFrame(rows, "deal_id string, announce_date date, event_date date, seq int, kind string")
     got = sorted(map(tuple, audit.pick_resolution(timeline).collect()))
     assert got == [("a", "closed", date(2000, 2, 28)), ("b", "closed", date(2001, 2, 28))]
+
+
+def test_identifiers_agree_with_a_pairwise_search_and_pair_nothing(spark):
+    rng = random.Random(4)
+    day = lambda: date(2000, 1, 1) + timedelta(rng.randrange(60))
+    names = ["Acme Steel Inc", "ACME Holdings", "Borea", "", None]
+    history = [(rng.choice(["A", "B", None]), rng.choice([1, 2, 3, None]), rng.choice([None, day()]), rng.choice([None, day()]), rng.choice(names)) for _ in range(25)]
+    history += [("HOT", 9, date(2001, 1, 1) + timedelta(i), date(2001, 1, 1) + timedelta(i), "Acme Steel") for i in range(300)]
+    asked = [(i // 2 if i < 60 else i, rng.choice(["A", "B", "Z", None]), rng.choice([day(), day(), None]), rng.choice(names)) for i in range(200)]
+    asked += [(1000 + i, "HOT", date(2001, 1, 1) + timedelta(i), "acme steel corp") for i in range(300)]
+    a = spark.createDataFrame(asked, "deal_id int, ticker string, as_of date, asked_name string")
+    h = spark.createDataFrame(history, "ticker string, security int, valid_from date, valid_to date, issuer_name string")
+    covers = F.col("as_of").between(F.coalesce("valid_from", F.lit("0001-01-01").cast("date")), F.coalesce("valid_to", F.lit("9999-12-31").cast("date")))
+    pairs = a.join(h, "ticker").where(covers).groupBy("deal_id").agg(F.count_distinct("security").alias("n"), F.min("security").alias("s"), F.bool_or(names_agree(F.col("asked_name"), F.col("issuer_name"))).alias("ok"))
+    status = F.expr("case when n is null then 'UNRESOLVED' when n > 1 then 'AMBIGUOUS' when not ok then 'NAME_MISMATCH' else 'MATCHED' end")
+    expected = a.join(pairs, "deal_id", "left").select("deal_id", status.alias("status"), F.when(status == "MATCHED", F.col("s")))
+    found = audit.identifier_candidates(a, h)
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, expected.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "valid_from" not in plan and "valid_to" not in plan  # no join under a condition on days

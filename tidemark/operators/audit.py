@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.text import names_agree, short_hash
+from tidemark.operators.intervals import around, day_number, pieces
 from tidemark.operators.ordering import small
+from tidemark.storage import checkpointed
 
 
 def bias_audit(rows: DataFrame, dimensions: Sequence[str], covered: Column) -> DataFrame:
@@ -36,15 +38,27 @@ def prints_before_resolution(prints: DataFrame, deals: DataFrame, least: int = 3
 def identifier_candidates(asked: DataFrame, history: DataFrame) -> DataFrame:
     """Securities whose name history covers the asked day under the asked ticker, with open ends; unique, ambiguous or none.
 
-    The interval join is keyed by the ticker, so a row meets that ticker's history only.
+    Nothing pairs questions with a ticker's rows: the history is summed up to its least and greatest security per ticker and
+    dyadic piece of days, and a ticker's asked days, each once, meet the pieces around them. Names are compared only on
+    days with one security, whose own names are all that they meet.
     """
-    covers = F.col("as_of").between(F.coalesce("valid_from", F.lit("0001-01-01").cast("date")), F.coalesce("valid_to", F.lit("9999-12-31").cast("date")))
-    hits = asked.join(history, "ticker").where(covers).groupBy("deal_id").agg(
-        F.count_distinct("security").alias("n"), F.min("security").alias("security"), F.bool_or(names_agree(F.col("asked_name"), F.col("issuer_name"))).alias("name_agrees")
-    )
-    rows = asked.select("deal_id").join(hits, "deal_id", "left")
-    status = F.when(F.col("n").isNull(), "UNRESOLVED").when(F.col("n") > 1, "AMBIGUOUS").when(~F.col("name_agrees"), "NAME_MISMATCH").otherwise("MATCHED")
-    return rows.select("deal_id", status.alias("status"), F.when(status == "MATCHED", F.col("security")).alias("security"))
+    start, end = F.coalesce("valid_from", F.lit("0001-01-01").cast("date")), F.coalesce("valid_to", F.lit("9999-12-31").cast("date"))
+    extent = [F.min("low").alias("low"), F.max("high").alias("high")]
+    ranged = history.where(start <= end).select("ticker", "issuer_name", F.col("security").alias("low"), F.col("security").alias("high"), F.explode(pieces(day_number(start), day_number(end))).alias("piece"))
+    named = checkpointed(ranged.groupBy("ticker", "piece", "issuer_name").agg(*extent))
+    spans = named.groupBy("ticker", "piece").agg(*extent)
+    days = asked.where("ticker is not null and as_of is not null").select("ticker", "as_of").distinct()
+    around_days = days.select("ticker", "as_of", F.explode(around(day_number(F.col("as_of")))).alias("piece"))
+    on_day = checkpointed(around_days.join(spans, ["ticker", "piece"]).groupBy("ticker", "as_of").agg(*extent))
+    single = on_day.where("low <=> high").select("ticker", "as_of", F.explode(around(day_number(F.col("as_of")))).alias("piece"))
+    names = single.join(named, ["ticker", "piece"]).select("ticker", "as_of", "issuer_name").distinct()
+    rows = asked.select("deal_id", "ticker", "as_of", F.coalesce("asked_name", F.lit("")).alias("asked_name"))
+    agreed = rows.select("ticker", "as_of", "asked_name").distinct().join(names, ["ticker", "as_of"])
+    agreed = agreed.groupBy("ticker", "as_of", "asked_name").agg(F.bool_or(names_agree(F.col("asked_name"), F.col("issuer_name"))).alias("agrees"))
+    met = rows.join(on_day, ["ticker", "as_of"]).join(agreed, ["ticker", "as_of", "asked_name"], "left")
+    hits = met.groupBy("deal_id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("agrees").alias("agrees"), F.lit(True).alias("met"))
+    status = F.when(F.col("met").isNull(), "UNRESOLVED").when(F.col("low") < F.col("high"), "AMBIGUOUS").when(~F.col("agrees"), "NAME_MISMATCH").otherwise("MATCHED")
+    return asked.select("deal_id").join(hits, "deal_id", "left").select("deal_id", status.alias("status"), F.when(status == "MATCHED", F.col("low")).alias("security"))
 
 
 def identity_ladder(deals: DataFrame, reviewed: DataFrame, mapped: DataFrame) -> DataFrame:
