@@ -9,7 +9,7 @@ from datetime import date, timedelta
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import names_agree
-from tidemark.operators import audit
+from tidemark.operators import audit, model
 
 
 def test_sixty_months_from_the_end_of_february_end_on_the_same_day(spark):
@@ -38,3 +38,18 @@ def test_identifiers_agree_with_a_pairwise_search_and_pair_nothing(spark):
     assert Counter(map(tuple, found.collect())) == Counter(map(tuple, expected.collect()))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "valid_from" not in plan and "valid_to" not in plan  # no join under a condition on days
+
+
+def test_walk_forward_works_its_rows_out_once(spark):
+    """However many passes the fits take over them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    rows = spark.range(400).selectExpr("id", "date_add(date'2000-01-01', int(id)) as announce_date", "date_add(date'2000-01-01', int(id) + 5) as resolution_date", "cast(id % 3 = 0 as double) as label", "cast(pmod(hash(id), 50) as double) as gap")
+    scored = model.walk_forward(rows.mapInPandas(counted, rows.schema), ("gap",), ("2000-06-01", "2000-10-01", "2001-01-01"), spread="gap")
+    assert scored.count() == 214
+    assert seen.value == 400

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import MIN_CLASS_N, MIN_SAMPLE_N
 from tidemark.operators.pit import at_first_cutoff, until_next
+from tidemark.storage import checkpointed
 
 
 class InsufficientData(ValueError):
@@ -139,8 +140,10 @@ def walk_forward(rows: DataFrame, features: Sequence[str], cutoffs: Sequence[str
     share of breaks among the training rows, and a model of the spread alone if its column is named.
 
     A window that can't be fitted gives no scores; ``walk_forward_status`` says why. The few cut-offs are a driver loop;
-    every fit and score is a Spark job over all rows of its window.
+    every fit and score is a Spark job over all rows of its window. ``rows`` are worked out once and written to the shared
+    folder, as a fit reads them dozens of times.
     """
+    rows = checkpointed(rows)
     out = rows.limit(0).select("*", *[F.lit(None).cast("double").alias(c) for c in ("p_model", "p_constant", *(("p_spread",) if spread else ()))], F.lit(None).cast("date").alias("train_cutoff"))
     for start, end in windows(cutoffs):
         train, test = split(rows, start, end)
