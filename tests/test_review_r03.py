@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import names_agree
 from tidemark.operators import audit, model
+from tidemark.sources import formulas
 
 
 def test_sixty_months_from_the_end_of_february_end_on_the_same_day(spark):
@@ -53,3 +54,24 @@ def test_walk_forward_works_its_rows_out_once(spark):
     scored = model.walk_forward(rows.mapInPandas(counted, rows.schema), ("gap",), ("2000-06-01", "2000-10-01", "2001-01-01"), spread="gap")
     assert scored.count() == 214
     assert seen.value == 400
+
+
+def test_formulas_of_one_kind_are_parsed_once(monkeypatch):
+    calls = []
+    own = formulas.parsed
+    monkeypatch.setattr(formulas, "parsed", lambda f: calls.append(f) or own(f))
+    formulas.kind.cache_clear()
+    for i in range(5, 500):
+        f = f'IF(COUNT(A{i - 4}:$A{i})>10,AVERAGE(A{i - 4}:$A{i}),Log2!B{i}&"A7")'
+        assert formulas.read_once(f) == own(f)
+    assert len(calls) == 1
+    for f in ("A5:A3+A5+A10", "A1:A1048576+B:B", "ROUND(A12,12)+1.5", "12+A9*2", "A0", "A1+A٢", "1 A55", "LOG10(A3)", "'S 2'!A7:B9", "=A3", "A10:A9+A9"):
+        try:
+            expected = own(f)
+        except formulas.Unreadable as e:
+            expected = str(e)
+        try:
+            got = formulas.read_once(f)
+        except formulas.Unreadable as e:
+            got = str(e)
+        assert got == expected, f

@@ -25,7 +25,8 @@ def pieces(first: Column, last: Column) -> Column:
             F.when((left < right) & (right % 2 == 1), _piece(level, right - 1)),
         )
 
-    many = F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at)))
+    top = F.floor(F.log2(F.greatest(high - low, F.lit(1)))).cast("int") + 1  # larger pieces don't fit in
+    many = F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.least(top, F.lit(LEVELS))), at)))
     return F.when(first == last, F.array(_piece(F.lit(0), low))).otherwise(many)
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from tidemark.operators.intervals import around, level_of, pieces
 from tidemark.sources.workbook import column_number
@@ -15,13 +16,16 @@ from tidemark.storage import checkpointed
 
 AT = ["file", "sheet", "row", "col"]
 LAST_ROW = 1 << 20
+#: The rows of a place that names columns only.
+WHOLE = (1, LAST_ROW)
 #: Rows of a column are dealt out to so many places.
 SALTS = 16
 #: After so many rounds what they found is written as one table.
 COLLAPSE = 16
 #: What a formula reads is summed up as: numbers, their sum, least and greatest, cells with anything, a cell's text.
 READ = "k int, n long, total double, least double, most double, filled long, text string"
-REFS = "array<struct<k: int, sheet: string, c1: int, r1: int, c2: int, r2: int>>"
+PLACES = pa.struct([("refs", pa.list_(pa.struct([("k", pa.int32()), ("sheet", pa.string()), *[(n, pa.int32()) for n in ("c1", "r1", "c2", "r2")]]))), ("problem", pa.string())])
+VALUE = pa.struct([("number", pa.float64()), ("text", pa.string())])
 TOKEN = re.compile(
     r"""\s*(?:(?P<number>\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)(?![\w!])|(?P<text>"(?:[^"]|"")*")
     |(?P<ref>(?:(?:'(?:[^']|'')+'|[A-Za-z_][\w.]*)!)?(?:\$?[A-Z]{1,3}\$?\d+(?::\$?[A-Z]{1,3}\$?\d+)?|\$?[A-Z]{1,3}:\$?[A-Z]{1,3})(?![\w(]))
@@ -88,8 +92,9 @@ def parsed(formula: str) -> tuple[tuple, list[tuple]]:
         if kind == "text":
             return ("value", word[1:-1].replace('""', '"'))
         if kind == "ref":
-            refs.append(place(word))
-            return ("ref", len(refs) - 1)
+            if (where := place(word)) not in refs:
+                refs.append(where)
+            return ("ref", refs.index(where))
         if kind == "name" and word in ("TRUE", "FALSE") and tokens[-1] != ("op", "("):
             return ("value", word == "TRUE")
         if kind == "name":
@@ -115,6 +120,56 @@ def parsed(formula: str) -> tuple[tuple, list[tuple]]:
     return tree, refs
 
 
+#: Formulas that differ in the rows they name only are read once; so many kinds are kept.
+KINDS = 65_536
+DIGITS = re.compile("([0-9]+)")
+#: Of formulas by what stands around their digits, which of these are rows.
+shapes: dict[tuple[str, ...], list[int]] = {}
+
+
+def row_runs(formula: str) -> list[int] | None:
+    """Which runs of digits of a formula are rows of places; None if it can't be read."""
+    skipped = len(formula) - len(formula.removeprefix("="))
+    text, at, found = formula[skipped:].rstrip(), 0, []
+    starts = [m.start() - skipped for m in DIGITS.finditer(formula)]
+    while at < len(text):
+        m = TOKEN.match(text, at)
+        if not m:
+            return None
+        if m.lastgroup == "ref":
+            first = m.start("ref") + m["ref"].rfind("!") + 1
+            found += [i for i, start in enumerate(starts) if first <= start < m.end()]
+        at = m.end()
+    return found
+
+
+@lru_cache(KINDS)
+def kind(parts: tuple[str, ...]) -> tuple[tuple, list[tuple]]:
+    """As ``parsed``, for a formula's parts in which each row of a place is its number among those, from one."""
+    return parsed("".join(parts))
+
+
+def read_once(formula: str) -> tuple[tuple, list[tuple]]:
+    """As ``parsed``; formulas of one kind (other rows, all else equal) are parsed once."""
+    if not formula.isascii():  # other digits than these stand for numbers too
+        return parsed(formula)
+    parts = DIGITS.split(formula)
+    outside = tuple(parts[::2])
+    if (rows := shapes.get(outside)) is None:
+        if (rows := row_runs(formula)) is None or len(shapes) >= KINDS:
+            return parsed(formula)
+        shapes[outside] = rows
+    numbers = [int(parts[2 * i + 1]) for i in rows]
+    in_order = sorted(set(numbers))  # equal rows stay equal and ends of places in order
+    for i, n in zip(rows, numbers):
+        parts[2 * i + 1] = str(in_order.index(n) + 1)
+    try:
+        tree, refs = kind(tuple(parts))
+    except Unreadable:
+        return parsed(formula)  # the message names what stands there
+    return tree, [r if (r[2], r[4]) == WHOLE else (r[0], r[1], in_order[r[2] - 1], r[3], in_order[r[4] - 1]) for r in refs]
+
+
 def place(word: str) -> tuple:
     sheet, _, cells = word.rpartition("!")
     sheet = sheet[1:-1].replace("''", "'") if sheet.startswith("'") else sheet
@@ -229,20 +284,17 @@ FUNCTIONS = {
 def read_by(formulas: DataFrame) -> DataFrame:
     """``formulas`` (file, sheet, row, col, formula, ...) with the places each reads, and why it can't be read where that is so."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            places, problems = [], []
-            for f in part["formula"]:
-                try:
-                    refs, problem = parsed(f)[1], None
-                except (Unreadable, RecursionError) as e:
-                    refs, problem = [], f"unreadable: {e}"
-                places.append([dict(zip(("k", "sheet", "c1", "r1", "c2", "r2"), (k, *r))) for k, r in enumerate(refs)])
-                problems.append(problem)
-            yield part.assign(refs=places, problem=problems)
+    def run(texts: pa.Array) -> pa.Array:
+        rows = []
+        for f in texts.to_pylist():
+            try:
+                refs, problem = read_once(f)[1], None
+            except (Unreadable, RecursionError) as e:
+                refs, problem = [], f"unreadable: {e}"
+            rows.append({"refs": [dict(zip(("k", "sheet", "c1", "r1", "c2", "r2"), (k, *r))) for k, r in enumerate(refs)], "problem": problem})
+        return pa.array(rows, PLACES)
 
-    kind = ", ".join(f"`{n}` {t}" for n, t in formulas.dtypes)
-    return formulas.mapInPandas(run, f"{kind}, refs {REFS}, problem string")
+    return formulas.withColumn("found", F.arrow_udf(run, from_arrow_type(PLACES))("formula")).select(*formulas.columns, "found.refs", "found.problem")
 
 
 def with_inputs(asked: DataFrame, cells: DataFrame) -> DataFrame:
@@ -262,7 +314,7 @@ def with_inputs(asked: DataFrame, cells: DataFrame) -> DataFrame:
         F.count("number").alias("n"), F.sum("number").alias("total"), F.min("number").alias("least"), F.max("number").alias("most"),
         F.count("text").alias("filled"), F.max(F.when(F.col("number").isNull(), F.col("text"))).alias("text"), F.count_if("open").alias("open"),
     )
-    met = wide.join(held, [*column, "piece"], "left").groupBy("id", "k").agg(
+    met = wide.join(held, [*column, "piece"], "left").repartition("id").groupBy("id", "k").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"),
         F.coalesce(F.sum("filled"), F.lit(0)).alias("filled"), F.max("text").alias("text"), F.coalesce(F.sum("open"), F.lit(0)).alias("open"),
     )
@@ -273,31 +325,32 @@ def with_inputs(asked: DataFrame, cells: DataFrame) -> DataFrame:
 def evaluated(rows: DataFrame) -> DataFrame:
     """``rows`` of ``with_inputs`` with the value of each formula: a number, or a text (truths are 1 and 0, errors as they are written)."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            numbers, texts = [], []
-            for f, refs, read, problem, waits in zip(part["formula"], part["refs"], part["read"], part["problem"], part["waits"]):
-                value = None
-                if problem is None and not waits:
-                    try:
-                        value = worked_out(parsed(f)[0], [*read] if read is not None else [], [(r["c2"] - r["c1"] + 1) * (r["r2"] - r["r1"] + 1) for r in refs])
-                        value = 0.0 if value is None else value
-                    except Wrong as e:
-                        value = str(e)
-                plain = isinstance(value, (int, float)) and not isinstance(value, bool)
-                numbers.append(float(value) if plain else None)
-                texts.append(None if plain or value is None else str(int(value)) if isinstance(value, bool) else value)
-            yield part.drop(columns=["refs", "read"]).assign(expected=pd.Series(numbers, index=part.index, dtype="Float64"), expected_text=texts)
-
-    kept = [(n, t) for n, t in rows.dtypes if n not in ("refs", "read")]
-    return rows.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in kept) + ", expected double, expected_text string")
+    def run(texts: pa.Array, reads: pa.Array) -> pa.Array:
+        out = []
+        for f, read in zip(texts.to_pylist(), reads.to_pylist()):
+            value = None
+            if f is not None:
+                tree, refs = read_once(f)
+                try:
+                    value = worked_out(tree, read or [], [(c2 - c1 + 1) * (r2 - r1 + 1) for _, c1, r1, c2, r2 in refs])
+                    value = 0.0 if value is None else value
+                except Wrong as e:
+                    value = str(e)
+            plain = isinstance(value, (int, float)) and not isinstance(value, bool)
+            out.append({"number": float(value) if plain else None, "text": None if plain or value is None else str(int(value)) if isinstance(value, bool) else value})
+        return pa.array(out, VALUE)
+
+    ready = F.col("problem").isNull() & (F.col("waits") == 0)
+    value = F.arrow_udf(run, from_arrow_type(VALUE))(F.when(ready, F.col("formula")), F.when(ready, F.col("read")))
+    kept = [n for n in rows.columns if n not in ("refs", "read")]
+    return rows.withColumn("value", value).select(*kept, F.col("value.number").alias("expected"), F.col("value.text").alias("expected_text"))
 
 
 def gate(sheets: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """Each formula of ``sheets`` (rows as ``workbook.cells`` gives them) with what it should be and its status.
 
     A stored value is checked against the stored values of what it reads, so order doesn't matter: where all agree, the
-    sheet does. Formulas without a stored value are worked out in order of dependency, a round for each step of the longest
+    sheet does. Each formula is worked out once, in the first round in which all that it reads has a value. Formulas without a stored value are worked out in order of dependency, a round for each step of the longest
     chain of them, and take part as what they give. Status: ``ok``, ``wrong`` (by more than ``tolerance``, relative or
     absolute), ``computed`` (no stored value), ``error`` (gives an error that isn't stored), ``unsettled`` (reads a cell
     that has no value as it is unreadable, or in a circle), ``unreadable`` (``problem`` says why; also empty formulas).
@@ -310,21 +363,28 @@ def gate(sheets: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     asked = checkpointed(read_by(formulas.repartition(tasks, *AT, "formula")).withColumn("id", F.monotonically_increasing_id()))
     stored = sheets.where("formula is null or text is not null").select(*AT, "number", "text", F.lit(False).alias("open"))
     none = lambda rows: rows.select(*AT, F.lit(None).cast("double").alias("number"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("open"))
+    bare = lambda rows, waits: rows.drop("refs").withColumns({"waits": F.lit(waits).cast("long"), "expected": F.lit(None).cast("double"), "expected_text": F.lit(None).cast("string")})
     settled = none(asked.where("text is null and problem is not null"))
-    pending = asked.where("text is null and problem is null")
-    rounds, more = 0, not pending.isEmpty()
+    waiting, out = asked.where("problem is null"), bare(asked.where("problem is not null"), 0)
+    rounds, more = 0, not waiting.where("text is null").isEmpty()
     if more:
         stored = checkpointed(stored)
     while more:
-        cells = stored.unionByName(settled).unionByName(none(pending))
-        found = checkpointed(evaluated(with_inputs(pending, cells)).where("waits = 0").select("id", *AT, "expected", "expected_text"))
-        values = found.select(*AT, F.col("expected").alias("number"), F.coalesce(F.col("expected").cast("string"), "expected_text").alias("text"), F.lit(False).alias("open"))
+        cells = stored.unionByName(settled).unionByName(none(waiting.where("text is null")))
+        tried = checkpointed(evaluated(with_inputs(waiting, cells)))
+        found, left = tried.where("waits = 0"), tried.where("waits > 0").select("id")
+        own = found.where("text is null")
+        values = own.select(*AT, F.col("expected").alias("number"), F.coalesce(F.col("expected").cast("string"), "expected_text").alias("text"), F.lit(False).alias("open"))
         rounds += 1
-        settled = settled.unionByName(values) if rounds % COLLAPSE else checkpointed(settled.unionByName(values))
-        pending = checkpointed(pending.join(found.select("id"), "id", "left_anti"))
-        more = not (found.isEmpty() or pending.isEmpty())
-    cells = stored.unionByName(settled).unionByName(none(pending))
-    out = evaluated(with_inputs(asked, cells))
+        settled, out = settled.unionByName(values), out.unionByName(found)
+        if not rounds % COLLAPSE:
+            settled, out = checkpointed(settled), checkpointed(out)
+        waiting = checkpointed(waiting.join(left, "id", "left_semi"))
+        more = not (own.isEmpty() or waiting.isEmpty())
+    if rounds:
+        out = out.unionByName(bare(waiting, 1))  # nothing more can be worked out
+    else:
+        out = out.unionByName(evaluated(with_inputs(waiting, stored.unionByName(settled))))
     near = F.abs(F.col("number") - F.col("expected")) <= tolerance * F.greatest(F.lit(1.0), F.abs("number"), F.abs("expected"))
     same = F.coalesce(near, F.col("number").isNull() & F.col("expected").isNull() & (F.col("text") == F.col("expected_text")), F.lit(False))
     failed = F.coalesce(F.startswith("expected_text", F.lit("#")), F.lit(False))
