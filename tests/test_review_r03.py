@@ -6,8 +6,10 @@ import random
 from collections import Counter
 from datetime import date, timedelta
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tidemark.functions import scan
 from tidemark.functions.text import names_agree
 from tidemark.operators import audit, model
 from tidemark.sources import formulas
@@ -75,3 +77,18 @@ def test_formulas_of_one_kind_are_parsed_once(monkeypatch):
         except formulas.Unreadable as e:
             got = str(e)
         assert got == expected, f
+
+
+def test_equal_texts_are_read_once():
+    read = []
+
+    def letters(text, least):
+        read.append(text)
+        return None if text is None else [float(len(text) + least)]
+
+    texts = ["ab", "c", None, "ab", "x" * 5000, "x" * 5000, None]
+    got = scan.column(letters, scan.NUMBERS, pa.array(texts), least=1)
+    assert got.to_pylist() == [[3.0], [2.0], None, [3.0], [5001.0], [5001.0], None]
+    scan.column(letters, scan.NUMBERS, pa.array(["ab", "c"]), least=1)
+    assert read == ["ab", "c", None, "x" * 5000]
+    assert scan.column(letters, scan.NUMBERS, pa.array([], pa.string()), least=1).to_pylist() == []
