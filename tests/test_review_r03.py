@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scan
 from tidemark.functions.text import names_agree
-from tidemark.operators import audit, model
+from tidemark.operators import audit, model, simulation
 from tidemark.sources import formulas
 
 
@@ -92,3 +92,13 @@ def test_equal_texts_are_read_once():
     scan.column(letters, scan.NUMBERS, pa.array(["ab", "c"]), least=1)
     assert read == ["ab", "c", None, "x" * 5000]
     assert scan.column(letters, scan.NUMBERS, pa.array([], pa.string()), least=1).to_pylist() == []
+
+
+def test_sums_of_paths_are_one_a_task_and_not_one_a_slice(spark):
+    book = spark.range(3000).selectExpr("id as deal_id", "(id % 7 + 1) / 10.0D as p_break", "100.0D + id as downside_notional", "10.0D as upside_notional")
+    many = simulation.simulate(book, paths=50, slices=300)
+    partial = [line for line in many._jdf.queryExecution().toString().splitlines() if "RepartitionByExpression" in line]
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    assert partial and all(line.rstrip().endswith(str(tasks)) for line in partial), partial
+    rows = many.toPandas()
+    assert sorted(rows.path) == list(range(50)) and abs(rows.breaks.mean() / 3000 - 0.4) < 0.15

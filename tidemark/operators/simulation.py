@@ -28,35 +28,56 @@ def simulate(positions: DataFrame, paths: int = SIMULATION_PATHS, rho: float = S
     """``path, pnl, breaks`` of each path for positions (deal_id, p_break, downside_notional, upside_notional).
 
     A position breaks where sqrt(rho) * factor + sqrt(1 - rho) * own noise is below its quantile. Positions are dealt to
-    ``slices`` by a hash of their id, as many as their number asks for; the task of a slice holds its positions, meets
-    the blocks of paths one after the other and gives partial sums per path, which one aggregation adds up. Draws depend
+    ``slices`` by a hash of their id, as many as their number asks for; a task holds one slice's positions at a time, meets
+    the blocks of paths one after the other and gives sums per path over all of its slices, which one aggregation adds up.
+    Tasks are four times the cores at most, so what is added up doesn't grow with the book. Draws depend
     on seed, block and slice alone, so partitions don't change the result (beyond the order of the sums).
     """
     held = checkpointed(positions.select("deal_id", "p_break", "downside_notional", "upside_notional"))
     n = slices or max(1, min(MOST_SLICES, -(-held.count() // SLICE)))
-    dealt = held.withColumn("slice", F.pmod(F.xxhash64("deal_id"), F.lit(n)).cast("int")).repartitionById(n, "slice")
+    tasks = min(n, 4 * positions.sparkSession.sparkContext.defaultParallelism)
+    dealt = held.withColumn("slice", F.pmod(F.xxhash64("deal_id"), F.lit(n)).cast("int")).repartitionById(tasks, F.col("slice") % tasks).sortWithinPartitions("slice")
+    starts = range(0, paths, BLOCK)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches([*batches], schema).sort_by("deal_id")  # a slice's positions
-        if not rows.num_rows:
-            return
+    def add(rows: pa.Table, pnl: np.ndarray, hits: np.ndarray) -> None:
+        """A slice's share of each path, added to the sums."""
+        rows = rows.sort_by("deal_id")
         part = rows["slice"][0].as_py()
         down, up = (rows[c].to_numpy() for c in ("downside_notional", "upside_notional"))
         quantile = NormalDist().inv_cdf
-        bars = np.array([quantile(min(max(p, 1e-9), 1 - 1e-9)) for p in rows["p_break"].to_numpy()]) / np.sqrt(1 - rho)
-        for block in range(-(-paths // BLOCK)):
-            m = min(BLOCK, paths - block * BLOCK)
+        known = {p: quantile(min(max(p, 1e-9), 1 - 1e-9)) for p in set(rows["p_break"].to_pylist())}
+        bars = np.array([known[p] for p in rows["p_break"].to_pylist()]) / np.sqrt(1 - rho)
+        for block, start in enumerate(starts):
+            m = min(BLOCK, paths - start)
             shift = (np.sqrt(rho / (1 - rho)) * draws(seed, block, -1).standard_normal(m, dtype=np.float32)).astype(np.float32)
-            noise, pnl, hits = draws(seed, block, part), np.full(m, up.sum()), np.zeros(m, np.int64)
+            noise, own_pnl, own_hits = draws(seed, block, part), np.full(m, up.sum()), np.zeros(m, np.int64)
             for at in range(0, len(bars), CHUNK):
                 here = slice(at, at + CHUNK)
                 own = noise.standard_normal((len(bars[here]), m), dtype=np.float32)
                 broken = own < bars[here, None].astype(np.float32) - shift
-                pnl -= (down + up)[here] @ broken
-                hits += np.count_nonzero(broken, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(block * BLOCK + np.arange(m)), pa.array(pnl), pa.array(hits)], names=["path", "pnl", "breaks"])
+                own_pnl -= (down + up)[here] @ broken
+                own_hits += np.count_nonzero(broken, axis=0)
+            pnl[start : start + m] += own_pnl
+            hits[start : start + m] += own_hits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pnl, hits, held = np.zeros(paths), np.zeros(paths, np.int64), []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("slice").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+            for a, b in zip(edges, edges[1:]):
+                if held and held[-1].column("slice")[0].as_py() != ids[a]:
+                    add(pa.Table.from_batches(held), pnl, hits)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            add(pa.Table.from_batches(held), pnl, hits)
+            for start in starts:
+                here = slice(start, min(start + BLOCK, paths))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(here.start, here.stop)), pa.array(pnl[here]), pa.array(hits[here])], names=["path", "pnl", "breaks"])
 
-    schema = pa.schema([("deal_id", pa.int64()), ("p_break", pa.float64()), ("downside_notional", pa.float64()), ("upside_notional", pa.float64()), ("slice", pa.int32())])
     cast = dealt.select(F.col("deal_id").cast("long"), *[F.col(c).cast("double") for c in ("p_break", "downside_notional", "upside_notional")], "slice")
     return cast.mapInArrow(run, "path long, pnl double, breaks long").groupBy("path").agg(F.sum("pnl").alias("pnl"), F.sum("breaks").alias("breaks"))
 
