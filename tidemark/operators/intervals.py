@@ -34,6 +34,12 @@ def level_of(piece: Column) -> Column:
     return F.shiftright(piece, LEVELS + 1).cast("int")
 
 
+def days_of(piece: Column) -> tuple[Column, Column]:
+    """The first and last point of a piece."""
+    place, size = piece % F.lit(1 << (LEVELS + 1)).cast("long"), F.pow(F.lit(2.0), level_of(piece)).cast("long")
+    return place * size, (place + 1) * size - 1
+
+
 def around(point: Column, levels: Column | None = None) -> Column:
     """The pieces that hold a point, one a level: an interval holds it just if one of these is among its pieces, and then just one is.
 
