@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from datetime import date, timedelta
 
 from tests.test_securities import ASKED, HISTORY, slow
-from tidemark.operators import securities
+from tidemark.operators import prices, securities
 
 
 def test_a_question_about_securities_is_not_copied_for_each_piece_of_days(spark, monkeypatch):
@@ -25,3 +26,16 @@ def test_a_question_about_securities_is_not_copied_for_each_piece_of_days(spark,
         assert {r["deal_id"]: (r["status"], r["permno"]) for r in found.collect()} == expected
         if held == 512:
             assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_snapshot_weights_move_deals_and_no_snapshot(spark):
+    """Deals that repeat weigh as their rows say, one by one; rows without an id are no deal, and stay as in the SQL."""
+    calendar = spark.sql("select d as obs_date, weekday(d) < 5 as is_trading from (select explode(sequence(date'2000-01-01', date'2000-06-30')) as d)")
+    deals = spark.range(300).selectExpr("if(id % 50 = 7, null, id % 250) as deal_id", "date_add(date'1999-12-20', int(id)) as announce_date", "cast(null as date) as resolution_date")
+    found = prices.snapshot_weights(deals, calendar)
+    rows = prices.deal_equal_weight(prices.snapshot_rows(deals.where("deal_id is not null"), calendar)).select(*found.columns)
+    got = [tuple(r) for r in found.collect()]
+    assert Counter(r for r in got if r[0] is not None) == Counter(map(tuple, rows.collect())) and len(got) > 1000
+    assert any(r[0] is None for r in got)
+    dealt = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and not any("policy" in line for line in dealt)

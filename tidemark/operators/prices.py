@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.config import RECONCILE_RULES, SNAPSHOT_POLICIES
 from tidemark.functions.finance import price_agreement
-from tidemark.operators.ordering import small
+from tidemark.operators.ordering import BROADCAST_BYTES, measured, small
+from tidemark.storage import checkpointed
 
 MIN_PRINTS = 3
 #: Statuses after which the next provider is asked; an ambiguous identity stops the chain.
@@ -95,6 +98,25 @@ def sessions_numbered(calendar: DataFrame) -> DataFrame:
     return calendar.where("is_trading").select("obs_date", F.row_number().over(Window.orderBy("obs_date")).alias("ordinal"))
 
 
+def snapshot_days(days: DataFrame, calendar: DataFrame) -> DataFrame:
+    """``announce_date`` (distinct) -> the same and ``found``, an array of policy, offset, feature date and the policy's place among all (from 1); days without any are left out."""
+    sessions = sessions_numbered(calendar)
+    passed = F.count("ordinal").over(Window.orderBy("obs_date"))  # a calendar is small, one row per day
+    from_days = calendar.select("obs_date").join(sessions, "obs_date", "left").select(F.col("obs_date").alias("from_day"), passed.alias("passed"))
+    each = [F.struct(F.lit(name).alias("policy"), F.lit(kind == "days").alias("in_days"), F.lit(n).alias("after"), F.lit(i).alias("place")) for i, (name, (kind, offsets)) in enumerate(SNAPSHOT_POLICIES.items(), 1) for n in offsets]
+    rows = days.select("announce_date", F.explode(F.array(*each)).alias("p")).select("announce_date", "p.*")
+    rows = rows.withColumn("from_day", F.when(F.col("in_days"), F.date_add("announce_date", F.col("after") - 1)).otherwise(F.col("announce_date")))
+    placed = rows.join(small(from_days), "from_day").withColumn("ordinal", F.col("passed") + F.when(F.col("in_days"), 1).otherwise(F.col("after")))
+    found = placed.join(small(sessions.withColumnRenamed("obs_date", "feature_date")), "ordinal")
+    return found.groupBy("announce_date").agg(F.collect_list(F.struct("policy", "after", "feature_date", "place")).alias("found"))
+
+
+def with_snapshots(deals: DataFrame, calendar: DataFrame) -> DataFrame:
+    """``deals`` that have a snapshot, with ``found`` as in ``snapshot_days``: it depends on nothing but the announcement's day."""
+    days = checkpointed(snapshot_days(deals.select("announce_date").distinct(), calendar))
+    return deals.join(F.broadcast(days) if measured(days) <= BROADCAST_BYTES else days, "announce_date")
+
+
 def snapshot_rows(deals: DataFrame, calendar: DataFrame) -> DataFrame:
     """Per deal, policy and offset its feature date, counted from the announcement day alone, and whether it is pending then.
 
@@ -102,14 +124,7 @@ def snapshot_rows(deals: DataFrame, calendar: DataFrame) -> DataFrame:
     so many days. The resolution chooses no date: it only tells which snapshots are censored. Dates beyond the calendar
     are left out.
     """
-    sessions = sessions_numbered(calendar)
-    passed = F.count("ordinal").over(Window.orderBy("obs_date"))  # a calendar is small, one row per day
-    days = calendar.select("obs_date").join(sessions, "obs_date", "left").select(F.col("obs_date").alias("from_day"), passed.alias("passed"))
-    each = [F.struct(F.lit(name).alias("policy"), F.lit(kind == "days").alias("in_days"), F.lit(n).alias("after")) for name, (kind, offsets) in SNAPSHOT_POLICIES.items() for n in offsets]
-    rows = deals.select("deal_id", "announce_date", "resolution_date", F.explode(F.array(*each)).alias("p")).select("deal_id", "announce_date", "resolution_date", "p.*")
-    rows = rows.withColumn("from_day", F.when(F.col("in_days"), F.date_add("announce_date", F.col("after") - 1)).otherwise(F.col("announce_date")))
-    placed = rows.join(small(days), "from_day").withColumn("ordinal", F.col("passed") + F.when(F.col("in_days"), 1).otherwise(F.col("after")))
-    found = placed.join(small(sessions.withColumnRenamed("obs_date", "feature_date")), "ordinal")
+    found = with_snapshots(deals, calendar).select("deal_id", "announce_date", "resolution_date", F.explode("found").alias("f")).select("*", "f.*")
     return found.select("deal_id", "policy", "after", "announce_date", "feature_date", (F.col("resolution_date").isNull() | (F.col("feature_date") < F.col("resolution_date"))).alias("pending"))
 
 
@@ -120,6 +135,29 @@ def deal_equal_weight(rows: DataFrame) -> DataFrame:
     return rows.join(per, ["policy", "deal_id"]).join(small(n), "policy").withColumn("weight", 1.0 / (F.col("n_deals") * F.col("k"))).drop("k", "n_deals")
 
 
+def _of_policy(name: str) -> Callable[[Column], Column]:
+    return lambda x: x["policy"] == name
+
+
+def snapshot_weights(deals: DataFrame, calendar: DataFrame) -> DataFrame:
+    """``deal_id, policy, after, weight``: ``deal_equal_weight`` of ``snapshot_rows``, of which no row is moved or counted.
+
+    What a row of ``deals`` has in a policy is counted for its day, and summed over the rows that repeat its deal; rows are
+    made of it last. Only the deals are dealt out, by their id. Rows without one stay, and count as no deal.
+    """
+    own = [f"_k{i}" for i in range(len(SNAPSHOT_POLICIES))]
+    deals = deals.select("deal_id", "announce_date")
+    days = checkpointed(snapshot_days(deals.select("announce_date").distinct(), calendar))
+    days = F.broadcast(days) if measured(days) <= BROADCAST_BYTES else days
+    counts = days.select("announce_date", *[F.size(F.filter("found", _of_policy(p))).alias(k) for p, k in zip(SNAPSHOT_POLICIES, own)])
+    counted = deals.join(counts, "announce_date")
+    n = counted.where("deal_id is not null").groupBy("deal_id").agg(*[F.max(F.col(k) > 0).alias(k) for k in own]).agg(*[F.count_if(k).alias(f"_n{k}") for k in own])
+    each = counted.withColumns({k: F.sum(k).over(Window.partitionBy("deal_id")) for k in own}).crossJoin(F.broadcast(n))
+    weights = F.array(*[F.when(F.col(k) > 0, 1.0 / (F.col(f"_n{k}") * F.col(k))) for k in own])
+    rows = each.select("deal_id", "announce_date", weights.alias("_w")).join(days, "announce_date").select("deal_id", "_w", F.explode("found").alias("f"))
+    return rows.select("deal_id", "f.policy", "f.after", F.element_at("_w", F.col("f.place")).alias("weight"))
+
+
 def grouped_split(rows: DataFrame, cutoff: Column) -> DataFrame:
     """Train before the cut-off, test after, by the deal's announcement, so no deal is on both sides."""
     return rows.withColumn("split", F.when(F.col("announce_date") < cutoff, "train").otherwise("test"))

@@ -211,7 +211,7 @@ def feature_session_policy(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_sql("deals calendar", _SNAPS, "SELECT deal_id, s.policy, after, round(1.0::DOUBLE / (n * count(*) OVER (PARTITION BY s.policy, deal_id)), 12) AS weight FROM snaps s JOIN (SELECT policy, count(DISTINCT deal_id) AS n FROM snaps GROUP BY 1) t ON t.policy = s.policy"))
 def deal_equal_weight(spark: SparkSession, d: str) -> DataFrame:
-    rows = prices.deal_equal_weight(prices.snapshot_rows(c.deals(spark, d), c.calendar(spark, d)))
+    rows = prices.snapshot_weights(c.deals(spark, d), c.calendar(spark, d))
     return rows.select("deal_id", "policy", "after", F.round("weight", 12).alias("weight"))
 
 
