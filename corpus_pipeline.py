@@ -33,7 +33,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: Jaccard similarity 0.8 or more of five-word shingles."""
+    """One document of each class of near copies: SimHash links of five-word shingles and, where these leave texts apart, min-wise
+    ones; each link verified to have a Jaccard similarity of 0.8 or more."""
     return near_copies.drop_near_copies(docs, shingle=5, threshold=0.8)
 
 

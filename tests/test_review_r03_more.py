@@ -7,6 +7,7 @@ from collections import Counter
 from datetime import date, timedelta
 
 from tests.test_securities import ASKED, HISTORY, slow
+from tidemark.llm import near_copies
 from tidemark.operators import prices, securities
 
 
@@ -39,3 +40,16 @@ def test_snapshot_weights_move_deals_and_no_snapshot(spark):
     assert any(r[0] is None for r in got)
     dealt = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
     assert dealt and not any("policy" in line for line in dealt)
+
+
+def test_near_copies_are_linked_by_simhash(spark, monkeypatch):
+    """What differs by few bits is one class without the min-wise groups, and is not compared in them again."""
+    rng, rows = random.Random(8), []
+    for b in range(10):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(5000)]
+        rows += [(10 * b + k, " ".join([*words[:k], "edit", *words[k + 1 :]] if k else words)) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    compared, own = [], near_copies.links
+    monkeypatch.setattr(near_copies, "links", lambda members, sets, threshold, block, before: compared.append(before.count()) or own(members.limit(0), sets, threshold, block, before))
+    kept = {r["doc_id"] for r in near_copies.drop_near_copies(docs).collect()}
+    assert kept == {10 * b for b in range(10)} and compared[0] >= 20

@@ -1,15 +1,15 @@
 """Near-dedup at a Jaccard similarity of shingle sets, each link verified on the sets themselves.
 
-Texts of equal shingle sets are one node. Each node is put under BANDS hashes of ROWS min-wise minima each, so that a
-pair of similarity 0.8 shares none with probability (1 - 0.8^ROWS)^BANDS = 7e-6. Nodes that share a hash are
+Texts of equal shingle sets are one node. First nodes link by SimHash: fingerprints of their shingles within BITS bits are
+found by their one-wildcard variants (simhash.links), and the links verified. At a similarity of 0.8 about 10 of 64 bits
+differ, 17 for 99 % of pairs, which leaves segments of 7 bits that select nothing, so what SimHash leaves apart is looked
+for by min-wise minima: each node is put under BANDS hashes of ROWS minima each, so that a pair of similarity 0.8 shares
+none with probability (1 - 0.8^ROWS)^BANDS = 7e-6. Nodes that share a hash and are several components after SimHash are
 verified in two rounds: against the least node of their group, pair by pair in a join; then groups that hold several
 components yet are cut into blocks along the components, and a task compares two blocks of which not all is one
 component, by the rarest shingles of their members. So whatever two nodes share a hash and are similar end in one
 component, a group of near copies makes no pairs, and no task holds a group. Components are Spark rounds.
 
-SimHash variants (simhash.links) don't reach this: at similarity 0.8 about 10 of 64 bits differ, 17 for 99 % of pairs,
-which leaves segments of 7 bits that select nothing.
-
 Defined cases are those of simhash: A-Z count as a-z; null, empty and blank texts are one class; fewer words than a
 shingle: the whole sequence is the one shingle; a text of any length is read whole; repeated rows are one class; a pair
 of exactly the threshold is similar; a null doc_id names a class only if nothing else is in it; an empty table gives an
@@ -26,10 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import simhash
 from tidemark.llm.common import arrow_map, checkpointed, fresh, repeated_groups, row_key, texts
 from tidemark.llm.graph import components
 
 BANDS, ROWS = 30, 5
+#: Bits in which the fingerprints of a SimHash link differ at most.
+BITS = 3
 #: Shingles that meet the permutations at once.
 SLICE = 4096
 #: Shingles of a block of a group's members; a task holds two blocks, or what a single text has, if that is more.
@@ -63,8 +66,16 @@ def bands(hashes: np.ndarray, masks: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)), np.uint64, BANDS)
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set of shingles: a bit is 1 if over half of the hashes have it."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65_536):
+        votes += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def sketches(keyed: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame:
-    """``key_id, key_hash, doc_id, text`` -> the same without the text, ``node`` (a hash of the set) and ``bands``."""
+    """``key_id, key_hash, doc_id, text`` -> the same without the text, ``node`` (a hash of the set), ``fp`` (its SimHash) and ``bands``."""
     masks = np.random.default_rng(seed).integers(0, 1 << 64, BANDS * ROWS, np.uint64)
     rest = ["key_id", "key_hash", "doc_id"]
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema if f.name in rest)
@@ -72,11 +83,12 @@ def sketches(keyed: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, shingle, seed) for t in texts(batch)]
         nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), 17) for s in sets], np.uint64).view(np.int64)
+        fps = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
         found = pa.array([bands(s, masks).view(np.int64) for s in sets], pa.list_(pa.int64()))
         names = [f.split()[0] for f in fields.split(", ")]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(nodes), found], names=[*names, "node", "bands"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(nodes), pa.array(fps), found], names=[*names, "node", "fp", "bands"])
 
-    return arrow_map(keyed, run, f"{fields}, node long, bands array<long>")
+    return arrow_map(keyed, run, f"{fields}, node long, fp long, bands array<long>")
 
 
 def sets_of(rows: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame:
@@ -154,11 +166,26 @@ def blocks(rows: DataFrame, limit: int) -> DataFrame:
     return checkpointed(ranged.mapInArrow(run, "value long, node long, root long, block long"))
 
 
-def links(members: DataFrame, sets: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """``value, node`` (nodes under hashes that they share) -> ``a, b`` (links that connect all that are similar)."""
+def simhash_pairs(nodes: DataFrame, max_bits: int = BITS) -> DataFrame:
+    """``node, fp`` -> ``a, b``: nodes of one fingerprint with the least of them, and the least of linked fingerprints."""
+    least = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("a")))
+    same = nodes.join(least, "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    near = simhash.links(least.select("fp"), max_bits).toDF("x", "y")
+    return same.union(near.join(least.toDF("x", "a"), "x").join(least.toDF("y", "b"), "y").select("a", "b"))
+
+
+def links(members: DataFrame, sets: DataFrame, threshold: float, block: int = BLOCK, before: DataFrame | None = None) -> DataFrame:
+    """``value, node`` (nodes under hashes that they share) -> ``a, b`` (links that connect all that are similar); ``before``
+    holds links that are known, and groups that are one component by them are left out."""
+    if before is not None:
+        roots = checkpointed(components(before)).withColumnRenamed("root", "known")
+        by_now = checkpointed(members.join(roots, "node", "left").select("value", "node", F.coalesce("known", "node").alias("known")))
+        several = by_now.groupBy("value").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo <> hi").select("value")
+        members = checkpointed(by_now.join(several, "value", "left_semi").select("value", "node"))
     least = members.groupBy("value").agg(F.min("node").alias("a"))
     pairs = members.join(least, "value").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     first = checkpointed(verified(pairs, sets, threshold))
+    first = first if before is None else first.union(before)
     known = checkpointed(components(first)).withColumnRenamed("root", "known")
     rooted = checkpointed(members.join(known, "node", "left").select("value", "node", F.coalesce("known", "node").alias("root")))
     open_ = rooted.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("value")
@@ -203,11 +230,14 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, threshold: float = 0.8,
     plain = keyed.select(F.col(kid).alias("key_id"), F.col(khash).alias("key_hash"), "doc_id", "text")
     known = checkpointed(sketches(plain, shingle, seed))
     order = F.struct(F.col("doc_id").isNull(), F.col("key_id"), F.col("key_hash"))
-    per_node = checkpointed(known.groupBy("node").agg(F.min(order).alias("least"), F.first("bands").alias("bands")))
+    per_node = checkpointed(known.groupBy("node").agg(F.min(order).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     members = checkpointed(repeated_groups(per_node.select(F.explode("bands").alias("value"), "node"), ["value"]))
-    stands = per_node.join(members.select("node").distinct(), "node").select("node", F.col("least")["key_id"].alias("key_id"), F.col("least")["key_hash"].alias("key_hash"))
+    pairs = checkpointed(simhash_pairs(per_node.select("node", "fp")))
+    compared = members.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    stands = per_node.join(compared, "node").select("node", F.col("least")["key_id"].alias("key_id"), F.col("least")["key_hash"].alias("key_hash"))
     sets = checkpointed(sets_of(plain.join(stands, ["key_id", "key_hash"]).dropDuplicates(["node"]), shingle, seed))
-    found = checkpointed(components(links(members, sets, threshold, block))).select("node", "root")
+    by_simhash = checkpointed(verified(pairs, sets, threshold))
+    found = checkpointed(components(links(members, sets, threshold, block, by_simhash))).select("node", "root")
     rooted = per_node.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
     stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least")["key_id"].alias(kid), F.col("least")["key_hash"].alias(khash))
     return keyed.join(stay, [kid, khash], "left_semi").dropDuplicates([kid, khash]).select(*docs.columns)
