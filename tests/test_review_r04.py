@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 
 from tidemark.operators import simulation
+from tidemark.sources import formulas, workbook
 
 
 def test_first_bits_decide_as_whole_numbers_do():
@@ -58,3 +61,52 @@ def test_a_book_of_many_chances_asks_for_few_whole_numbers(spark):
     assert sum(few) < most  # of 1,280,000
     empty = spark.createDataFrame([], "deal_id long, p_break double, downside_notional double, upside_notional double")
     assert simulation.simulate(empty, paths=10).count() == 0
+
+
+def book_of(rng, file, n):
+    """Cells with numbers, texts, blanks, truths and errors, stored or not, circles, repeated cells and formulas that can't be read."""
+    cells = []
+    for row in range(1, n + 1):
+        for col in range(1, 6):
+            a, b, c = rng.integers(1, n + 1), rng.integers(1, n + 1), "ABCDE"[rng.integers(0, 5)]
+            asked = [f"SUM(A{min(a, b)}:A{max(a, b)})", f"IF(COUNT(A1:{c}{a})>3,MAX(A1:B{b})-MIN(A{b}:B{b}),\"none\")", f"{c}{a}+1", f"{c}{a}&\"x\"", f"{c}{a}>B{b}", f"IFERROR(A{a}/B{b},AVERAGE(B:B))", f"FOO({c}1)", f"Other!A{a}*2", f"ISNUMBER({c}{a})"]
+            kind = rng.integers(0, 8)
+            text, formula = (str(float(rng.integers(0, 9))) if kind < 4 else None if kind == 4 else "t" if kind == 5 else "#N/A"), None
+            if col > 2 or rng.random() < 0.03:
+                formula = asked[rng.integers(0, len(asked))]
+                text = None if rng.random() < 0.7 else text
+            number = float(text) if text and text[0].isdigit() else None
+            cells += [(file, "Other" if row % 17 == 0 else "Log", row, col, text, number, formula)] * (2 if rng.random() < 0.02 else 1)
+    return cells + [(file, None, 1, 1, "1", 1.0, None), (file, None, 1, 2, None, None, "A1+1"), (file, "Log", None, 1, "5", 5.0, "A1")]
+
+
+def test_files_in_a_task_and_spread_over_tasks_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    cells = [cell for file, n in (("a", 12), ("b", 90), (None, 3), ("c", 40)) for cell in book_of(rng, file, n)]
+    sheets = spark.createDataFrame(cells, workbook.CELLS)
+
+    def found(least):
+        monkeypatch.setattr(formulas, "FILE_CELLS", least)
+        return sorted((str([round(x, 6) if isinstance(x, float) else x for x in row]) for row in formulas.gate(sheets).collect()))
+
+    together, apart, mixed = found(1 << 16), found(0), found(250)
+    assert together == apart == mixed
+    assert len(together) == sum(cell[6] is not None for cell in cells) and len({x.split(", ")[-2] for x in together}) >= 5
+
+
+def test_small_files_meet_in_one_exchange(spark, monkeypatch):
+    monkeypatch.setattr(formulas, "by_rounds", None)
+    cells = [(f"f{i}", "S", r, c, text, number, formula) for i in range(20) for r, c, text, number, formula in ((1, 1, "2.0", 2.0, None), (1, 2, None, None, "C1*2"), (1, 3, None, None, "SUM(A1:A1)+1"))]
+    checked = formulas.gate(spark.createDataFrame(cells, workbook.CELLS))
+    plan = checked._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert {(r["col"], r["expected"], r["status"]) for r in checked.collect()} == {(2, 6.0, "computed"), (3, 3.0, "computed")}
+
+
+def test_long_columns_of_growing_ranges_and_long_chains():
+    n = 12_000
+    cells = [("S", r, 1, str(r), float(r), None) for r in range(1, n + 1)] + [("S", r, 2, None, None, f"SUM(A1:A{r})") for r in range(1, n + 1)] + [("S", r, 3, None, None, f"C{r + 1}+1" if r < n else "B1") for r in range(1, n + 1)]
+    start = time.process_time()
+    found = {cells[k][1:3]: number for k, number, _, waits, problem in formulas.of_file(cells) if not waits and problem is None}
+    assert time.process_time() - start < 20
+    assert all(found[r, 2] == r * (r + 1) / 2 and found[r, 3] == n - r + 1 for r in range(1, n + 1))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from tidemark.operators.intervals import around, level_of, pieces
+from tidemark.operators.ordering import small
 from tidemark.sources.workbook import column_number
 from tidemark.storage import checkpointed
 
@@ -22,6 +26,12 @@ WHOLE = (1, LAST_ROW)
 SALTS = 16
 #: After so many rounds what they found is written as one table.
 COLLAPSE = 16
+#: Files of up to so many cells are worked out by the task that holds them.
+FILE_CELLS = 1 << 16
+#: Cells of a column that are summed up together.
+SPAN = 32
+#: Cells of a task, and formulas that it gives at once.
+TASK_CELLS, OUT_ROWS = 1 << 19, 10_000
 #: What a formula reads is summed up as: numbers, their sum, least and greatest, cells with anything, a cell's text.
 READ = "k int, n long, total double, least double, most double, filled long, text string"
 PLACES = pa.struct([("refs", pa.list_(pa.struct([("k", pa.int32()), ("sheet", pa.string()), *[(n, pa.int32()) for n in ("c1", "r1", "c2", "r2")]]))), ("problem", pa.string())])
@@ -281,6 +291,18 @@ FUNCTIONS = {
 }
 
 
+def result(tree: tuple, refs: list[tuple], read: list[dict]) -> tuple[float | None, str | None]:
+    """What a formula gives, as a number or as a text (truths are 1 and 0, errors as they are written)."""
+    try:
+        value = worked_out(tree, read, [(c2 - c1 + 1) * (r2 - r1 + 1) for _, c1, r1, c2, r2 in refs])
+        value = 0.0 if value is None else value
+    except Wrong as e:
+        value = str(e)
+    if isinstance(value, bool):
+        return None, str(int(value))
+    return (float(value), None) if isinstance(value, (int, float)) else (None, value)
+
+
 def read_by(formulas: DataFrame) -> DataFrame:
     """``formulas`` (file, sheet, row, col, formula, ...) with the places each reads, and why it can't be read where that is so."""
 
@@ -326,19 +348,8 @@ def evaluated(rows: DataFrame) -> DataFrame:
     """``rows`` of ``with_inputs`` with the value of each formula: a number, or a text (truths are 1 and 0, errors as they are written)."""
 
     def run(texts: pa.Array, reads: pa.Array) -> pa.Array:
-        out = []
-        for f, read in zip(texts.to_pylist(), reads.to_pylist()):
-            value = None
-            if f is not None:
-                tree, refs = read_once(f)
-                try:
-                    value = worked_out(tree, read or [], [(c2 - c1 + 1) * (r2 - r1 + 1) for _, c1, r1, c2, r2 in refs])
-                    value = 0.0 if value is None else value
-                except Wrong as e:
-                    value = str(e)
-            plain = isinstance(value, (int, float)) and not isinstance(value, bool)
-            out.append({"number": float(value) if plain else None, "text": None if plain or value is None else str(int(value)) if isinstance(value, bool) else value})
-        return pa.array(out, VALUE)
+        out = [(None, None) if f is None else result(*read_once(f), read or []) for f, read in zip(texts.to_pylist(), reads.to_pylist())]
+        return pa.array([dict(zip(("number", "text"), x)) for x in out], VALUE)
 
     ready = F.col("problem").isNull() & (F.col("waits") == 0)
     value = F.arrow_udf(run, from_arrow_type(VALUE))(F.when(ready, F.col("formula")), F.when(ready, F.col("read")))
@@ -346,16 +357,171 @@ def evaluated(rows: DataFrame) -> DataFrame:
     return rows.withColumn("value", value).select(*kept, F.col("value.number").alias("expected"), F.col("value.text").alias("expected_text"))
 
 
-def gate(sheets: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """Each formula of ``sheets`` (rows as ``workbook.cells`` gives them) with what it should be and its status.
+def joined(parts: list[tuple]) -> tuple:
+    """Summaries (numbers, their sum, least and greatest, greatest text) of some cells as one; what isn't a number is above all that are."""
+    known, texts = [p for p in parts if p[0]], [p[4] for p in parts if p[4] is not None]
+    if len(known) < 2:
+        return (*(known[0][:4] if known else (0, None, None, None)), max(texts, default=None))
+    least, most = [p[2] for p in known if p[2] == p[2]], [p[3] for p in known]
+    return sum(p[0] for p in known), sum(p[1] for p in known), min(least, default=math.nan), max(most) if all(x == x for x in most) else math.nan, max(texts, default=None)
+
+
+class Column:
+    """A column of one file: its cells in order of their rows, and where the next is that has no value yet."""
+
+    def __init__(self, cells: list[tuple[int, int]]):
+        cells.sort()
+        self.rows, self.cells = [r for r, _ in cells], [k for _, k in cells]
+        self.number, self.text = [None] * len(cells), [None] * len(cells)
+        self.after, self.sums = list(range(len(cells) + 1)), {}
+
+    def put(self, at: int, number: float | None, text: str | None) -> None:
+        self.number[at], self.text[at], self.after[at] = number, text if number is None else None, at + 1
+
+    def open_in(self, first: int, last: int) -> int | None:
+        """The first cell of these places that has no value yet."""
+        at = first
+        while self.after[at] != at:
+            self.after[at] = self.after[self.after[at]]
+            at = self.after[at]
+        return self.cells[at] if at < last else None
+
+    def few(self, first: int, last: int) -> tuple:
+        return joined([(0, None, None, None, text) if number is None else (1, number, number, number, None) for number, text in zip(self.number[first:last], self.text[first:last])])
+
+    def whole(self, first: int, size: int) -> tuple:
+        """``SPAN`` cells, doubled any number of times, that all have a value: summed up once."""
+        if (first, size) not in self.sums:
+            half = size // 2
+            self.sums[first, size] = self.few(first, first + size) if size == SPAN else joined([self.whole(first, half), self.whole(first + half, half)])
+        return self.sums[first, size]
+
+    def summed(self, first: int, last: int) -> list[tuple]:
+        """Cells that all have a value, as few summaries."""
+        if last - first <= SPAN:
+            return [self.few(first, last)]
+        parts = []
+        while first < last:
+            size = -first % SPAN or min(SPAN, last - first)
+            if size < SPAN:
+                parts.append(self.few(first, first + size))
+            else:
+                while first % (2 * size) == 0 and first + 2 * size <= last:
+                    size *= 2
+                parts.append(self.whole(first, size))
+            first += size
+        return parts
+
+
+def of_file(cells: list[tuple]) -> list[tuple]:
+    """For each formula among a file's cells (sheet, row, col, text, number, formula): its place in the list, what it gives, if it waits, and its problem.
+
+    Formulas without a stored value are worked out when one that reads them is; a formula whose cells come back to itself waits.
+    """
+    places: dict[tuple, list] = {}
+    for k, (sheet, row, col, *_) in enumerate(cells):
+        if sheet is not None and row is not None and col is not None:
+            places.setdefault((sheet, col), []).append((row, k))
+    columns = {where: Column(held) for where, held in places.items()}
+    in_sheet: dict[str, list[int]] = {}
+    for sheet, col in sorted(columns):
+        in_sheet.setdefault(sheet, []).append(col)
+    home, parsed_as, problems = {}, {}, {}
+    for column in columns.values():
+        for at, k in enumerate(column.cells):
+            home[k] = (column, at)
+            _, _, _, text, number, formula = cells[k]
+            if formula is None or text is not None:
+                column.put(at, number, text)
+    for k, (*_, formula) in enumerate(cells):
+        if formula is not None:
+            try:
+                parsed_as[k] = read_once(formula)
+            except (Unreadable, RecursionError) as e:
+                problems[k] = f"unreadable: {e}"
 
-    A stored value is checked against the stored values of what it reads, so order doesn't matter: where all agree, the
-    sheet does. Each formula is worked out once, in the first round in which all that it reads has a value. Formulas without a stored value are worked out in order of dependency, a round for each step of the longest
-    chain of them, and take part as what they give. Status: ``ok``, ``wrong`` (by more than ``tolerance``, relative or
-    absolute), ``computed`` (no stored value), ``error`` (gives an error that isn't stored), ``unsettled`` (reads a cell
-    that has no value as it is unreadable, or in a circle), ``unreadable`` (``problem`` says why; also empty formulas).
-    Blank cells count as zero, texts in arithmetic are ``#VALUE!``. A cell given twice is summed twice, a formula given
-    twice is checked twice; cells whose file, sheet, row or column is null can't be read. An empty table gives no rows.
+    def spans(k: int) -> list[list[tuple[Column, int, int]]]:
+        """For each place that a formula reads, its cells: columns with their first cell and the one after the last."""
+        out = []
+        for on, c1, r1, c2, r2 in parsed_as[k][1]:
+            on = cells[k][0] if on is None else on
+            held = in_sheet.get(on, ())
+            cols = [c1] if c1 == c2 else held[bisect_left(held, c1) : bisect_right(held, c2)]
+            out.append([(x, bisect_left(x.rows, r1), bisect_right(x.rows, r2)) for c in cols if (x := columns.get((on, c)))])
+        return out
+
+    def read(place: list[tuple[Column, int, int]]) -> dict:
+        return dict(zip(("n", "total", "least", "most", "text"), joined([part for x, a, b in place for part in x.summed(a, b)])))
+
+    values: dict[int, tuple | None] = {}
+    for start in parsed_as:
+        stack = [] if start in values else [(start, spans(start))]
+        under_way = {start}
+        while stack:
+            k, parts = stack[-1]
+            before = next((c for place in parts for x, a, b in place if (c := x.open_in(a, b)) is not None), None)
+            if before is not None and before in parsed_as and before not in values and before not in under_way:
+                under_way.add(before)
+                stack.append((before, spans(before)))
+                continue
+            stack.pop()
+            under_way.discard(k)
+            values[k] = None if before is not None else result(*parsed_as[k], [read(place) for place in parts])
+            if values[k] and cells[k][3] is None and k in home:
+                home[k][0].put(home[k][1], *values[k])
+    return [(k, *(values.get(k) or (None, None)), int(k in parsed_as and values[k] is None), problems.get(k)) for k in sorted([*parsed_as, *problems])]
+
+
+FOUND = "file string, sheet string, row int, col int, formula string, text string, number double, problem string, waits long, expected double, expected_text string"
+KINDS_OUT = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[x.split()[1]] for x in FOUND.split(", ")]
+
+
+def by_file(sheets: DataFrame, cells: int) -> DataFrame:
+    """The formulas of files that a task can hold, each file's worked out where all of its cells meet.
+
+    So a file's cells are dealt out once and nothing that its formulas read is shuffled. ``cells`` is their number; tasks
+    hold one file at a time.
+    """
+    names = [x.split()[0] for x in FOUND.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: list[tuple] = []
+
+        def close() -> None:
+            found = of_file([cell[1:] for cell in held])
+            out.extend((*(held[k][n] for n in (0, 1, 2, 3, 6, 4, 5)), problem, waits, *value) for k, *value, waits, problem in found)
+            held.clear()
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*out))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(columns, KINDS_OUT)], names=names)
+
+        for rows in batches:
+            for cell in zip(*[rows.column(n).to_pylist() for n in range(7)]):
+                if held and held[0][0] != cell[0]:
+                    close()
+                    if len(out) >= OUT_ROWS:
+                        yield batch()
+                held.append(cell)
+        if held:
+            close()
+        if out:
+            yield batch()
+
+    session = sheets.sparkSession
+    tasks = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")), cells // TASK_CELLS)
+    read = F.when(F.col("formula").isNotNull() | F.col("number").isNull(), F.col("text"))  # beside a number nothing asks for a cell's text
+    kept = sheets.select("file", "sheet", F.col("row").cast("int"), F.col("col").cast("int"), read.alias("text"), F.col("number").cast("double"), "formula")
+    return kept.repartition(tasks, "file").sortWithinPartitions("file").mapInArrow(run, FOUND)
+
+
+def by_rounds(sheets: DataFrame) -> DataFrame:
+    """The formulas of files of any size: places meet cells by pieces, whatever task holds them.
+
+    Each formula is worked out once, in the first round in which all that it reads has a value: a round for each step of
+    the longest chain of formulas without a stored value.
     """
     formulas = sheets.where("formula is not null").select(*AT, "formula", "text", "number")
     session = sheets.sparkSession
@@ -385,6 +551,31 @@ def gate(sheets: DataFrame, tolerance: float = 1e-9) -> DataFrame:
         out = out.unionByName(bare(waiting, 1))  # nothing more can be worked out
     else:
         out = out.unionByName(evaluated(with_inputs(waiting, stored.unionByName(settled))))
+    return out.drop("id")
+
+
+def gate(sheets: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """Each formula of ``sheets`` (rows as ``workbook.cells`` gives them) with what it should be and its status.
+
+    A stored value is checked against the stored values of what it reads, so order doesn't matter: where all agree, the
+    sheet does. Formulas without a stored value are worked out in order of dependency and take part as what they give.
+    A file of up to ``FILE_CELLS`` cells is worked out in the task that holds it (``by_file``), the cells of a larger one are
+    spread over tasks (``by_rounds``). Status: ``ok``, ``wrong`` (by more than ``tolerance``, relative or
+    absolute), ``computed`` (no stored value), ``error`` (gives an error that isn't stored), ``unsettled`` (reads a cell
+    that has no value as it is unreadable, or in a circle), ``unreadable`` (``problem`` says why; also empty formulas).
+    Blank cells count as zero, texts in arithmetic are ``#VALUE!``. A cell given twice is summed twice, a formula given
+    twice is checked twice; cells whose file, sheet, row or column is null can't be read. An empty table gives no rows.
+    """
+    sizes = sheets.groupBy("file").agg(F.count("*").alias("cells"), F.count("formula").alias("asked"))
+    held = F.col("file").isNotNull() & (F.col("cells") <= FILE_CELLS)  # what has no file reads nothing and can be any number
+    total, others = sizes.agg(F.coalesce(F.sum(F.when(held, F.col("cells"))), F.lit(0)), F.count_if(~held)).first()
+    if others:
+        large = small(sizes.where(~held).select(F.col("file").alias("_file"), "asked"))
+        same = F.col("file").eqNullSafe(F.col("_file"))
+        spread = by_rounds(sheets.join(large.where("asked > 0"), same, "left_semi"))
+        out = by_file(sheets.join(large, same, "left_anti"), total).unionByName(spread)
+    else:
+        out = by_file(sheets, total)
     near = F.abs(F.col("number") - F.col("expected")) <= tolerance * F.greatest(F.lit(1.0), F.abs("number"), F.abs("expected"))
     same = F.coalesce(near, F.col("number").isNull() & F.col("expected").isNull() & (F.col("text") == F.col("expected_text")), F.lit(False))
     failed = F.coalesce(F.startswith("expected_text", F.lit("#")), F.lit(False))
