@@ -387,7 +387,13 @@ class Column:
         return self.cells[at] if at < last else None
 
     def few(self, first: int, last: int) -> tuple:
-        return joined([(0, None, None, None, text) if number is None else (1, number, number, number, None) for number, text in zip(self.number[first:last], self.text[first:last])])
+        numbers = [x for x in self.number[first:last] if x is not None]
+        text = None if len(numbers) == last - first else max((x for x in self.text[first:last] if x is not None), default=None)
+        if not numbers:
+            return 0, None, None, None, text
+        if (total := sum(numbers)) == total:
+            return len(numbers), total, min(numbers), max(numbers), text
+        return joined([(1, x, x, x, None) for x in numbers] + [(0, None, None, None, text)])
 
     def whole(self, first: int, size: int) -> tuple:
         """``SPAN`` cells, doubled any number of times, that all have a value: summed up once."""
@@ -451,7 +457,8 @@ def of_file(cells: list[tuple]) -> list[tuple]:
         return out
 
     def read(place: list[tuple[Column, int, int]]) -> dict:
-        return dict(zip(("n", "total", "least", "most", "text"), joined([part for x, a, b in place for part in x.summed(a, b)])))
+        parts = [part for x, a, b in place for part in x.summed(a, b)]
+        return dict(zip(("n", "total", "least", "most", "text"), parts[0] if len(parts) == 1 else joined(parts)))
 
     values: dict[int, tuple | None] = {}
     for start in parsed_as:
